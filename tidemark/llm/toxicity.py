@@ -8,9 +8,11 @@ largest value and share make the document's score through a small logistic model
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -242,27 +244,44 @@ def _document_scores(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - mean) / sd @ u + c, -30, 30)))
 
 
+_SCHEMA = "score double, spans array<struct<start:int,end:int,p:double>>"
+
+
 def _tagger(shared):
-    def tag(batches):
-        model = shared.value
-        for batch in batches:
-            for t in _tokens(batch.column(1)):
-                w, n = t.w, t.w.last - t.w.first
-                who, what = _feature_ids(t, model["vocab"], model["gate"])
-                e = np.bincount(who, model["w"][what], len(t.starts)) + model["b"]
-                first = np.concatenate([[True], t.doc[1:] != t.doc[:-1]]) if len(t.doc) else np.zeros(0, bool)
-                p, _ = marginals(e, first, model)
-                score = _document_scores(model, _evidence(p, t.doc, n))
-                hit = np.flatnonzero(p >= 0.5)
-                before = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                zero = before[w.offsets[t.doc[hit]]]
-                spans = pa.StructArray.from_arrays([pa.array(before[t.starts[hit]] - zero, pa.int32()), pa.array(before[t.ends[hit]] - zero, pa.int32()), pa.array(p[hit])], ["start", "end", "p"])
-                at = np.searchsorted(t.doc[hit], np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, n), pa.array(score), pa.ListArray.from_arrays(pa.array(at), spans)], ["id", "score", "spans"])
+    def tag(column: pa.Array) -> pa.Array:
+        model, scores, spans, sizes = shared.value, [], [], [np.zeros(1, np.int64)]
+        for t in _tokens(column):
+            w, n = t.w, t.w.last - t.w.first
+            who, what = _feature_ids(t, model["vocab"], model["gate"])
+            e = np.bincount(who, model["w"][what], len(t.starts)) + model["b"]
+            first = np.concatenate([[True], t.doc[1:] != t.doc[:-1]]) if len(t.doc) else np.zeros(0, bool)
+            p, _ = marginals(e, first, model)
+            scores.append(_document_scores(model, _evidence(p, t.doc, n)))
+            hit = np.flatnonzero(p >= 0.5)
+            before = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+            zero = before[w.offsets[t.doc[hit]]]
+            spans.append((before[t.starts[hit]] - zero, before[t.ends[hit]] - zero, p[hit]))
+            sizes.append(np.bincount(t.doc[hit], minlength=n))
+        start, end, p = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0),) * 3
+        inner = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p.astype(float))], ["start", "end", "p"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), inner)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0)), lists], ["score", "spans"])
 
     return tag
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS) -> Callable[[Column], Column]:
+    """Learn from the labelled rows that are not held out; the result maps a text column to struct<score, spans>."""
+    out = F.coalesce(crc_mod(id_col, mod) == held, F.lit(True))
+    ids = sample(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct(), id_col, label_col, per_class, out)
+    rows = texts(docs, ids, id_col, text_col, 3 * per_class)
+    n = {int(r["label"]): r["n"] for r in rows}
+    model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())))
+    # called nondeterministic only so that Spark does not run it again for a filter on its result
+    tag = F.arrow_udf(_tagger(docs.sparkSession.sparkContext.broadcast(model)), _SCHEMA).asNondeterministic()
+    return lambda text: tag(text.cast("string"))
+
+
 def tag_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
     """Per input row: id_col, held_out, score, predicted (1 if score >= threshold), spans (start, end in code points, p).
 
@@ -273,13 +292,7 @@ def tag_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     texts score alike, near 0. A null id is held out. Repeated rows get equal values; an empty table gives an empty
     result; other columns are ignored.
     """
+    tag = fit(docs, labels, id_col, text_col, label_col, mod, held, per_class)
+    got = docs.select(F.col(id_col), tag(F.col(text_col)).alias("_x"))
     out = F.coalesce(crc_mod(id_col, mod) == held, F.lit(True))
-    ids = sample(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct(), id_col, label_col, per_class, out)
-    rows = texts(docs, ids, id_col, text_col, 3 * per_class)
-    n = {int(r["label"]): r["n"] for r in rows}
-    model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = plain.schema["id"].dataType.simpleString()
-    got = plain.mapInArrow(_tagger(shared), f"id {kind}, score double, spans array<struct<start:int,end:int,p:double>>").withColumnRenamed("id", id_col)
-    return got.select(id_col, out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return got.select(id_col, out.alias("held_out"), "_x.score", (F.col("_x.score") >= threshold).cast("int").alias("predicted"), "_x.spans")
