@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SIDE, KEPT = 32, 8
 
@@ -48,7 +49,7 @@ def decode(content: bytes) -> np.ndarray | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint_of(content: pd.Series) -> pd.Series:
     """Hex fingerprint of image bytes; null where they cannot be decoded."""
 

@@ -8,10 +8,12 @@ every executor.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -89,9 +91,6 @@ def ordered(items: DataFrame, path: str = "path") -> DataFrame:
 
 def with_content(items: DataFrame, candidate: str = "is_candidate", path: str = "path") -> DataFrame:
     """items with md5 and hash_status: contents of candidates alone are read, in blocks, where the rows are."""
-    import hashlib
-
-    import pandas as pd
 
     @F.pandas_udf("struct<md5:string,status:string>")
     def digest(paths: pd.Series, wanted: pd.Series) -> pd.DataFrame:

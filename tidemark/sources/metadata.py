@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.names import path_key
 
@@ -146,7 +147,7 @@ def header_time(content: bytes | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def embedded_time(content: pd.Series) -> pd.Series:
     return content.map(lambda b: header_time(bytes(b)) if b is not None else None)
 

@@ -51,15 +51,17 @@ def parse(documents: DataFrame, column: str = "value") -> State:
 
 
 def load(spark: SparkSession, target: str) -> State:
-    """The state kept in an archive's folder."""
-    path = f"{target.rstrip('/')}/{config.STATE_FILENAME}"
-    rows = spark.read.text(path, wholetext=True) if _exists(spark, path) else spark.createDataFrame([], "value string")
-    return parse(rows)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """The state kept in an archive's folder: one document, whose name Spark's readers take for a hidden file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{config.STATE_FILENAME}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return empty(spark)
+    stream = store.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return parse(spark.createDataFrame([(text,)], "value string"))
 
 
 def to_document(state: State) -> DataFrame:
