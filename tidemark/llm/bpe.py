@@ -55,7 +55,7 @@ class Codec:
         self.exact.no_padding()
         spec = json.loads(self.exact.to_str())
         self.special = [x["content"] for x in spec["added_tokens"]]
-        byte = {c: b for b, c in _byte_chars().items()}
+        byte = {c: b for b, c in byte_chars().items()}
         self.bytes = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in self.special}
         self.fast = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
         self.bytes |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
@@ -105,7 +105,7 @@ class Codec:
         return ids, b"".join(p[2][1] for p in parts)
 
 
-def _byte_chars() -> dict[int, str]:
+def byte_chars() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable ones stand for themselves, others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(own)]
