@@ -16,7 +16,7 @@ def sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, held_ou
     """
     rows = rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull() & ~held_out).select(F.col(id_col).cast("bigint").alias("id"), F.col(class_col).alias("label"))
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) * F.col("n") < F.lit(1 << 30) * F.lit(float(per_class))
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < F.lit(float(per_class))
     return rows.join(sizes, "label").where(part)
 
 
