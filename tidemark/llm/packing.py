@@ -26,7 +26,7 @@ from .bpe import byte_chars
 
 BLOCK = 1 << 19
 #: Word encodings that a worker keeps; beyond it, all are dropped and made anew when met.
-CACHE = 500_000
+CACHE = 150_000
 
 
 #: Words of these characters are lower-cased and split alike by Python and by the tokenizer; others are left to the latter.
@@ -174,6 +174,7 @@ def _packer(path: str, capacity: int, end_id: int, block: int):
                     yield flush(False)
                 if len(cache) > CACHE:
                     cache.clear()
+            words.settle()
         yield flush(True)
 
     return pack

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap, words
 
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:

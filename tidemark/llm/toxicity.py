@@ -126,19 +126,18 @@ def _pair_counts(parts, first) -> np.ndarray:
 
 def _lifted(tokens: list[Tokens], toxic: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the features that mark toxic documents, with their lifts."""
-    docs, keys, base = [], [], 0
-    for t in tokens:
-        at = np.arange(len(t.starts))
-        for k in t.keys(at):
-            docs.append(t.doc + base)
-            keys.append(k)
-        base += t.w.last - t.w.first
+    keys, counts = [], []
+    for t, y in zip(tokens, toxic, strict=True):  # a document lies in one slice, so each slice counts its own
+        for k in t.keys(np.arange(len(t.starts))):
+            some = np.flatnonzero(k)
+            once = some[np.unique(words.mix(k[some] + t.doc[some].astype(np.uint64) * words._ODD[9]), return_index=True)[1]]
+            key, inv = np.unique(k[once], return_inverse=True)
+            bad = y[t.doc[once]] == 1
+            keys.append(key)
+            counts.append(np.stack([np.bincount(inv, bad, len(key)), np.bincount(inv, ~bad, len(key))], 1).astype(np.int32))
     label = np.concatenate(toxic) == 1
-    pair = np.stack([np.concatenate(keys), np.concatenate(docs).astype(np.uint64)], 1)
-    pair = np.unique(pair[pair[:, 0] != 0], axis=0)
-    bad = label[pair[:, 1].astype(np.int64)]
-    key, inv = np.unique(pair[:, 0], return_inverse=True)
-    pos, neg = np.bincount(inv, bad, len(key)), np.bincount(inv, ~bad, len(key))
+    key, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    pos, neg = (np.bincount(inv, np.concatenate([c[:, j] for c in counts]), len(key)) for j in (0, 1))
     lift = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / ((~label).sum() + 1))
     # of rare features the lift must stand out more
     good = (pos >= SUPPORT) & (lift - 1 / np.sqrt(pos + 1) >= LIFT)
@@ -224,9 +223,12 @@ def train(column: pa.Array, y: np.ndarray, bad_share: float) -> dict:
         log_move, log_start = log_move - move[size + 1 : size + 5].reshape(2, 2), log_start - move[size + 5 :]
     model |= {"vocab": vocab, "w": w, "b": float(b), "start": np.exp(log_start), "move": np.exp(log_move)}
 
-    who, what, doc, first = _flat(tokens, vocab, model["gate"])
-    p, _ = marginals(np.bincount(who, w[what], len(doc)) + b, first, model)
-    x = _evidence(p, doc, len(y))
+    parts = []
+    for t in tokens:
+        who, what, doc, first = _flat([t], vocab, model["gate"])
+        p, _ = marginals(np.bincount(who, w[what], len(doc)) + b, first, model)
+        parts.append(_evidence(p, doc, t.w.last - t.w.first))
+    x = np.concatenate(parts)
     mean, sd = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / sd
     weight = np.where(y == 1, bad_share / (y == 1).sum(), (1 - bad_share) / (y == 0).sum())
@@ -277,6 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts(docs, ids, id_col, text_col, 3 * per_class)
     n = {int(r["label"]): r["n"] for r in rows}
     model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())))
+    del rows
+    words.settle()
     # called nondeterministic only so that Spark does not run it again for a filter on its result
     tag = F.arrow_udf(_tagger(docs.sparkSession.sparkContext.broadcast(model)), _SCHEMA).asNondeterministic()
     return lambda text: tag(text.cast("string"))

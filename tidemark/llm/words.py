@@ -9,13 +9,14 @@ forms a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,6 +29,15 @@ _ODD = np.random.default_rng(20240607).integers(1, 1 << 63, 64, dtype=np.uint64)
 _TAIL = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 
 
+def settle() -> None:
+    """Give freed memory back to the system: workers live on between stages and share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser that spreads every input bit; works in place on its own copy."""
     x = x ^ (x >> np.uint64(33))
@@ -121,6 +131,7 @@ def slices(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         yield Words(first, last, data, starts, ends, np.searchsorted(starts, offsets), offsets)
         first = last
+    settle()
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
