@@ -139,8 +139,8 @@ def _lifted(tokens: list[Tokens], toxic: list[np.ndarray]) -> tuple[np.ndarray,
     key, inv = np.unique(np.concatenate(keys), return_inverse=True)
     pos, neg = (np.bincount(inv, np.concatenate([c[:, j] for c in counts]), len(key)) for j in (0, 1))
     lift = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / ((~label).sum() + 1))
-    # of rare features the lift must stand out more
-    good = (pos >= SUPPORT) & (lift - 1 / np.sqrt(pos + 1) >= LIFT)
+    # a standard error below, the lift must still stand out: among many rare features some are lifted by chance
+    good = (pos >= SUPPORT) & (lift - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= LIFT)
     if good.sum() > FEATURES:
         good &= lift * np.sqrt(pos) >= np.sort((lift * np.sqrt(pos))[good])[-FEATURES]
     return key[good], lift[good]
