@@ -9,25 +9,33 @@ which is the proven bound for the broadcast.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 26
 
 
-def build(df: DataFrame, column: str, bits: int = BITS):
-    """Broadcast bitmap of the low bits of ``column``; built by a distributed bit_or, at most bits / 32 small rows return."""
+def build_each(df: DataFrame, column: str, conditions: list[Column], bits: int = BITS) -> list:
+    """For each condition a broadcast bitmap of the low bits of ``column`` in the rows where it holds.
+
+    All are built in one distributed bit_or, of which at most bits / 32 small rows return.
+    """
     at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    rows = (
-        df.where(F.col(column).isNotNull())
-        .select(F.shiftrightunsigned(at, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(31).cast("int")).alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-    )
-    got = rows.toArrow()
-    words = np.zeros(bits // 32, np.uint32)
-    words[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint64).astype(np.uint32)
-    return df.sparkSession.sparkContext.broadcast(words)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(31).cast("int"))
+    each = [F.when(c, bit).otherwise(F.lit(0).cast("bigint")).alias(f"b{k}") for k, c in enumerate(conditions)]
+    rows = df.where(F.col(column).isNotNull()).select(F.shiftrightunsigned(at, 5).cast("int").alias("w"), *each)
+    got = rows.groupBy("w").agg(*(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(len(conditions)))).toArrow()
+    out = []
+    for k in range(len(conditions)):
+        words = np.zeros(bits // 32, np.uint32)
+        words[got["w"].to_numpy()] = got[f"b{k}"].to_numpy().astype(np.uint64).astype(np.uint32)
+        out.append(df.sparkSession.sparkContext.broadcast(words))
+    return out
+
+
+def build(df: DataFrame, column: str, bits: int = BITS):
+    """Broadcast bitmap of the low bits of ``column``."""
+    return build_each(df, column, [F.lit(True)], bits)[0]
 
 
 def hit(words: np.ndarray, values: np.ndarray) -> np.ndarray:

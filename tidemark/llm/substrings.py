@@ -7,10 +7,12 @@ repeated one level below is looked at:
 
 * base: hashes of the anchors alone, about 2 / (window - base + 2) of all
   positions, are counted.
-* 2 * base ...: for windows with a repeated anchor, the run of that length which
-  holds the anchor is counted.
-* window: windows whose run was repeated are compared by 128-bit hashes; all but
-  the earliest occurrence are marked.
+* 2 * base ...: windows with a repeated anchor that lie side by side and have it
+  in common form a group, and the run of that length which holds the anchor (to
+  its right, or where the windows end too early, to its left) is counted.
+* window: groups whose run was repeated are compared, by the hash of all their
+  words where the level below found the run in one surrounding only, else window
+  by window; all but the earliest occurrence are marked. Keys have 96 bits.
 
 What is repeated at a level goes to the next scan as a bitmap of fixed size,
 whose false hits the last level undoes. Equal windows within a slice of text are
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from . import bitmap, words
 
 SLICE = 1 << 21
+#: Keeps runs to the left of their anchor apart from those to the right.
+_LEFT = np.uint64(0x5BD1E9955BD1E995)
 
 
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:
@@ -55,75 +59,114 @@ class _Slice:
     """Windows of a slice that are still candidates after the levels whose bitmaps are given."""
 
     def __init__(self, w: words.Words, window: int, maps: list):
-        self.h = {1: w.hashes()}
-        lens = _levels(window)
-        for n in lens:
-            self.h[n] = words.ngrams(self.h[1], n) if n == lens[0] else words.join(self.h[n // 2][: -(n // 2) or None], self.h[n // 2][n // 2 :]) if len(self.h[n // 2]) > n // 2 else self.h[n // 2][:0]
+        self.window, lens = window, _levels(window)
+        self.base, self.h = lens[0], {1: w.hashes()}
+        self.h[self.base] = words.ngrams(self.h[1], self.base)
+        for n in lens[1:]:
+            half = self.h[n // 2]
+            self.h[n] = words.join(half[: len(half) - n // 2], half[n // 2 :]) if len(half) > n // 2 else half[:0]
         self.at = np.flatnonzero(w.room() >= window)
-        anchor = _smallest(self.h[lens[0]], window - lens[0] + 1)[self.at] if len(self.at) else self.at
-        self.run = anchor
+        self.anchor = _smallest(self.h[self.base], window - self.base + 1)[self.at] if len(self.at) else self.at
         for n, found in zip(lens, maps, strict=False):
-            if n > lens[0]:
-                self.run = self._holding(n, window, anchor)
-            stays = bitmap.hit(found, self.h[n][self.run])
-            self.at, anchor, self.run = self.at[stays], anchor[stays], self.run[stays]
-        n = lens[len(maps)]
-        if lens[0] < n < window:
-            self.run = self._holding(n, window, anchor)
-        elif n == window:
-            self.run = self.at
-
-    def _holding(self, n: int, window: int, anchor: np.ndarray) -> np.ndarray:
-        """Where the run of n words that holds each window's anchor starts: at the anchor, or as far left of it as the window's end asks."""
-        return np.minimum(anchor, self.at + window - n)
+            key = self.keys(n)
+            stays = np.zeros(len(key), bool)
+            for f in found:
+                stays |= bitmap.hit(f, key)
+            self.at, self.anchor = self.at[stays], self.anchor[stays]
+
+    def left(self, n: int) -> np.ndarray:
+        """Whether a run of n words from the anchor on would leave the window, so that the one before its end is meant."""
+        return self.anchor - self.at > self.window - n
+
+    def keys(self, n: int) -> np.ndarray:
+        """The hash of the run of n words that holds each window's anchor."""
+        left = self.left(n)
+        return self.h[n][self.anchor - left * (n - self.base)] ^ (left * _LEFT)
+
+    def groups(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where groups of windows with one run of n words begin, and how many windows each has."""
+        if not len(self.at):
+            return self.at, self.at
+        left = self.left(n)
+        new = np.ones(len(self.at), bool)
+        new[1:] = (self.at[1:] != self.at[:-1] + 1) | (self.anchor[1:] != self.anchor[:-1]) | (left[1:] != left[:-1])
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(self.at)))
+
+    def surroundings(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of all words of each group: its first and last window overlap or meet."""
+        h = self.h[self.window]
+        return words.mix(h[self.at[first]] * words._ODD[21] + h[self.at[first + size - 1]] * words._ODD[22] + size.astype(np.uint64))
 
 
 def _counter(window: int, maps: list, n: int):
+    """text -> k, c, lo, hi: occurrences of each run of n words, with the least and largest hash of what surrounds it."""
+
     def count(batches):
-        found = [m.value for m in maps]
+        found = [[m.value for m in level] for level in maps]
         for batch in batches:
             for w in words.slices(batch.column(0), size=SLICE):
                 s = _Slice(w, window, found)
-                key, c = np.unique(s.h[n][np.unique(s.run)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], ["k", "c"])
+                first, size = s.groups(n)
+                if not len(first):
+                    continue
+                key = s.keys(n)[first]
+                around = s.surroundings(first, size) if 2 * n == window or n == window else np.zeros(len(key), np.uint64)
+                order = np.argsort(key, kind="stable")
+                key, around = key[order], around[order].view(np.int64)
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                c = np.diff(np.append(at, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), c.astype(np.int64), np.minimum.reduceat(around, at), np.maximum.reduceat(around, at))], ["k", "c", "lo", "hi"])
 
     return count
 
 
 def _finder(window: int, maps: list):
-    """id, tag, text -> k1, k2, id, tag, start, spans; rows with spans tell what is known to be later from the slice alone."""
-    half = window // 2
+    """id, tag, text -> k1, k2, id, tag, at, spans; rows with spans tell what is known to be later from the slice alone."""
+    lens = _levels(window)
 
     def find(batches):
-        found = [m.value for m in maps]
+        found = [[m.value for m in level] for level in maps]
         for batch in batches:
-            known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for w in words.slices(batch.column(2), size=SLICE):
                 s = _Slice(w, window, found)
+                if not len(s.at):
+                    continue
                 k1 = s.h[window][s.at]
-                k2 = words.mix(s.h[1][s.at] * np.uint64(3) + words.ngrams(s.h[1], half)[s.at] * np.uint64(5) + words.ngrams(s.h[1], half)[s.at + window - half])
-                doc = np.searchsorted(w.bounds, s.at, "right") - 1
-                start = s.at - w.bounds[doc]
+                k2 = words.mix(k1 * np.uint64(3) ^ s.h[s.base][s.anchor])
+                size = np.ones(len(s.at), np.int64)
+                at = s.at
+                if found:  # groups in one surrounding only are one row
+                    first, n = s.groups(lens[-2])
+                    whole = ~bitmap.hit(found[-1][1], s.keys(lens[-2])[first])
+                    around = s.surroundings(first, n)
+                    k1[first[whole]] = around[whole]
+                    k2[first[whole]] = words.mix(around[whole] * np.uint64(5) ^ s.h[s.base][s.anchor[first[whole]]])
+                    size[first[whole]] = n[whole]
+                    stays = ~np.repeat(whole, n)
+                    stays[first] = True
+                    k1, k2, size, at = k1[stays], k2[stays], size[stays], at[stays]
+                doc = np.searchsorted(w.bounds, at, "right") - 1
+                start = at - w.bounds[doc]
                 ids = known[w.first : w.last][doc]
+                k2 &= np.uint64(0x7FFFFFFF)
                 order = np.lexsort((start, ids, k2, k1))
-                k1, k2, doc, start, ids = (x[order] for x in (k1, k2, doc, start, ids))
-                new = np.ones(len(k1), bool)
-                new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-                head = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0)) if len(k1) else np.zeros(0, np.int64)
+                k1, k2, doc, start, ids, size = (x[order] for x in (k1, k2, doc, start, ids, size))
+                new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+                head = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
                 later = (ids != ids[head]) | (start != start[head])
                 e = ~later
                 tag = tags[w.first : w.last]
-                yield _batch(k1[e], k2[e], ids[e], tag[doc[e]], start[e], None)
-                d, b = doc[later], start[later]
+                yield _batch(k1[e], k2[e], ids[e], tag[doc[e]], start[e] << 20 | size[e], None)
+                d, b, z = doc[later], start[later], start[later] + size[later] - 1 + window
                 if len(d):
                     o = np.lexsort((b, d))
-                    d, b = d[o], b[o]
-                    cut = np.ones(len(d), bool)
-                    cut[1:] = (d[1:] != d[:-1]) | (b[1:] > b[:-1] + window)
-                    first = np.flatnonzero(cut)
+                    d, b, z = d[o], b[o], z[o]
+                    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (b[1:] > z[:-1])))
                     last = np.append(first[1:], len(d)) - 1
-                    span = np.stack([b[first], b[last] + window], 1).astype(np.int32)
+                    span = np.stack([b[first], z[last]], 1).astype(np.int32)
                     of, begin = np.unique(d[first], return_index=True)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)).astype(np.int32) * 2), pa.array(span.ravel()))
                     own = known[w.first : w.last][of]
@@ -132,10 +175,9 @@ def _finder(window: int, maps: list):
     return find
 
 
-def _batch(k1, k2, ids, tag, start, spans):
-    n = len(k1)
-    cols = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(tag.astype(np.int32)), pa.array(start.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([*cols, spans if spans is not None else pa.nulls(n, pa.list_(pa.int32()))], ["k1", "k2", "id", "tag", "start", "spans"])
+def _batch(k1, k2, ids, tag, at, spans):
+    cols = [pa.array(k1.view(np.int64)), pa.array(k2.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tag.astype(np.int16)), pa.array(at.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*cols, spans if spans is not None else pa.nulls(len(k1), pa.list_(pa.int32()))], ["k1", "k2", "id", "tag", "at", "spans"])
 
 
 def _strip(window: int):
@@ -149,8 +191,8 @@ def _strip(window: int):
                 step = np.zeros(n + 1, np.int64)
                 if a is not None and len(a):
                     a = a.to_numpy(zero_copy_only=False)
-                    np.add.at(step, a, 1)
-                    np.add.at(step, a + window, -1)
+                    np.add.at(step, a >> 20, 1)
+                    np.add.at(step, (a >> 20) + (a & 0xFFFFF) - 1 + window, -1)
                 for x in b if b is not None else ():
                     x = np.asarray(x.as_py(), np.int64)
                     np.add.at(step, x[::2], 1)
@@ -175,17 +217,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing and count as earlier for none. Rows repeated with one id stand at equal places, so neither is earlier than
     the other. An empty table gives an empty result; other columns stay untouched in ``row``.
     """
-    all_rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    all_rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.hash(F.col(text_col)).bitwiseAND(0x7FFF).cast("smallint").alias("tag"), F.col(text_col).cast("string").alias("text"))
     plain = all_rows.where("id is not null").select("id", "tag", "text")
     maps: list = []
     for n in _levels(window)[:-1]:
-        seen = plain.select("text").mapInArrow(_counter(window, maps, n), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).where("c > 1")
-        maps = [*maps, bitmap.build(seen, "k")]
-    found = plain.mapInArrow(_finder(window, maps), "k1 bigint, k2 bigint, id bigint, tag int, start int, spans array<int>")
-    order = Window.partitionBy("k1", "k2").orderBy("id", "start")
+        counted = plain.select("text").mapInArrow(_counter(window, maps, n), "k bigint, c bigint, lo bigint, hi bigint")
+        again = counted.groupBy("k").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1")
+        # on the last level before the whole window, runs in one surrounding and in several are told apart
+        maps.append(bitmap.build_each(again, "k", [F.lit(True)] if 2 * n < window else [F.col("lo") == F.col("hi"), F.col("lo") != F.col("hi")]))
+    found = plain.mapInArrow(_finder(window, maps), "k1 bigint, k2 int, id bigint, tag smallint, at bigint, spans array<int>")
+    order = Window.partitionBy("k1", "k2").orderBy("id", "at")
     later = found.withColumn("r", F.rank().over(order)).where("r > 1 or spans is not null")
-    own = later.groupBy("id", "tag").agg(F.collect_list(F.when(F.col("spans").isNull(), F.col("start"))).alias("starts"), F.collect_list("spans").alias("spans"))
+    own = later.groupBy("id", "tag").agg(F.collect_list(F.when(F.col("spans").isNull(), F.col("at"))).alias("starts"), F.collect_list("spans").alias("spans"))
     own = own.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), "starts", "spans")
     both = all_rows.join(own, (F.col("id") == F.col("own_id")) & (F.col("tag") == F.col("own_tag")), "left")
-    strip = F.arrow_udf(_strip(window), "n_words bigint, n_removed bigint, kept_text string")
+    # called nondeterministic only so that Spark does not run it again for a filter on its result
+    strip = F.arrow_udf(_strip(window), "n_words bigint, n_removed bigint, kept_text string").asNondeterministic()
     return both.select("row", strip("text", "starts", "spans").alias("x")).select("row", "x.*")
