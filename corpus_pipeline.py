@@ -43,8 +43,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret and random string replaced by a mask; no document goes."""
-    spans = secret_scan.secret_spans(F.col("text"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    return _with_text(docs.withColumn("_text", secret_scan.redact(F.col("text"), spans)), docs.columns)
+    masked = secret_scan.redact(F.col("text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return _with_text(docs.withColumn("_text", masked), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,22 +138,28 @@ def secret_spans(text: Column, vocabulary: str, ratio: float = 2.0) -> Column:
     return F.arrow_udf(_scanner(vocabulary, ratio), "array<struct<kind:string,start:int,end:int>>")(text)
 
 
-def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with every span replaced by ``mask``; overlapping spans are replaced together."""
-
-    def cover(column: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(column, found, strict=True):
-            t, done, parts = t.as_py(), 0, []
-            s = s.as_py()
-            if t is None or not s:
-                out.append(t)
-                continue
-            for x in s:
-                if x["start"] >= done:
-                    parts += [t[done : x["start"]], mask]
-                done = max(done, x["end"])
-            out.append("".join(parts) + t[done:])
-        return pa.array(out, pa.string())
-
-    return F.arrow_udf(cover, "string")(text, spans)
+def _cover(text: str | None, spans: list[dict], mask: str) -> str | None:
+    """The text with every span replaced; overlapping spans are replaced together."""
+    if text is None or not spans:
+        return text
+    done, parts = 0, []
+    for x in spans:
+        if x["start"] >= done:
+            parts += [text[done : x["start"]], mask]
+        done = max(done, x["end"])
+    return "".join(parts) + text[done:]
+
+
+def redact(text: Column, vocabulary: str, ratio: float = 2.0, mask: str = "[secret]") -> Column:
+    """The text with every span of ``secret_spans`` replaced by ``mask``; null stays null. One Python step finds and replaces."""
+    scan = _scanner(vocabulary, ratio)
+
+    def cover(column: pa.Array) -> pa.Array:
+        spans = scan(column)
+        hit = np.diff(spans.offsets.to_numpy()) > 0
+        if not hit.any():
+            return column
+        changed = [_cover(column[k].as_py(), spans[k].as_py(), mask) for k in np.flatnonzero(hit)]
+        return pc.replace_with_mask(column, pa.array(hit), pa.array(changed, column.type))
+
+    return F.arrow_udf(cover, "string")(text)
