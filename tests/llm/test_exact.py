@@ -102,6 +102,40 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert got == near_truth(rows, 3, 85)
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch, block):
+    """Planted pairs just above the threshold among texts just below it, which share the tables of all the others."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng = random.Random(6)
+    base = prose(rng, 400).split()
+    rows = []
+
+    def add(changes):
+        w = list(base)
+        for at, new in changes.items():
+            w[at] = new
+        rows.append((len(rows), " ".join(w)))
+
+    for k in range(300):
+        own = {at: f"n{k}x{at}" for at in rng.sample(range(2, 398, 4), 7)}
+        add(own)
+        if k < 40:
+            kept = dict(list(own.items())[:2])
+            add(kept | {at: f"m{k}x{at}" for at in rng.sample([x for x in range(2, 398, 4) if x not in own], 5)})
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), shingle=3, percent=85).collect()}
+    want = near_truth(rows, 3, 85)
+    assert sum(not kept for _, _, kept in want.values()) >= 40
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [3, 200])
+def test_common_shingles(size):
+    rng = np.random.default_rng(size)
+    a, b = ([np.unique(rng.integers(0, 300, rng.integers(0, 90)) ** 2 // 300) for _ in range(size + k)] for k in (0, 5))
+    got = neardup._common(a, b)
+    assert all(got[i, j] == len(np.intersect1d(a[i], b[j])) for i in range(len(a)) for j in range(len(b)))
+
+
 def test_near_duplicates_odd(spark):
     out = neardup.near_duplicates(odd_documents(spark), shingle=3, percent=85)
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == len(odd_rows())

@@ -16,10 +16,15 @@ Plan, each step over all rows and none with an unbounded group in a task:
 3. A table bucket of up to ``SMALL`` classes gives all its pairs. In a larger
    one every class is paired with a pivot, the class with the most shared
    buckets. Rounds with other pivots go on, between parts of a bucket that are
-   not yet connected, until one adds no link.
+   not yet connected, until one adds no link or ``ROUNDS`` are done.
 4. Pairs whose minhashes agree far too seldom go; the rest are verified on full
    sets from a second scan, and links are closed into components by label
    propagation with pointer jumping. All of it stays on the executors.
+5. Large buckets that still hold several components are compared in full: their
+   members form families (buckets with a common member are one family), and
+   every pair of a family's blocks counts the common shingles of all its pairs
+   of different components. This is quadratic in the members of a family that
+   are not yet connected, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,10 @@ from .shared import cut
 
 #: Largest bucket that gives all its pairs.
 SMALL = 8
+#: Most rounds with pivots. They only spare work: whatever they leave unconnected is compared in full.
+ROUNDS = 3
+#: About the most classes, and shingles of all of them, in a block of a family.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 
 def collections(percent: int, miss: float = 2e-4) -> tuple[int, int]:
@@ -185,19 +195,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cand = cut(cand.withColumn("ok", fits & (alike >= agree)).select("a", "b", "na", "nb", "ok"), "pairs")
         good = cand.where("ok")
         found = _verified(docs, good, shingle, percent)
+        turn += 1
         tried = cand.select("a", "b") if tried is None else tried.union(cand.select("a", "b"))
         fresh = found.limit(1).count()
         if fresh:
             links = found if links is None else links.union(found)
             labels = components(links)
-        if not fresh:
-            break
-        turn += 1
-        named = ranked.where(F.col("size") > SMALL).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = ranked.where(F.col("size") > SMALL)
+        if labels is None:
+            named = named.withColumn("component", F.col("rep"))
+        else:
+            named = named.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         large = cut(named.join(mixed, "key"), "mixed")
         if not large.limit(1).count():
             break
+        if not fresh or turn == ROUNDS:
+            found = _rest(docs, large, shingle, percent)
+            if found.limit(1).count():
+                labels = components(found if links is None else links.union(found))
+            break
 
     named = classes.select("s1", "s2", F.col("id").alias("rep"))
     if labels is not None:
@@ -215,3 +232,92 @@ def _verified(docs: DataFrame, good: DataFrame, shingle: int, percent: int) -> D
     shared = F.size(F.array_intersect("sa", "sb"))
     # repeated ids give their pairs more than once, and with each of their texts
     return cut(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a shares with each of b: frequent shingles by matrix products, rare ones pair by pair."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = np.concatenate(a + b)
+    _, at = np.unique(flat, return_inverse=True)
+    doc = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    left = doc < len(a)
+    width = int(at.max(initial=-1)) + 1
+    p, q = np.bincount(at[left], minlength=width), np.bincount(at[~left], minlength=width)
+    dense = p * q > max(16, out.size // 256)
+    rank = np.cumsum(dense) - 1
+    for k in range(0, int(dense.sum()), 2048):
+        here = dense[at] & (rank[at] >= k) & (rank[at] < k + 2048)
+        m = np.zeros((len(a) + len(b), 2048), np.float32)
+        m[doc[here], rank[at[here]] - k] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    thin = (p * q > 0) & ~dense
+    order = np.argsort(at, kind="stable")
+    order = order[thin[at[order]]]
+    x, y = order[left[order]], order[~left[order]]
+    first = np.cumsum(np.where(thin, q, 0)) - np.where(thin, q, 0)
+    for k in range(0, len(x), 1 << 13):
+        part = x[k : k + (1 << 13)]
+        times = q[at[part]]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        other = doc[y[np.repeat(first[at[part]], times) + nth]] - len(a)
+        out += np.bincount(np.repeat(doc[part], times) * len(b) + other, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _block_links(percent: int):
+    """applyInArrow function: the two blocks of one pair of blocks -> links (a, b) that join all components they link."""
+
+    def find(root: dict, c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def compare(key, table):
+        one = key[1].as_py() == key[2].as_py()
+        rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "side"))
+        n = np.array(pc.list_value_length(table["s"]).to_numpy(), np.int64)
+        sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in table["s"]]
+        i = np.flatnonzero(side == key[1].as_py())
+        j = i if one else np.flatnonzero(side == key[2].as_py())
+        links = []
+        if len(i) and len(j):
+            shared = _common([sets[k] for k in i], [sets[k] for k in j]).astype(np.int64)
+            near = (100 * shared >= percent * (n[i][:, None] + n[j][None, :] - shared)) & (comp[i][:, None] != comp[j][None, :])
+            x, y = np.nonzero(near)
+            ends = np.sort(np.stack([comp[i[x]], comp[j[y]]], 1), 1)
+            root: dict[int, int] = {}
+            for k in np.unique(ends, axis=0, return_index=True)[1] if len(ends) else ():
+                u, v = find(root, int(ends[k, 0])), find(root, int(ends[k, 1]))
+                if u != v:
+                    root[u] = v
+                    links.append(sorted((int(rep[i[x[k]]]), int(rep[j[y[k]]]))))
+        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
+
+    return compare
+
+
+def _rest(docs: DataFrame, large: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that join all components that pairs within the large buckets link; large: key, rep, component.
+
+    A family's largest component needs no comparison with itself: its members lie in blocks of their own (0, 2, ...).
+    """
+    heads = large.groupBy("key").agg(F.min("rep").alias("head"))
+    edges = large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    family = components(edges, "families").toDF("rep", "family")
+    members = cut(large.select("rep", "component").distinct().join(family, "rep"), "members")
+    main = members.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    members = members.join(main, "family").withColumn("rest", (F.col("component") != F.col("main")).cast("int")).drop("main")
+
+    wanted = bitmap.build(members, "rep")
+    sets = docs.where("id is not null").mapInArrow(set_maker(shingle, wanted), "id bigint, s array<bigint>").toDF("rep", "s")
+    # repeated ids have a row for each of their texts
+    rows = cut(members.join(sets, "rep"), "family-sets")
+    sizes = rows.groupBy("family", "rest").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("s")) / BLOCK_SHINGLES)).cast("int").alias("k"))
+    deal = sizes.groupBy("family").agg(*(F.coalesce(F.max(F.when(F.col("rest") == r, F.col("k"))), F.lit(0)).alias(f"k{r}") for r in (0, 1)))
+    rows = rows.join(deal, "family")
+    side = 2 * F.pmod(F.xxhash64("rep", F.lit(13)), F.when(F.col("rest") == 1, F.col("k1")).otherwise(F.col("k0"))).cast("int") + F.col("rest")
+    blocks = lambda r: F.transform(F.slice(F.sequence(F.lit(0), F.col(f"k{r}")), F.lit(1), F.col(f"k{r}")), lambda x: (2 * x + r).cast("int"))
+    others = F.when(F.col("rest") == 1, F.concat(blocks(0), blocks(1))).otherwise(blocks(1))
+    pairs = rows.withColumn("side", side).withColumn("other", F.explode(others))
+    pairs = pairs.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "component", "s")
+    return cut(pairs.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct(), "rest")
