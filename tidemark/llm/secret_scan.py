@@ -64,6 +64,15 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _text_runs(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a slice's texts, each cut where its text ends."""
+    a, z = _runs(_OF_RUN[w.data])
+    inner = w.offsets[(w.offsets > 0) & (w.offsets < len(w.data))]
+    # only texts' ends inside a run cut it
+    inner = np.unique(inner[_OF_RUN[w.data[inner]] & _OF_RUN[w.data[inner - 1]]])
+    return np.sort(np.concatenate([a, inner])), np.sort(np.concatenate([z, inner]))
+
+
 _made: dict[str, object] = {}
 
 
@@ -102,15 +111,12 @@ def _scanner(vocabulary: str, ratio: float):
         for w in words.slices(column):
             n = w.last - w.first
             odd = np.zeros(n, bool)
-            a, z = _runs(_OF_RUN[w.data])
+            a, z = _text_runs(w)
             long = z - a >= 16
             a, z = a[long], z[long]
             if len(a):
                 digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
                 a, z = a[digits[z] > digits[a]], z[digits[z] > digits[a]]
-                # a run may reach over the end of a text here; the patterns look at each text by itself
-                for x in (a, z - 1):
-                    odd[np.searchsorted(w.offsets, x, "right") - 1] = True
                 odd |= np.diff(np.searchsorted(a, w.offsets)) > 0
             for k in range(n):
                 value = column[w.first + k].as_py() or ""
