@@ -330,6 +330,14 @@ def test_random_strings():
         assert len(spans) == 1 and text[spans[0]["start"] : spans[0]["end"]] in text
 
 
+def test_random_letters():
+    scan = secret_scan._scanner(RANKS, 2.0)
+    found = ["QwZxKvBnTyPLmRfG", "qxzvkjwpbfhgtrqzmvxk", "xqzkvjwpqhgzxvbkfq123456"]
+    clean = ["AbstractSingletonProxyFactoryBean", "INTERNATIONALIZATION", "Donaudampfschifffahrtsgesellschaft", "https/example/path/to/file"]
+    kinds = [[s["kind"] for s in x] for x in scan(pa.array(found + clean)).to_pylist()]
+    assert kinds == [["random"]] * len(found) + [[]] * len(clean)
+
+
 def test_random_string_between_texts_that_touch_it():
     scan = secret_scan._scanner(RANKS, 2.0)
     key = "AbC123dEf456GhI789jKl0Mn"

@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Text that people write takes few tokens of a vocabulary learned from such text; random strings take many. A run of
-base64-like characters that mixes letters and digits and comes to fewer than ``ratio`` characters a token is reported
-as ``random``, unless it is a digest (hex of a usual length), a UUID, a number with separators, a path, or an
-identifier made of words.
+base64-like characters that has letters and comes to fewer than ``ratio`` characters a token is reported as
+``random``, unless it is a digest (hex of a usual length) or a UUID. A run without digits, or of the shape of an
+identifier, is reported only below ``STRICT`` of that ratio: clean words and identifiers take more characters a token.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ _HEX = re.compile("[0-9a-f]+")
 _LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 LONGEST_RUN = 4096
+#: Share of the ratio below which runs of letters alone, and runs that look like identifiers, count as random.
+STRICT = 0.875
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEX_ANY = re.compile("[0-9a-fA-F]+")
@@ -37,8 +39,8 @@ _NUMERIC = re.compile("[0-9+/_=-]+")
 
 _OF_RUN = np.zeros(256, bool)
 _OF_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,10 +55,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Whether a run is a digest, identifier, number or path rather than a random string."""
+    """Whether a run is a digest, UUID or number rather than a random string."""
     if _HEX_ANY.fullmatch(run) and len(run) in _DIGESTS:
         return True
-    return bool(_UUID.fullmatch(run) or _NUMERIC.fullmatch(run) or _WORDY.fullmatch(run))
+    return bool(_UUID.fullmatch(run) or _NUMERIC.fullmatch(run))
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +95,14 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, ratio:
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if known(run) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        if known(run):
             continue
         if any(a < m.end() and m.start() < z for _, a, z in taken):
             continue
         # a very long run is judged by parts of LONGEST_RUN characters, all of it counted
         n = sum(len(encoding.encode_ordinary(run[k : k + LONGEST_RUN])) for k in range(0, len(run), LONGEST_RUN))
-        if len(run) < ratio * n:
+        wordy = not re.search("[0-9]", run) or _WORDY.fullmatch(run)
+        if len(run) < (STRICT if wordy else 1) * ratio * n:
             out.append(("random", m.start(), m.end()))
     return out
 
@@ -115,8 +118,8 @@ def _scanner(vocabulary: str, ratio: float):
             long = z - a >= 16
             a, z = a[long], z[long]
             if len(a):
-                digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
-                a, z = a[digits[z] > digits[a]], z[digits[z] > digits[a]]
+                letters = np.concatenate([[0], np.cumsum(_LETTER[w.data])])
+                a, z = a[letters[z] > letters[a]], z[letters[z] > letters[a]]
                 odd |= np.diff(np.searchsorted(a, w.offsets)) > 0
             for k in range(n):
                 value = column[w.first + k].as_py() or ""
