@@ -91,13 +91,18 @@ def _encoding(path: str):
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, ratio: float) -> list[tuple[str, int, int]]:
-    """Runs with too few characters a token, outside the spans that are taken."""
+    """Runs with too few characters a token that the taken spans do not cover whole."""
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
         if known(run):
             continue
-        if any(a < m.end() and m.start() < z for _, a, z in taken):
+        done = m.start()
+        for a, z in sorted((a, z) for _, a, z in taken if a < m.end() and m.start() < z):
+            if a > done:
+                break
+            done = max(done, z)
+        if done >= m.end():
             continue
         # a very long run is judged by parts of LONGEST_RUN characters, all of it counted
         n = sum(len(encoding.encode_ordinary(run[k : k + LONGEST_RUN])) for k in range(0, len(run), LONGEST_RUN))
