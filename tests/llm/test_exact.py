@@ -429,6 +429,24 @@ def test_outliers(spark):
         assert r.kept == (i < 1000)
 
 
+def test_outliers_in_one_statistic(spark):
+    """Some symbols, or half the lines repeated, are enough beside clean texts of many lines."""
+    rng = random.Random(9)
+    lined = lambda n: [prose(rng, 4) for _ in range(n)]
+    rows = [(k, "\n".join(lined(rng.randint(12, 40))), "en", "s0") for k in range(400)]
+    for k, share in enumerate((0.05, 0.1, 0.2)):
+        text = "\n".join(lined(24))
+        rows.append((1000 + k, text + " " + "#" * int(share * len(text) / (1 - share)), "en", "s0"))
+    short = [prose(rng, 4).split() for _ in range(12)]
+    # lines of two words, so that repeated lines make no repeated window of five words
+    twice = [" ".join(w[:2]) for w in short]
+    rows.append((2000, "\n".join(twice + rng.sample(twice, 12)), "en", "s0"))
+    out = {r.doc_id: r for r in outliers.robust_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), least=50).collect()}
+    assert not any(out[k].base_failed for k in (1000, 1001, 1002, 2000))
+    assert [k for k in (1000, 1001, 1002, 2000) if out[k].kept] == []
+    assert sum(out[k].kept for k in range(400)) >= 390
+
+
 def test_outlier_distances_follow_the_estimate(spark):
     """The distance to a known centre and covariance equals that of linear algebra."""
     rng = np.random.default_rng(3)

@@ -21,7 +21,9 @@ from .shared import cut
 SPACES = " \t\n\x0b\f\r"
 DIMS = 4
 #: Least standard deviation of each statistic, in thousandths: word count, word length, symbols, repeated lines.
-FLOORS = (700, 120, 500, 500)
+FLOORS = (700, 120, 300, 300)
+#: The 0.999 quantile of the chi-square distribution with 4 degrees of freedom.
+CUTOFF = 18.467
 #: Median of the chi-square distribution with 4 degrees of freedom.
 CHI_MEDIAN = 3.3567
 SALTS = 16
@@ -65,7 +67,8 @@ def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
     prods = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     df = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *prods)
     mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)]
-    cov = [(F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n")) + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    raw = lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))
+    cov = [(F.greatest(raw(i, j), F.lit(float(FLOORS[i] ** 2))) if i == j else raw(i, j)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     return df.select(*keys, *mean, *cov)
 
 
@@ -97,7 +100,7 @@ def _quantised(d2: str = "d2") -> Column:
     return F.round(200 * F.log1p(d2)).cast("bigint")
 
 
-def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 30.0, core: float = 0.75, steps: int = 3, least: int = 200) -> DataFrame:
+def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, core: float = 0.75, steps: int = 3, least: int = 200) -> DataFrame:
     """Per input row: id_col, the counts of ``text_counts``, base_failed, distance, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows. kept is false for these
@@ -119,7 +122,7 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sound, keys = rows.where("not base_failed"), ["g", "s"]
 
     mid = sound.groupBy(*keys).agg(*(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)))
-    var = [((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) ** 2 / 1.349**2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    var = [(F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) ** 2 / 1.349**2, F.lit(float(FLOORS[i] ** 2))) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     fit = cut(_cholesky(mid.select(*keys, *(f"m{i}" for i in range(DIMS)), *var), keys), "estimate")
     for _ in range(steps):
         far = _distance(sound, fit, keys).withColumn("q", _quantised())
