@@ -13,18 +13,22 @@ Plan, each step over all rows and none with an unbounded group in a task:
    Equal sets form a class; one row of a class goes on.
 2. A half key that only one class has cannot take part in a shared table, so
    those go before the key pairs are formed.
-3. A table bucket of up to ``SMALL`` classes gives all its pairs. In a larger
-   one every class is paired with a pivot, the class with the most shared
-   buckets. Rounds with other pivots go on, between parts of a bucket that are
-   not yet connected, until one adds no link or ``ROUNDS`` are done.
+3. A table bucket of up to ``SMALL`` classes gives all its pairs. A larger one
+   gives a star: each class is paired with the bucket's pivot, the class that
+   shares most half keys with others. Buckets with one pivot are one star, so
+   from here on a class has a row per star instead of one per table.
 4. Pairs whose minhashes agree far too seldom go; the rest are verified on full
-   sets from a second scan, and links are closed into components by label
-   propagation with pointer jumping. All of it stays on the executors.
-5. Large buckets that still hold several components are compared in full: their
-   members form families (buckets with a common member are one family), and
-   every pair of a family's blocks counts the common shingles of all its pairs
-   of different components. This is quadratic in the members of a family that
-   are not yet connected, in blocks of bounded size.
+   sets, which a second scan writes once, for the classes of stars and pairs.
+   Links are closed into components by label propagation with pointer jumping.
+   All of it stays on the executors.
+5. Stars that then still hold several components are compared in full: their
+   members form families (stars with a common member are one family), and every
+   pair of a family's blocks counts the common shingles of all its pairs of
+   different components. This is quadratic in the members of a family that are
+   not yet connected, in blocks of bounded size.
+
+So a pair that shares a table is compared, or its texts are in one component
+already: nothing depends on how large a bucket is.
 """
 
 from __future__ import annotations
@@ -34,16 +38,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import bitmap, words
-from .shared import cut
+from .shared import Scratch
 
 #: Largest bucket that gives all its pairs.
 SMALL = 8
-#: Most rounds with pivots. They only spare work: whatever they leave unconnected is compared in full.
-ROUNDS = 3
+#: Pairs of one pivot that meet its set in a task.
+FAN = 512
 #: About the most classes, and shingles of all of them, in a block of a family.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
@@ -122,38 +126,34 @@ def set_maker(n: int, wanted):
     return sets
 
 
-def components(links: DataFrame, name: str = "labels") -> DataFrame:
+def components(links: DataFrame, held: Scratch, name: str = "labels") -> DataFrame:
     """id, component: the smallest id that each linked id reaches over links (a, b).
 
     Every round takes the smallest label among the neighbours, then the label of that label, so that chains shrink
     at least by half. Only the number of changed labels comes to the driver.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), name)
+    edges = f"{name}-edges"
+    both = held.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), edges)
+    labels, last, turn = held.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), f"{name}-0"), f"{name}-0", 0
     while True:
         near = both.join(labels.select(F.col("id").alias("a"), "c"), "a").groupBy("b").agg(F.min("c").alias("m")).select(F.col("b").alias("id"), "m")
         step = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
-        step = cut(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("c")), name)
-        changed = step.where("c != old").limit(1).count()
-        labels = step.select("id", "c")
-        if not changed:
+        step = step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("c"))
+        turn, seen = turn + 1, Observation()
+        labels = held.keep(step.observe(seen, F.count_if(F.col("c") != F.col("old")).alias("changed")), f"{name}-{turn}").select("id", "c")
+        held.drop(last)
+        last = f"{name}-{turn}"
+        if not seen.get["changed"]:
+            held.drop(edges)
             return labels.select("id", F.col("c").alias("component"))
 
 
-def _pairs(hits: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of the buckets' members; hits: key, rep, size, pop and, after the first turn, component."""
-    rank = F.struct("pop", (-F.col("rep")).alias("o")) if not turn else F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"))
-    extra = ["component"] if turn else []
-    large = hits.where(F.col("size") > SMALL)
-    pivot = large.groupBy("key").agg(F.max_by(F.struct("rep", *extra), rank).alias("p"))
-    apart = (F.col("component") != F.col("p.component")) if turn else F.col("rep") != F.col("p.rep")
-    star = large.join(pivot, "key").where(apart).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-    if turn:
-        return star.distinct()
+def _small_pairs(hits: DataFrame) -> DataFrame:
+    """All pairs (pivot, rep) of the members of small buckets; hits: key, rep, size."""
     small = hits.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("r"))
-    each = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + F.lit(2), F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return star.union(small.select(F.explode(each).alias("x")).select("x.a", "x.b")).distinct()
+    each = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + F.lit(2), F.lit(SMALL)), lambda y: F.struct(x.alias("pivot"), y.alias("rep")))))
+    return small.select(F.explode(each).alias("x")).select("x.pivot", "x.rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 2e-4) -> DataFrame:
@@ -169,69 +169,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     half, rows = collections(percent, miss)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(docs.mapInArrow(signer(shingle, half, rows), "id bigint, n bigint, s1 bigint, s2 bigint, mh array<int>"), "minhash")
-    classes = cut(sig.where("id is not null and n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "mh")).alias("r")).select("s1", "s2", "r.*"), "classes")
+    held = Scratch(docs.sparkSession, "near-duplicates")
+    sig = held.keep(docs.mapInArrow(signer(shingle, half, rows), "id bigint, n bigint, s1 bigint, s2 bigint, mh array<int>"), "minhash")
+    classes = held.keep(sig.where("id is not null and n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "mh")).alias("r")).select("s1", "s2", "r.*"), "classes")
 
     halves = classes.select(F.col("id").alias("rep"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), lambda k: F.xxhash64(F.slice("mh", k * rows + 1, F.lit(rows))))).alias("pos", "val"))
-    shared = halves.groupBy("pos", "val").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    own = halves.join(shared, ["pos", "val"]).groupBy("rep").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
-    pairs = F.flatten(F.transform(F.filter("h", lambda x: x["pos"] < half), lambda x: F.transform(F.filter("h", lambda y: y["pos"] >= half), lambda y: F.xxhash64(x, y))))
-    keys = own.select("rep", F.explode(pairs).alias("key"))
-    size = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = cut(keys.join(size, "key"), "buckets")
-    pop = hits.groupBy("rep").agg(F.sum("size").alias("pop"))
-    ranked = hits.join(pop, "rep")
-
-    mh = classes.select(F.col("id").alias("rep"), "mh", F.col("n").alias("m"))
+    shared = halves.groupBy("pos", "val").agg(F.count("*").alias("c")).where("c > 1")
+    own = halves.join(shared, ["pos", "val"]).groupBy("rep").agg(F.collect_list(F.struct("pos", "val")).alias("h"), F.sum("c").alias("pop"))
+    tables = F.flatten(F.transform(F.filter("h", lambda x: x["pos"] < half), lambda x: F.transform(F.filter("h", lambda y: y["pos"] >= half), lambda y: F.xxhash64(x, y))))
+    keys = own.select("rep", "pop", F.explode(tables).alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.max_by("rep", F.struct("pop", (-F.col("rep")).alias("o"))).alias("pivot")).where("size > 1")
+    hits = held.keep(keys.select("key", "rep").join(buckets, "key"), "hits")
+    stars = held.keep(hits.where((F.col("size") > SMALL) & (F.col("rep") != F.col("pivot"))).select("pivot", "rep").distinct(), "stars")
+
+    mh = classes.select("id", "mh", "n")
+    cand = stars.union(_small_pairs(hits)).distinct().join(mh.toDF("rep", "mh_r", "n_r"), "rep").join(mh.toDF("pivot", "mh_p", "n_p"), "pivot")
+    alike = F.size(F.filter(F.zip_with("mh_r", "mh_p", lambda x, y: x == y), lambda z: z))
     agree = max(0, int(2 * half * rows * (percent / 100 - 0.22)))
-    tried, links, labels, turn = None, None, None, 0
-    while True:
-        cand = _pairs(ranked if not turn else large, turn)
-        if tried is not None:
-            cand = cand.join(tried, ["a", "b"], "left_anti")
-        cand = cand.join(mh.toDF("a", "mh_a", "na"), "a").join(mh.toDF("b", "mh_b", "nb"), "b")
-        alike = F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda z: z))
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        cand = cut(cand.withColumn("ok", fits & (alike >= agree)).select("a", "b", "na", "nb", "ok"), "pairs")
-        good = cand.where("ok")
-        found = _verified(docs, good, shingle, percent)
-        turn += 1
-        tried = cand.select("a", "b") if tried is None else tried.union(cand.select("a", "b"))
-        fresh = found.limit(1).count()
-        if fresh:
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        named = ranked.where(F.col("size") > SMALL)
-        if labels is None:
-            named = named.withColumn("component", F.col("rep"))
-        else:
-            named = named.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        large = cut(named.join(mixed, "key"), "mixed")
-        if not large.limit(1).count():
-            break
-        if not fresh or turn == ROUNDS:
-            found = _rest(docs, large, shingle, percent)
-            if found.limit(1).count():
-                labels = components(found if links is None else links.union(found))
-            break
-
-    named = classes.select("s1", "s2", F.col("id").alias("rep"))
-    if labels is not None:
-        named = named.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    out = sig.select("id", "n", "s1", "s2").join(named.select("s1", "s2", "rep"), ["s1", "s2"], "left")
+    fits = 100 * F.least("n_r", "n_p") >= percent * F.greatest("n_r", "n_p")
+    good = held.keep(cand.where(fits & (alike >= agree)).select("pivot", "rep"), "pairs")
+    held.drop("hits")
+
+    wanted = bitmap.build(stars.union(good).select(F.explode(F.array("pivot", "rep")).alias("v")).distinct(), "v")
+    sets = held.keep(docs.where("id is not null").mapInArrow(set_maker(shingle, wanted), "id bigint, s array<bigint>"), "sets")
+    links = held.keep(_verified(good, sets, percent), "links")
+    labels = components(links, held)
+    more = _rest(stars, labels, sets, percent, held)
+    if more is not None:
+        labels = components(links.union(more), held, "all-labels")
+    held.drop("stars", "pairs", "sets", "links", "rest")
+
+    named = classes.select("s1", "s2", F.col("id").alias("rep")).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("rep"))
+    out = sig.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _verified(docs: DataFrame, good: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs of good that hold on full sets."""
-    wanted = bitmap.build(good.select(F.col("a").alias("v")).union(good.select("b")), "v")
-    sets = docs.where("id is not null").mapInArrow(set_maker(shingle, wanted), "id bigint, s array<bigint>")
-    both = good.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
+def _verified(good: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of good that hold on full sets, as links (a, b). A pivot's set goes to as many tasks as its pairs need."""
+    fan = good.groupBy("pivot").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
+    turn = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("fan")).cast("int")
+    left = good.join(fan, "pivot").withColumn("turn", turn).drop("fan").join(sets.toDF("rep", "s_r"), "rep")
+    right = fan.join(sets.toDF("pivot", "s_p"), "pivot").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+    shared = F.size(F.array_intersect("s_r", "s_p"))
+    near = 100 * shared >= percent * (F.size("s_r") + F.size("s_p") - shared)
     # repeated ids give their pairs more than once, and with each of their texts
-    return cut(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
+    return left.join(right, ["pivot", "turn"]).where(near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -296,22 +279,27 @@ def _block_links(percent: int):
     return compare
 
 
-def _rest(docs: DataFrame, large: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links that join all components that pairs within the large buckets link; large: key, rep, component.
+def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, held: Scratch) -> DataFrame | None:
+    """Links that join all components that pairs within stars link; None if no star holds several.
 
     A family's largest component needs no comparison with itself: its members lie in blocks of their own (0, 2, ...).
     """
-    heads = large.groupBy("key").agg(F.min("rep").alias("head"))
-    edges = large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    family = components(edges, "families").toDF("rep", "family")
-    members = cut(large.select("rep", "component").distinct().join(family, "rep"), "members")
-    main = members.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    named = labels.toDF("rep", "component")
+    at_pivot = labels.toDF("pivot", "c")
+    known = stars.join(named, "rep", "left").join(at_pivot, "pivot", "left").withColumns({"component": F.coalesce("component", "rep"), "c": F.coalesce("c", "pivot")})
+    mixed = known.where("component != c").select("pivot").distinct()
+    large = held.keep(known.join(mixed, "pivot", "left_semi"), "mixed")
+    if not large.limit(1).count():
+        held.drop("mixed")
+        return None
+    family = components(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), held, "families").toDF("rep", "family")
+    members = large.select("rep", "component").union(large.select("pivot", "c")).distinct().join(family, "rep")
+    members = held.keep(members, "members")
+    main = members.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     members = members.join(main, "family").withColumn("rest", (F.col("component") != F.col("main")).cast("int")).drop("main")
 
-    wanted = bitmap.build(members, "rep")
-    sets = docs.where("id is not null").mapInArrow(set_maker(shingle, wanted), "id bigint, s array<bigint>").toDF("rep", "s")
     # repeated ids have a row for each of their texts
-    rows = cut(members.join(sets, "rep"), "family-sets")
+    rows = held.keep(members.join(sets.toDF("rep", "s"), "rep"), "family-sets")
     sizes = rows.groupBy("family", "rest").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("s")) / BLOCK_SHINGLES)).cast("int").alias("k"))
     deal = sizes.groupBy("family").agg(*(F.coalesce(F.max(F.when(F.col("rest") == r, F.col("k"))), F.lit(0)).alias(f"k{r}") for r in (0, 1)))
     rows = rows.join(deal, "family")
@@ -320,4 +308,6 @@ def _rest(docs: DataFrame, large: DataFrame, shingle: int, percent: int) -> Data
     others = F.when(F.col("rest") == 1, F.concat(blocks(0), blocks(1))).otherwise(blocks(1))
     pairs = rows.withColumn("side", side).withColumn("other", F.explode(others))
     pairs = pairs.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "component", "s")
-    return cut(pairs.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct(), "rest")
+    out = held.keep(pairs.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct(), "rest")
+    held.drop("mixed", "members", "family-sets")
+    return out

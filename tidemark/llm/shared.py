@@ -25,6 +25,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that cut the lineage of one run of an operator, emptied as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.schemas = spark, f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.schemas[name] = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Put no rows in place of the tables of these names, where there are such."""
+        for name in names:
+            if schema := self.schemas.pop(name, None):
+                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id as decimal text, modulo m; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
