@@ -134,18 +134,17 @@ def components(links: DataFrame, held: Scratch, name: str = "labels") -> DataFra
     """
     edges = f"{name}-edges"
     both = held.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), edges)
-    labels, last, turn = held.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), f"{name}-0"), f"{name}-0", 0
+    labels, turn = held.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), f"{name}-0"), 0
     while True:
         near = both.join(labels.select(F.col("id").alias("a"), "c"), "a").groupBy("b").agg(F.min("c").alias("m")).select(F.col("b").alias("id"), "m")
         step = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
         step = step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("c"))
         turn, seen = turn + 1, Observation()
-        labels = held.keep(step.observe(seen, F.count_if(F.col("c") != F.col("old")).alias("changed")), f"{name}-{turn}").select("id", "c")
-        held.drop(last)
-        last = f"{name}-{turn}"
+        # two tables by turns: a round reads one and overwrites the other
+        labels = held.keep(step.observe(seen, F.count_if(F.col("c") != F.col("old")).alias("changed")), f"{name}-{turn % 2}").select("id", "c")
         if not seen.get["changed"]:
-            held.drop(edges)
+            held.drop(edges, f"{name}-{(turn + 1) % 2}")
             return labels.select("id", F.col("c").alias("component"))
 
 
@@ -195,11 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = held.keep(_verified(good, sets, percent), "links")
     labels = components(links, held)
     more = _rest(stars, labels, sets, percent, held)
+    named = classes.select("s1", "s2", F.col("id").alias("rep")).join(labels.toDF("rep", "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("rep"))
     if more is not None:
-        labels = components(links.union(more), held, "all-labels")
+        for end in "ab":  # links between components
+            more = more.join(labels.toDF(end, f"c_{end}"), end, "left").withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
+        named = named.join(components(more, held, "joined").toDF("rep", "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("rep"))
     held.drop("stars", "pairs", "sets", "links", "rest")
 
-    named = classes.select("s1", "s2", F.col("id").alias("rep")).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("rep"))
     out = sig.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
