@@ -222,6 +222,18 @@ def test_repeats_over_slices(spark, monkeypatch):
     assert got == {i: v[2] for i, v in repeats_truth(rows, 20).items()}
 
 
+def test_repeats_with_salted_anchors_and_a_full_bitmap(spark, monkeypatch):
+    """Every anchor is dealt to several tasks, and the bitmap lets everything through."""
+    monkeypatch.setattr(substrings, "SLICE", 2000)
+    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 0)
+    build = substrings.bitmap.build
+    monkeypatch.setattr(substrings.bitmap, "build", lambda df, column: build(df, column, 32))
+    rows = corpus(9)
+    got = {r.doc_id: r.kept_text for r in substrings.remove_repeats(frame(spark, rows).repartition(5)).select("row.doc_id", "kept_text").collect()}
+    assert got == {i: v[2] for i, v in repeats_truth(rows, 20).items()}
+
+
 def test_repeats_odd(spark):
     out = substrings.remove_repeats(odd_documents(spark)).select("row.*", F.col("n_removed").alias("gone"), F.col("kept_text").alias("left"))
     got = [(r.doc_id, r.gone, r.left) for r in out.collect()]

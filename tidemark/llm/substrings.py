@@ -2,22 +2,25 @@
 
 A window of ``window`` words holds window - base + 1 runs of ``base`` words; the
 one with the smallest hash is its anchor, so equal windows have equal anchors at
-equal places. Levels go base, 2 * base, ... window. At each level only what was
-repeated one level below is looked at:
-
-* base: hashes of the anchors alone, about 2 / (window - base + 2) of all
-  positions, are counted.
-* 2 * base ...: windows with a repeated anchor that lie side by side and have it
-  in common form a group, and the run of that length which holds the anchor (to
-  its right, or where the windows end too early, to its left) is counted.
-* window: groups whose run was repeated are compared, by the hash of all their
-  words where the level below found the run in one surrounding only, else window
-  by window; all but the earliest occurrence are marked. Keys have 96 bits.
-
-What is repeated at a level goes to the next scan as a bitmap of fixed size,
-whose false hits the last level undoes. Equal windows within a slice of text are
-resolved where they are read, so a key has at most one row per slice and the
-hottest passage stays small in the last shuffle.
+equal places. Windows that lie side by side and have their anchor in common form
+a group, about 2 / (window - base + 2) of all positions. Levels go base, 2 *
+base, ... window; at each only what was repeated one level below is looked at:
+
+* A first scan counts the anchors of groups. Those that recur go to the second
+  scan as a bitmap, whose false hits the levels undo and which merely lets more
+  rows through where it is too small for all of them.
+* The second scan gives a row per group: the hash of its anchor, that of the run
+  of each further level that holds the anchor (to its right, or where the windows
+  end too early, to its left), and the hashes of its windows. Equal longer runs
+  have equal anchors, so one shuffle, by anchor, serves all levels.
+* base ... window / 2: a group goes on if its run recurs. Where a run was found in
+  one surrounding only, the group is compared as a whole, else window by window;
+  all but the earliest occurrence are marked. Keys are 192 bits of three levels.
+
+Equal groups within a slice of text are resolved where they are read, so a key has
+at most one such row per slice. Anchors that recur in very many slices are dealt
+to ``SALTS`` tasks each: every task finds its earliest occurrences, and only those
+meet in a second comparison.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmap, words
+from .shared import Scratch
 
 SLICE = 1 << 21
+#: An anchor in this many slices, and in more than the given share of all rows, is dealt to SALTS tasks. The share
+#: bounds the number of such anchors, which are broadcast, by its inverse.
+HOT, HOT_SHARE, SALTS = 20_000, 2.0**-18, 128
 #: Keeps runs to the left of their anchor apart from those to the right.
 _LEFT = np.uint64(0x5BD1E9955BD1E995)
 
@@ -55,129 +62,122 @@ def _levels(window: int) -> list[int]:
     return out
 
 
-class _Slice:
-    """Windows of a slice that are still candidates after the levels whose bitmaps are given."""
+class _Groups:
+    """The groups of windows of a slice: per group the first window and the number of them, and the keys of each level."""
 
-    def __init__(self, w: words.Words, window: int, maps: list):
-        self.window, lens = window, _levels(window)
-        self.base, self.h = lens[0], {1: w.hashes()}
-        self.h[self.base] = words.ngrams(self.h[1], self.base)
+    def __init__(self, w: words.Words, window: int, recurring: np.ndarray | None = None):
+        lens = _levels(window)
+        base, self.h = lens[0], {1: w.hashes()}
+        self.h[base] = words.ngrams(self.h[1], base)
         for n in lens[1:]:
             half = self.h[n // 2]
             self.h[n] = words.join(half[: len(half) - n // 2], half[n // 2 :]) if len(half) > n // 2 else half[:0]
-        self.at = np.flatnonzero(w.room() >= window)
-        self.anchor = _smallest(self.h[self.base], window - self.base + 1)[self.at] if len(self.at) else self.at
-        for n, found in zip(lens, maps, strict=False):
-            key = self.keys(n)
-            stays = np.zeros(len(key), bool)
-            for f in found:
-                stays |= bitmap.hit(f, key)
-            self.at, self.anchor = self.at[stays], self.anchor[stays]
-
-    def left(self, n: int) -> np.ndarray:
-        """Whether a run of n words from the anchor on would leave the window, so that the one before its end is meant."""
-        return self.anchor - self.at > self.window - n
-
-    def keys(self, n: int) -> np.ndarray:
-        """The hash of the run of n words that holds each window's anchor."""
-        left = self.left(n)
-        return self.h[n][self.anchor - left * (n - self.base)] ^ (left * _LEFT)
-
-    def groups(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where groups of windows with one run of n words begin, and how many windows each has."""
-        if not len(self.at):
-            return self.at, self.at
-        left = self.left(n)
-        new = np.ones(len(self.at), bool)
-        new[1:] = (self.at[1:] != self.at[:-1] + 1) | (self.anchor[1:] != self.anchor[:-1]) | (left[1:] != left[:-1])
+        at = np.flatnonzero(w.room() >= window)
+        anchor = _smallest(self.h[base], window - base + 1)[at] if len(at) else at
+        if recurring is not None and len(at):
+            stays = bitmap.hit(recurring, self.h[base][anchor])
+            at, anchor = at[stays], anchor[stays]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        below = lens[:-1] or lens
+        for n in below:
+            left = anchor - at > window - n
+            new[1:] |= left[1:] != left[:-1]
         first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(self.at)))
-
-    def surroundings(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        self.size = np.diff(np.append(first, len(at)))
+        self.at, anchor = at[first], anchor[first]
+        self.keys = []
+        for n in below:
+            left = anchor - self.at > window - n
+            self.keys.append(self.h[n][anchor - left * (n - base)] ^ (left * _LEFT))
+        self.windows = self.h[window]
+
+    def surroundings(self) -> np.ndarray:
         """A hash of all words of each group: its first and last window overlap or meet."""
-        h = self.h[self.window]
-        return words.mix(h[self.at[first]] * words._ODD[21] + h[self.at[first + size - 1]] * words._ODD[22] + size.astype(np.uint64))
+        h = self.windows
+        return words.mix(h[self.at] * words._ODD[21] + h[self.at + self.size - 1] * words._ODD[22] + self.size.astype(np.uint64))
 
 
-def _counter(window: int, maps: list, n: int):
-    """text -> k, c, lo, hi: occurrences of each run of n words, with the least and largest hash of what surrounds it."""
+def _counter(window: int):
+    """text -> k: the distinct anchors of a slice, twice those that it holds several times."""
 
     def count(batches):
-        found = [[m.value for m in level] for level in maps]
         for batch in batches:
             for w in words.slices(batch.column(0), size=SLICE):
-                s = _Slice(w, window, found)
-                first, size = s.groups(n)
-                if not len(first):
-                    continue
-                key = s.keys(n)[first]
-                around = s.surroundings(first, size) if 2 * n == window or n == window else np.zeros(len(key), np.uint64)
-                order = np.argsort(key, kind="stable")
-                key, around = key[order], around[order].view(np.int64)
-                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                c = np.diff(np.append(at, len(key)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), c.astype(np.int64), np.minimum.reduceat(around, at), np.maximum.reduceat(around, at))], ["k", "c", "lo", "hi"])
+                k, c = np.unique(_Groups(w, window).keys[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.minimum(c, 2).astype(np.int32))], ["k", "c"])
 
     return count
 
 
-def _finder(window: int, maps: list):
-    """id, tag, text -> k1, k2, id, tag, at, spans; rows with spans tell what is known to be later from the slice alone."""
-    lens = _levels(window)
+def _finder(window: int, recurring, hot):
+    """id, tag, text -> a row per group of recurring anchor; rows with spans tell what is known to be later from the slice alone."""
 
     def find(batches):
-        found = [[m.value for m in level] for level in maps]
+        common = hot.value
         for batch in batches:
             known = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for w in words.slices(batch.column(2), size=SLICE):
-                s = _Slice(w, window, found)
-                if not len(s.at):
+                g = _Groups(w, window, recurring.value)
+                if not len(g.at):
                     continue
-                k1 = s.h[window][s.at]
-                k2 = words.mix(k1 * np.uint64(3) ^ s.h[s.base][s.anchor])
-                size = np.ones(len(s.at), np.int64)
-                at = s.at
-                if found:  # groups in one surrounding only are one row
-                    first, n = s.groups(lens[-2])
-                    whole = ~bitmap.hit(found[-1][1], s.keys(lens[-2])[first])
-                    around = s.surroundings(first, n)
-                    k1[first[whole]] = around[whole]
-                    k2[first[whole]] = words.mix(around[whole] * np.uint64(5) ^ s.h[s.base][s.anchor[first[whole]]])
-                    size[first[whole]] = n[whole]
-                    stays = ~np.repeat(whole, n)
-                    stays[first] = True
-                    k1, k2, size, at = k1[stays], k2[stays], size[stays], at[stays]
-                doc = np.searchsorted(w.bounds, at, "right") - 1
-                start = at - w.bounds[doc]
-                ids = known[w.first : w.last][doc]
-                k2 &= np.uint64(0x7FFFFFFF)
-                order = np.lexsort((start, ids, k2, k1))
-                k1, k2, doc, start, ids, size = (x[order] for x in (k1, k2, doc, start, ids, size))
-                new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-                head = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
-                later = (ids != ids[head]) | (start != start[head])
-                e = ~later
-                tag = tags[w.first : w.last]
-                yield _batch(k1[e], k2[e], ids[e], tag[doc[e]], start[e] << 20 | size[e], None)
-                d, b, z = doc[later], start[later], start[later] + size[later] - 1 + window
+                around = g.surroundings()
+                doc = np.searchsorted(w.bounds, g.at, "right") - 1
+                ids, tag, start = known[w.first : w.last][doc], tags[w.first : w.last][doc], g.at - w.bounds[doc]
+                order = np.lexsort((start, ids, around, *g.keys))
+                same = np.zeros(len(order), bool)
+                same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (around, *g.keys)])
+                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                later = np.empty(len(order), bool)
+                later[order] = (ids[order] != ids[head]) | (start[order] != start[head])
+                e = np.flatnonzero(~later)
+                salt = np.where(np.isin(g.keys[0][e], common), 1 + words.mix(ids[e].astype(np.uint64)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
+                size = g.size[e]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                inner = np.repeat(g.at[e] - ends[:-1], size) + np.arange(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g.windows[inner].view(np.int64)))
+                yield _rows([k[e] for k in g.keys], salt, around[e], ids[e], tag[e], start[e], size, lists, None)
+                d = np.flatnonzero(later)
                 if len(d):
-                    o = np.lexsort((b, d))
-                    d, b, z = d[o], b[o], z[o]
-                    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (b[1:] > z[:-1])))
+                    d = d[np.lexsort((start[d], doc[d]))]
+                    b, z = start[d], start[d] + g.size[d] - 1 + window
+                    first = np.flatnonzero(np.append(True, (doc[d][1:] != doc[d][:-1]) | (b[1:] > z[:-1])))
                     last = np.append(first[1:], len(d)) - 1
                     span = np.stack([b[first], z[last]], 1).astype(np.int32)
-                    of, begin = np.unique(d[first], return_index=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)).astype(np.int32) * 2), pa.array(span.ravel()))
-                    own = known[w.first : w.last][of]
-                    yield _batch(words.mix(own.astype(np.uint64)), tag[of].astype(np.uint64), own, tag[of], np.full(len(of), -1), lists)
+                    of, begin = np.unique(doc[d][first], return_index=True)
+                    spans = pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)).astype(np.int32) * 2), pa.array(span.ravel()))
+                    own, tag = known[w.first : w.last][of], tags[w.first : w.last][of]
+                    zero = np.zeros(len(of), np.uint64)
+                    # these only pass: they are dealt by document
+                    yield _rows([words.mix(own.astype(np.uint64)), *[zero] * (len(g.keys) - 1)], zero.astype(np.int32), zero, own, tag, zero, zero, None, spans)
 
     return find
 
 
-def _batch(k1, k2, ids, tag, at, spans):
-    cols = [pa.array(k1.view(np.int64)), pa.array(k2.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(tag.astype(np.int16)), pa.array(at.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([*cols, spans if spans is not None else pa.nulls(len(k1), pa.list_(pa.int32()))], ["k1", "k2", "id", "tag", "at", "spans"])
+def _rows(keys, salt, around, ids, tag, at, size, windows, spans):
+    n = len(ids)
+    cols = [*(k.view(np.int64) for k in keys), salt, around.view(np.int64), ids.astype(np.int64), tag.astype(np.int16), at.astype(np.int32), size.astype(np.int32)]
+    cols = [pa.array(c) for c in cols] + [windows if windows is not None else pa.nulls(n, pa.list_(pa.int64())), spans if spans is not None else pa.nulls(n, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(cols, [*(f"k{i}" for i in range(len(keys))), "salt", "around", "id", "tag", "at", "size", "windows", "spans"])
+
+
+def _later(groups: DataFrame, levels: int) -> DataFrame:
+    """id, tag, at, size of all but the earliest occurrences, at any level only among what recurs one level below."""
+    keys = [f"k{i}" for i in range(levels)]
+    df = groups.where("spans is null").drop("spans")
+    for i in range(levels):
+        within = Window.partitionBy("k0", "salt", *keys[1 : i + 1])
+        df = df.withColumns({"c": F.count("*").over(within), "lo": F.min("around").over(within), "hi": F.max("around").over(within)})
+        df = df.where("c > 1 or salt > 0")  # what a salted anchor's tasks hold says nothing about how often it recurs
+    whole = (F.col("lo") == F.col("hi")) & (F.col("salt") == 0)
+    each = F.transform("windows", lambda h, i: F.struct(h.alias("h"), (F.col("at") + i).alias("at"), F.lit(1).alias("size")))
+    unit = F.when(whole, F.array(F.struct(F.col("around").alias("h"), "at", "size"))).otherwise(each)
+    df = df.select(*keys, "salt", "id", "tag", F.explode(unit).alias("u")).select(*keys, "salt", "id", "tag", "u.*")
+    df = df.withColumn("r", F.rank().over(Window.partitionBy("k0", "salt", *keys[1:], "h").orderBy("id", "at")))
+    # the earliest of each salted task meet once more
+    met = df.where("r = 1 and salt > 0").withColumn("r", F.rank().over(Window.partitionBy(*keys, "h").orderBy("id", "at")))
+    return df.where("r > 1").union(met.where("r > 1")).select("id", "tag", "at", "size")
 
 
 def _strip(window: int):
@@ -191,8 +191,8 @@ def _strip(window: int):
                 step = np.zeros(n + 1, np.int64)
                 if a is not None and len(a):
                     a = a.to_numpy(zero_copy_only=False)
-                    np.add.at(step, a >> 20, 1)
-                    np.add.at(step, (a >> 20) + (a & 0xFFFFF) - 1 + window, -1)
+                    np.add.at(step, a >> 32, 1)
+                    np.add.at(step, (a >> 32) + (a & 0xFFFFFFFF) - 1 + window, -1)
                 for x in b if b is not None else ():
                     x = np.asarray(x.as_py(), np.int64)
                     np.add.at(step, x[::2], 1)
@@ -219,16 +219,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     all_rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.hash(F.col(text_col)).bitwiseAND(0x7FFF).cast("smallint").alias("tag"), F.col(text_col).cast("string").alias("text"))
     plain = all_rows.where("id is not null").select("id", "tag", "text")
-    maps: list = []
-    for n in _levels(window)[:-1]:
-        counted = plain.select("text").mapInArrow(_counter(window, maps, n), "k bigint, c bigint, lo bigint, hi bigint")
-        again = counted.groupBy("k").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1")
-        # on the last level before the whole window, runs in one surrounding and in several are told apart
-        maps.append(bitmap.build_each(again, "k", [F.lit(True)] if 2 * n < window else [F.col("lo") == F.col("hi"), F.col("lo") != F.col("hi")]))
-    found = plain.mapInArrow(_finder(window, maps), "k1 bigint, k2 int, id bigint, tag smallint, at bigint, spans array<int>")
-    order = Window.partitionBy("k1", "k2").orderBy("id", "at")
-    later = found.withColumn("r", F.rank().over(order)).where("r > 1 or spans is not null")
-    own = later.groupBy("id", "tag").agg(F.collect_list(F.when(F.col("spans").isNull(), F.col("at"))).alias("starts"), F.collect_list("spans").alias("spans"))
+    spark, held = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
+    counted = plain.select("text").mapInArrow(_counter(window), "k bigint, c int")
+    again = held.keep(counted.groupBy("k").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where("c > 1").select("k", "n"), "anchors")
+    total = again.agg(F.sum("n")).head()[0] or 0
+    # at most 1 / HOT_SHARE keys: their rows are that share of all, each
+    hot = [r["k"] for r in again.where(F.col("n") > max(HOT, int(total * HOT_SHARE))).select("k").toLocalIterator()]
+    hot = spark.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64))
+    levels = max(1, len(_levels(window)) - 1)
+    schema = ", ".join(f"k{i} bigint" for i in range(levels)) + ", salt int, around bigint, id bigint, tag smallint, at int, size int, windows array<bigint>, spans array<int>"
+    groups = held.keep(plain.mapInArrow(_finder(window, bitmap.build(again, "k"), hot), schema), "groups")
+    held.drop("anchors")
+    starts = _later(groups, levels).select("id", "tag", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("size")).alias("at"), F.lit(None).cast("array<int>").alias("spans"))
+    later = starts.union(groups.where("spans is not null").select("id", "tag", F.lit(None).cast("bigint"), "spans"))
+    own = later.groupBy("id", "tag").agg(F.collect_list("at").alias("starts"), F.collect_list("spans").alias("spans"))
     own = own.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), "starts", "spans")
     both = all_rows.join(own, (F.col("id") == F.col("own_id")) & (F.col("tag") == F.col("own_tag")), "left")
     # called nondeterministic only so that Spark does not run it again for a filter on its result
