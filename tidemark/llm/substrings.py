@@ -6,16 +6,19 @@ equal places. Windows that lie side by side and have their anchor in common form
 a group, about 2 / (window - base + 2) of all positions. Levels go base, 2 *
 base, ... window; at each only what was repeated one level below is looked at:
 
-* A first scan counts the anchors of groups. Those that recur go to the second
-  scan as a bitmap, whose false hits the levels undo and which merely lets more
-  rows through where it is too small for all of them.
-* The second scan gives a row per group: the hash of its anchor, that of the run
-  of each further level that holds the anchor (to its right, or where the windows
-  end too early, to its left), and the hashes of its windows. Equal longer runs
-  have equal anchors, so one shuffle, by anchor, serves all levels.
-* base ... window / 2: a group goes on if its run recurs. Where a run was found in
-  one surrounding only, the group is compared as a whole, else window by window;
-  all but the earliest occurrence are marked. Keys are 192 bits of three levels.
+* A first scan counts the anchors of groups, runs of ``base`` words.
+* For each further length below ``window`` a scan looks at the groups whose shorter
+  run recurs and gathers, for the run of this length that holds the anchor (to its
+  right, or where the windows end too early, to its left), what surrounds it.
+* The last scan gives a row per group that is left: its keys, a hash of all its
+  words and, where its run was found in several surroundings, the hashes of its
+  windows. Equal runs have equal anchors, so one shuffle, by anchor, brings together
+  whatever may be equal. Groups are compared as a whole or window by window; all but
+  the earliest occurrence are marked. Keys are up to 192 bits of all levels.
+
+What recurs at a level goes to the next scan as a bitmap of bounded size. Its false
+hits do no harm: where it fills up, at worst all groups come to the last shuffle with
+all their windows, about 14 bytes a word of text, and the result stays the same.
 
 Equal groups within a slice of text are resolved where they are read, so a key has
 at most one such row per slice. Anchors that recur in very many slices are dealt
@@ -65,7 +68,7 @@ def _levels(window: int) -> list[int]:
 class _Groups:
     """The groups of windows of a slice: per group the first window and the number of them, and the keys of each level."""
 
-    def __init__(self, w: words.Words, window: int, recurring: np.ndarray | None = None):
+    def __init__(self, w: words.Words, window: int, recurring: list):
         lens = _levels(window)
         base, self.h = lens[0], {1: w.hashes()}
         self.h[base] = words.ngrams(self.h[1], base)
@@ -74,9 +77,6 @@ class _Groups:
             self.h[n] = words.join(half[: len(half) - n // 2], half[n // 2 :]) if len(half) > n // 2 else half[:0]
         at = np.flatnonzero(w.room() >= window)
         anchor = _smallest(self.h[base], window - base + 1)[at] if len(at) else at
-        if recurring is not None and len(at):
-            stays = bitmap.hit(recurring, self.h[base][anchor])
-            at, anchor = at[stays], anchor[stays]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
         below = lens[:-1] or lens
@@ -90,6 +90,10 @@ class _Groups:
         for n in below:
             left = anchor - self.at > window - n
             self.keys.append(self.h[n][anchor - left * (n - base)] ^ (left * _LEFT))
+        stays = np.ones(len(self.at), bool)
+        for key, found in zip(self.keys, recurring, strict=False):
+            stays &= bitmap.hit(found, key)
+        self.at, self.size, self.keys = self.at[stays], self.size[stays], [k[stays] for k in self.keys]
         self.windows = self.h[window]
 
     def surroundings(self) -> np.ndarray:
@@ -98,28 +102,38 @@ class _Groups:
         return words.mix(h[self.at] * words._ODD[21] + h[self.at + self.size - 1] * words._ODD[22] + self.size.astype(np.uint64))
 
 
-def _counter(window: int):
-    """text -> k: the distinct anchors of a slice, twice those that it holds several times."""
+def _counter(window: int, maps: list, last: bool):
+    """text -> k, c, lo, hi: the runs of the level after those of maps, how often a slice holds them (twice at most),
+    and on the last level the least and largest hash of their surroundings."""
 
     def count(batches):
+        recurring = [m.value for m in maps]
         for batch in batches:
             for w in words.slices(batch.column(0), size=SLICE):
-                k, c = np.unique(_Groups(w, window).keys[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.minimum(c, 2).astype(np.int32))], ["k", "c"])
+                g = _Groups(w, window, recurring)
+                if not len(g.at):
+                    continue
+                key = g.keys[len(maps)]
+                around = g.surroundings().view(np.int64) if last else np.zeros(len(key), np.int64)
+                order = np.argsort(key, kind="stable")
+                key, around = key[order], around[order]
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                c = np.minimum(np.diff(np.append(at, len(key))), 2).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), c, np.minimum.reduceat(around, at), np.maximum.reduceat(around, at))], ["k", "c", "lo", "hi"])
 
     return count
 
 
-def _finder(window: int, recurring, hot):
-    """id, tag, text -> a row per group of recurring anchor; rows with spans tell what is known to be later from the slice alone."""
+def _finder(window: int, maps: list, several, hot):
+    """id, tag, text -> a row per group whose runs recur; rows with spans tell what is known to be later from the slice alone."""
 
     def find(batches):
-        common = hot.value
+        common, recurring = hot.value, [m.value for m in maps]
         for batch in batches:
             known = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for w in words.slices(batch.column(2), size=SLICE):
-                g = _Groups(w, window, recurring.value)
+                g = _Groups(w, window, recurring)
                 if not len(g.at):
                     continue
                 around = g.surroundings()
@@ -133,11 +147,12 @@ def _finder(window: int, recurring, hot):
                 later[order] = (ids[order] != ids[head]) | (start[order] != start[head])
                 e = np.flatnonzero(~later)
                 salt = np.where(np.isin(g.keys[0][e], common), 1 + words.mix(ids[e].astype(np.uint64)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
-                size = g.size[e]
+                apart = bitmap.hit(several.value, g.keys[-1][e])
+                size = np.where(apart, g.size[e], 0)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 inner = np.repeat(g.at[e] - ends[:-1], size) + np.arange(ends[-1])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g.windows[inner].view(np.int64)))
-                yield _rows([k[e] for k in g.keys], salt, around[e], ids[e], tag[e], start[e], size, lists, None)
+                yield _rows([k[e] for k in g.keys], salt, around[e], ids[e], tag[e], start[e], g.size[e], lists, None)
                 d = np.flatnonzero(later)
                 if len(d):
                     d = d[np.lexsort((start[d], doc[d]))]
@@ -162,22 +177,18 @@ def _rows(keys, salt, around, ids, tag, at, size, windows, spans):
     return pa.RecordBatch.from_arrays(cols, [*(f"k{i}" for i in range(len(keys))), "salt", "around", "id", "tag", "at", "size", "windows", "spans"])
 
 
-def _later(groups: DataFrame, levels: int) -> DataFrame:
-    """id, tag, at, size of all but the earliest occurrences, at any level only among what recurs one level below."""
+def _later(groups: DataFrame, levels: int, salted: bool) -> DataFrame:
+    """id, tag, at, size, spans of all but the earliest occurrences, and the rows that have spans as they are."""
     keys = [f"k{i}" for i in range(levels)]
-    df = groups.where("spans is null").drop("spans")
-    for i in range(levels):
-        within = Window.partitionBy("k0", "salt", *keys[1 : i + 1])
-        df = df.withColumns({"c": F.count("*").over(within), "lo": F.min("around").over(within), "hi": F.max("around").over(within)})
-        df = df.where("c > 1 or salt > 0")  # what a salted anchor's tasks hold says nothing about how often it recurs
-    whole = (F.col("lo") == F.col("hi")) & (F.col("salt") == 0)
     each = F.transform("windows", lambda h, i: F.struct(h.alias("h"), (F.col("at") + i).alias("at"), F.lit(1).alias("size")))
-    unit = F.when(whole, F.array(F.struct(F.col("around").alias("h"), "at", "size"))).otherwise(each)
-    df = df.select(*keys, "salt", "id", "tag", F.explode(unit).alias("u")).select(*keys, "salt", "id", "tag", "u.*")
+    unit = F.when(F.size("windows") > 0, each).otherwise(F.array(F.struct(F.col("around").alias("h"), "at", "size")))
+    df = groups.repartition("k0", "salt").select(*keys, "salt", "id", "tag", "spans", F.explode(unit).alias("u")).select(*keys, "salt", "id", "tag", "spans", "u.*")
     df = df.withColumn("r", F.rank().over(Window.partitionBy("k0", "salt", *keys[1:], "h").orderBy("id", "at")))
-    # the earliest of each salted task meet once more
-    met = df.where("r = 1 and salt > 0").withColumn("r", F.rank().over(Window.partitionBy(*keys, "h").orderBy("id", "at")))
-    return df.where("r > 1").union(met.where("r > 1")).select("id", "tag", "at", "size")
+    out = df.where("r > 1 or spans is not null")
+    if salted:  # the earliest of each task meet once more
+        met = df.where("r = 1 and salt > 0").withColumn("r", F.rank().over(Window.partitionBy(*keys, "h").orderBy("id", "at")))
+        out = out.union(met.where("r > 1"))
+    return out.select("id", "tag", "at", "size", "spans")
 
 
 def _strip(window: int):
@@ -220,19 +231,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all_rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.hash(F.col(text_col)).bitwiseAND(0x7FFF).cast("smallint").alias("tag"), F.col(text_col).cast("string").alias("text"))
     plain = all_rows.where("id is not null").select("id", "tag", "text")
     spark, held = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
-    counted = plain.select("text").mapInArrow(_counter(window), "k bigint, c int")
-    again = held.keep(counted.groupBy("k").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where("c > 1").select("k", "n"), "anchors")
-    total = again.agg(F.sum("n")).head()[0] or 0
-    # at most 1 / HOT_SHARE keys: their rows are that share of all, each
-    hot = [r["k"] for r in again.where(F.col("n") > max(HOT, int(total * HOT_SHARE))).select("k").toLocalIterator()]
-    hot = spark.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64))
-    levels = max(1, len(_levels(window)) - 1)
+    levels, maps, several, hot = max(1, len(_levels(window)) - 1), [], None, []
+    for n in range(levels):
+        counted = plain.select("text").mapInArrow(_counter(window, maps, n == levels - 1), "k bigint, c int, lo bigint, hi bigint")
+        again = counted.groupBy("k").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1")
+        again = held.keep(again.select("k", "n", (F.col("lo") != F.col("hi")).alias("apart")), f"level-{n}")
+        if not n:  # at most 1 / HOT_SHARE keys: each has that share of all rows
+            total = again.agg(F.sum("n")).head()[0] or 0
+            hot = [r["k"] for r in again.where(F.col("n") > max(HOT, int(total * HOT_SHARE))).select("k").toLocalIterator()]
+        maps.append(bitmap.build(again, "k"))
+        several = bitmap.build(again.where("apart"), "k")
+        held.drop(f"level-{n}")
+    common = spark.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64))
     schema = ", ".join(f"k{i} bigint" for i in range(levels)) + ", salt int, around bigint, id bigint, tag smallint, at int, size int, windows array<bigint>, spans array<int>"
-    groups = held.keep(plain.mapInArrow(_finder(window, bitmap.build(again, "k"), hot), schema), "groups")
-    held.drop("anchors")
-    starts = _later(groups, levels).select("id", "tag", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("size")).alias("at"), F.lit(None).cast("array<int>").alias("spans"))
-    later = starts.union(groups.where("spans is not null").select("id", "tag", F.lit(None).cast("bigint"), "spans"))
-    own = later.groupBy("id", "tag").agg(F.collect_list("at").alias("starts"), F.collect_list("spans").alias("spans"))
+    later = _later(plain.mapInArrow(_finder(window, maps, several, common), schema), levels, bool(hot))
+    start = F.when(F.col("spans").isNull(), F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("size"))
+    own = later.groupBy("id", "tag").agg(F.collect_list(start).alias("starts"), F.collect_list("spans").alias("spans"))
     own = own.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), "starts", "spans")
     both = all_rows.join(own, (F.col("id") == F.col("own_id")) & (F.col("tag") == F.col("own_tag")), "left")
     # called nondeterministic only so that Spark does not run it again for a filter on its result
