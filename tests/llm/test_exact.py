@@ -438,6 +438,41 @@ def test_top_k(spark, pivots, block):
     assert got == knn_truth(rows, 10, 10)
 
 
+def test_pivots_prune_clustered_vectors():
+    """In the second pass most groups are passed over, and none that holds one of the ten best."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(30, 16))
+    x = centre[rng.integers(30, size=3000)] + 0.05 * rng.normal(size=(3000, 16))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    pivots = x[rng.choice(3000, 55, replace=False)]
+    g, d, n, a = knn.assign(x, pivots)
+    cells = knn.Cells(pivots, *(np.array([f(v[g == j]) if (g == j).any() else 0 for j in range(55)], float) for f, v in ((len, g), (np.max, d), (np.max, n), (np.max, a))))
+    q = x[::100]
+    score = q @ x.T
+    first = knn.first_groups(cells, q, 10)
+    reach = np.array([np.sort(s[m[g]])[-10] for s, m in zip(score, first, strict=True)], float)
+    more = knn.further_groups(cells, q, 10, reach)
+    assert more.mean() < 0.1 and first.mean() < 0.1 and not (first & more).any()
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert all((first | more)[i, g[j]] for i in range(len(q)) for j in best[i])
+    assert (first | more)[np.arange(len(q))[:, None], g[None, :]][score > reach[:, None]].all()
+
+
+@pytest.mark.parametrize("odd", [[0.0] * 8, [1e300] * 8, [-1.0] * 3])
+def test_top_k_of_odd_vectors(spark, odd):
+    """Vectors without a direction, beyond the bound of components, and shorter ones."""
+    rng = np.random.default_rng(11)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(60)] + [(100 + k, odd) for k in range(30)]
+    alone = spark.createDataFrame([(0, rows[0][1])] * 20 + rows[1:15], "vec_id bigint, embedding array<double>")  # a query's own id fills its group
+    assert {r.vec_id for r in knn.top_k(alone, F.col("vec_id") == 0, k=14, pivots=4).collect()} == set(range(1, 15))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0, k=5, pivots=6).collect()}
+    held = [(i, [max(-(2.0**52), min(2.0**52, 1024 * x)) / 1024 for x in v] + [0.0] * (8 - len(v))) for i, v in rows]
+    if odd[0] < 1e9:
+        assert got == knn_truth(held, 5, 10)
+    assert len(got) == 9 * 5
+
+
 def test_top_k_small(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") == 0).collect()}
@@ -500,6 +535,58 @@ def test_outliers_in_one_statistic(spark):
     assert sum(out[k].kept for k in range(400)) >= 390
 
 
+def mcd_truth(z, share=0.75, starts=80, cutoff=outliers.CUTOFF):
+    """Whether each vector stays, by least-determinant subsets found from many random starts."""
+    rng, floors, best = np.random.default_rng(1), np.array(outliers.FLOORS, float) ** 2, None
+    h = int(np.ceil(share * len(z)))
+
+    def estimate(x):
+        c = np.cov(x.T, bias=True)
+        c[np.diag_indices(4)] = np.maximum(np.diag(c), floors)
+        return x.mean(0), c
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+
+    for _ in range(starts):
+        m, c = estimate(z[rng.choice(len(z), 6, replace=False)])
+        for _ in range(100):
+            old = np.linalg.slogdet(c)[1]
+            m, c = estimate(z[np.argsort(distances(m, c), kind="stable")[:h]])
+            if abs(np.linalg.slogdet(c)[1] - old) < 1e-12:
+                break
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], distances(m, c)
+    d = best[1]
+    return d / max(1.0, np.median(d) / outliers.CHI_MEDIAN), cutoff
+
+
+@pytest.mark.parametrize("seed, far", [(1, 0.0), (2, 0.1), (3, 0.24)])
+def test_outliers_equal_an_independent_estimate(spark, seed, far):
+    """Texts whose symbols and word lengths go together, with a share of others in one cluster."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(500):
+        other = rng.random() < far
+        n, long = (rng.randint(150, 200), 14) if other else (rng.randint(20, 400), rng.randint(3, 7))
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, long + rng.randint(-2, 2)))) for _ in range(n)]
+        for at in rng.sample(range(n), n // (4 if other else 30)):
+            w[at] += "#" * long
+        rows.append((k, " ".join(w), "en", "s0"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.robust_outliers(df, least=50).collect()}
+    counts = np.array([counts_truth(t)[:4] for _, t, *_ in rows], float)
+    n, chars, symbols, dup = counts.T
+    z = np.round(1000 * np.stack([np.log1p(n), np.log1p(chars / n), np.log(0.02 + symbols / chars), np.log(0.1 + dup)], 1))
+    want, cutoff = mcd_truth(z)
+    mine = np.array([got[k].distance for k in range(500)])
+    # rows are taken by whole numbers on a scale of half a per cent, so the subset may hold a few rows more
+    assert (np.abs(mine - want) < 0.05 * (want + 1)).all()
+    clear = np.abs(want / cutoff - 1) > 0.05
+    assert [got[k].kept for k in np.flatnonzero(clear)] == (want <= cutoff)[clear].tolist()
+    assert clear.mean() > 0.9
+
+
 def test_outlier_distances_follow_the_estimate(spark):
     """The distance to a known centre and covariance equals that of linear algebra."""
     rng = np.random.default_rng(3)

@@ -1,34 +1,41 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Rows are grouped by their nearest of a few pivots. Summaries of the groups (size, radius, the least distances to the
-pivot) give each query a score that its k-th best reaches at least, and each pair of query and group a score that none
-of the group's rows can pass (q . p + |q| r). Queries are sent only to groups that may hold one of their best. Groups
-and queries are dealt in blocks of bounded size, so a group that holds a third of all rows is many tasks; each cell
-returns its k best per query, and the best of those are the result.
+Rows are grouped by their nearest pivot; there are about as many pivots as the root of the number of rows. Summaries of
+the groups (size, radius, largest norm, widest angle to the pivot) bound the score that any of a group's rows can have
+with a query. A first pass solves each query in its nearest groups that hold more than k rows, and its k-th best there is
+a score that must be reached; a second pass sends the query to those other groups alone whose bound reaches it. Three
+bounds are taken together: by the triangle inequality at the pivot, by the hyperplane between the group's pivot and the
+query's nearest one, and by angles, which is the sharp one where vectors have about equal norms.
+
+Groups and queries are dealt in blocks of bounded size, so a group that holds a third of all rows is many tasks; each
+cell returns its k best per query, and the best of those are the result. On vectors without any structure in many
+dimensions no bound prunes much, and the join compares nearly all blocks with all queries.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Scratch
 
-PIVOTS, BLOCK = 32, 4096
+#: Most pivots: they and their groups' summaries are what is broadcast, 2 MB at 64 dimensions.
+PIVOTS, BLOCK = 4096, 4096
 #: Scaled components are held within this bound, far beyond which products of 64-bit numbers would wrap.
 _MOST = float(1 << 52)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors as rows, the shorter ones filled with zeros."""
-    flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in column])])
-    width = np.diff(at)
+    width = np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), np.int64)
     out = np.zeros((len(width), int(width.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1])[None, :] < width[:, None]] = flat
+    out[np.arange(out.shape[1])[None, :] < width[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -47,57 +54,84 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _assigner(pivots):
-    def assign(batches):
-        p = pivots.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, c = _padded(_matrix(batch.column(1)), p)
-            x, c = x.astype(float), c.astype(float)
-            d2 = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
-            g = d2.argmin(1)
-            d = np.sqrt(((x - c[g]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(g.astype(np.int32)), pa.array(d)], ["id", "v", "g", "d"])
-
-    return assign
+@dataclass
+class Cells:
+    """Pivots and what is known of the rows in each one's group; size is 0 for a group without rows."""
+
+    pivots: np.ndarray
+    size: np.ndarray
+    radius: np.ndarray
+    norm: np.ndarray
+    angle: np.ndarray
+
+
+def _angles(products_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles from inner products and the norms of both sides; straight for a vector without a direction, which bounds nothing."""
+    scale = a * b
+    return np.where(scale > 0, np.arccos(np.clip(products_ / np.where(scale > 0, scale, 1), -1, 1)), np.pi)
+
+
+def assign(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each row: its nearest pivot, the distance to it, the row's norm and its angle to the pivot."""
+    x, c = (a.astype(float) for a in _padded(x, pivots))
+    norms, out = np.sqrt((c * c).sum(1)), []
+    step = max(1, (1 << 22) // max(1, len(c)))
+    for k in range(0, max(1, len(x)), step):
+        part = x[k : k + step]
+        g = ((c * c).sum(1)[None, :] - 2 * part @ c.T).argmin(1)
+        n = np.sqrt((part * part).sum(1))
+        out.append((g.astype(np.int32), np.sqrt(((part - c[g]) ** 2).sum(1)), n, _angles((part * c[g]).sum(1), n, norms[g])))
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+
+def first_groups(cells: Cells, q: np.ndarray, k: int) -> np.ndarray:
+    """Mask (query, group) of the nearest groups which together hold more than k rows."""
+    q, c = (a.astype(float) for a in _padded(q, cells.pivots))
+    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
+    before = np.cumsum(cells.size[order], 1) - cells.size[order]
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order, before <= k, 1)
+    return out & (cells.size > 0)[None, :]
+
+
+def further_groups(cells: Cells, q: np.ndarray, k: int, reach: np.ndarray) -> np.ndarray:
+    """Mask (query, group) of the groups beside the first ones that may hold a row of score ``reach`` or more."""
+    first = first_groups(cells, q, k)
+    q, c = (a.astype(float) for a in _padded(q, cells.pivots))
+    nq, nc, at_pivot = np.sqrt((q * q).sum(1))[:, None], np.sqrt((c * c).sum(1))[None, :], q @ c.T
+    away = np.sqrt(np.maximum(nq**2 - 2 * at_pivot + nc**2, 0))
+    nearest = away.argmin(1)
+    between = np.sqrt(np.maximum(nc.T**2 - 2 * c @ c.T + nc**2, 0))[nearest]
+    plane = (away**2 - away.min(1)[:, None] ** 2) / np.where(between > 1e-6 * (nc + 1), 2 * between, np.inf)
+    near = np.maximum(0, np.maximum(away - cells.radius, plane))
+    apart = np.maximum(0, _angles(at_pivot, nq, nc) - cells.angle)
+    most = np.minimum(at_pivot + nq * cells.radius, (nq**2 + cells.norm**2 - near**2) / 2)
+    most = np.minimum(most, nq * cells.norm * np.cos(apart)) + 1e-6 * (nq * (cells.norm + nc) + nq**2 + cells.norm**2 + 1)
+    return (most >= reach[:, None]) & ~first & (cells.size > 0)[None, :]
 
 
-def _nearest(k: int):
-    """g, d -> the k smallest d of each g in a batch."""
-
-    def few(batches):
+def _assigner(pivots):
+    def deal(batches):
         for batch in batches:
-            g, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            o = np.lexsort((d, g))
-            g, d = g[o], d[o]
-            first = np.searchsorted(g, g)
-            keep = np.arange(len(g)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(d[keep])], ["g", "d"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, assign(_matrix(batch.column(1)), pivots.value))], ["id", "v", "g", "d", "n", "a"])
 
-    return few
+    return deal
 
 
 def _router(shared, k: int):
-    """id, v -> id, v, groups: those whose rows may be among the k best."""
+    """id, v, reach -> id, v, groups: the first ones where reach is null, else those beside them that may hold such a score."""
 
     def route(batches):
-        p, radius, near = shared.value
+        cells = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, c = _padded(_matrix(batch.column(1)), p)
-            q, c = q.astype(float), c.astype(float)
-            at_pivot, norm = q @ c.T, np.sqrt((q * q).sum(1))
-            slack = 1e-9 * (norm[:, None] * (radius + np.sqrt((c * c).sum(1)) + 1)[None, :] + 1)
-            most = np.where(radius >= 0, at_pivot + norm[:, None] * np.maximum(radius, 0) + slack, -np.inf)
-            # scores that the summarised rows reach at least; one more than k of them, as one may be the query itself
-            least = np.concatenate([at_pivot[:, g : g + 1] - norm[:, None] * d[None, :] - slack[:, g : g + 1] for g, d in enumerate(near)], 1)
-            bound = np.partition(least, least.shape[1] - k - 1, 1)[:, least.shape[1] - k - 1] if least.shape[1] > k else np.full(len(q), -np.inf)
-            need = most >= bound[:, None]
-            at = np.concatenate([[0], np.cumsum(need.sum(1))]).astype(np.int32)
-            groups = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(need)[1].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), groups], ["id", "v", "groups"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                q, reach = _matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                need = np.where(np.isnan(reach)[:, None], first_groups(cells, q, k), further_groups(cells, q, k, np.nan_to_num(reach)))
+                ends = np.concatenate([[0], np.cumsum(need.sum(1))]).astype(np.int32)
+                groups = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(need)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), groups], ["id", "v", "groups"])
 
     return route
 
@@ -121,39 +155,49 @@ def _best(k: int):
     return best
 
 
-def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest integer inner product for each row where ``queries`` holds.
 
-    Components become floor(scale * x). All rows but those with the query's own id are candidates; ties go to the smaller
-    id. Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; shorter
+    Components become floor(scale * x), held within 2^52 on both sides. All rows but those with the query's own id are
+    candidates; ties go to the smaller id. ``pivots`` is the root of the number of rows by default, ``PIVOTS`` at most.
+
+    Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; shorter
     vectors count as filled with zeros. Of rows repeated with one id each is a candidate, and one (the smallest vector)
     is the query. Fewer than k candidates give fewer rows; an empty table gives none; other columns are ignored.
     """
-    spark = vectors.sparkSession
+    spark, held = vectors.sparkSession, Scratch(vectors.sparkSession, "top-k")
     fine = ~F.coalesce(F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     whole = F.transform(F.col(vec_col), lambda x: F.floor(F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), x.cast("double") * scale))).cast("bigint"))
     rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"), queries.alias("is_query"))
 
-    some = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(pivots).select("v").collect()  # a fixed number of rows
+    count = pivots or min(PIVOTS, math.isqrt(rows.count()) + 1)
+    some = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(count).select("v").distinct().collect()  # a bounded number of rows
     if not some:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
-    centre = _matrix(pa.array([r["v"] for r in some], pa.list_(pa.int64())))
-    shared = spark.sparkContext.broadcast(centre)
-    data = cut(rows.select("id", "v").mapInArrow(_assigner(shared), "id bigint, v array<bigint>, g int, d double"), "groups")
+    centre = _matrix(pa.array(sorted(r["v"] for r in some), pa.list_(pa.int64())))
+    data = held.keep(rows.select("id", "v").mapInArrow(_assigner(spark.sparkContext.broadcast(centre)), "id bigint, v array<bigint>, g int, d double, n double, a double"), "groups")
 
-    sizes = {r["g"]: r for r in data.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}  # a row per pivot
-    few = data.select("g", "d").mapInArrow(_nearest(k + 1), "g int, d double")
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d"))).where(F.col("r") <= k + 1).collect()  # k + 1 per pivot
-    near = [np.array(sorted(r["d"] for r in few if r["g"] == g)) for g in range(len(centre))]
-    radius = np.array([sizes[g]["r"] if g in sizes else -1.0 for g in range(len(centre))])
-    parts = [math.ceil(sizes[g]["n"] / block) if g in sizes else 1 for g in range(len(centre))]
+    cells = Cells(centre, *(np.zeros(len(centre)) for _ in range(4)))
+    for r in data.groupBy("g").agg(F.count("*").alias("size"), F.max("d"), F.max("n"), F.max("a")).collect():  # a row per pivot
+        cells.size[r[0]], cells.radius[r[0]], cells.norm[r[0]], cells.angle[r[0]] = r[1:]
+    route = _router(spark.sparkContext.broadcast(cells), k)
+    parts = spark.createDataFrame([(g, max(1, math.ceil(n / block))) for g, n in enumerate(cells.size.tolist())], "g int, parts int")
 
     asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    cells = max(1, math.ceil(asked.count() / block))
-    routed = asked.mapInArrow(_router(spark.sparkContext.broadcast((centre, radius, near)), k), "id bigint, v array<bigint>, groups array<int>")
-    blocks = F.element_at(F.array(*(F.lit(n) for n in parts)), F.col("g") + 1)
-    left = routed.select("id", "v", F.explode("groups").alias("g")).select("id", "v", "g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cells)).alias("c"))
-    right = data.select("id", "v", "g", F.pmod(F.xxhash64("id", F.lit(2)), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))).alias("c"))
-    found = left.groupBy("g", "b", "c").cogroup(right.groupBy("g", "b", "c")).applyInArrow(_best(k), "query_id bigint, vec_id bigint, score bigint")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    turns = max(1, math.ceil(asked.count() / block))
+    right = data.select("id", "v", "g").join(F.broadcast(parts), "g").select("id", "v", "g", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("c"))
+
+    def solve(wanted: DataFrame) -> DataFrame:
+        routed = wanted.mapInArrow(route, "id bigint, v array<bigint>, groups array<int>")
+        left = routed.select("id", "v", F.explode("groups").alias("g")).join(F.broadcast(parts), "g")
+        left = left.select("id", "v", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int").alias("c"))
+        return left.groupBy("g", "b", "c").cogroup(right.groupBy("g", "b", "c")).applyInArrow(_best(k), "query_id bigint, vec_id bigint, score bigint")
+
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = solve(asked.withColumn("reach", F.lit(None).cast("double"))).withColumn("rank", F.row_number().over(place))
+    near = held.keep(near.where(F.col("rank") <= k), "near")
+    last = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("reach"))
+    # a query that found fewer than k rows, as its own id fills its first groups, goes to all others
+    found = near.drop("rank").union(solve(asked.join(last, "id", "left").select("id", "v", F.coalesce("reach", F.lit(-1e300)).alias("reach"))))
+    ranked = found.withColumn("rank", F.row_number().over(place))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,22 +1,25 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame functions alone.
 
 Each text gives counts (words, symbols, repeated lines, repeated 5-word windows). Four transformed statistics of them
-form a vector. Per language and source, a robust centre and covariance come from concentration steps: the share
-``core`` of the rows nearest to the present estimate gives the next one, starting from medians. A text is rejected if
-its squared Mahalanobis distance passes ``cutoff``.
+form a vector. Per language and source, the estimate is the mean and covariance of the share ``core`` of the rows whose
+covariance has the least determinant. It is sought as usual, by concentration steps (the rows nearest to an estimate give
+the next one) from several starts: medians and quartiles, the same with correlations of squashed values, and random
+subsets of about ``SUBSET`` rows. After two steps the two starts of least determinant go on until nothing changes. A text
+is rejected if its squared Mahalanobis distance passes ``cutoff``. Variances are at their floors at least, in every step,
+so the determinant is that of the floored matrix.
 
 Statistics are held as whole thousandths, so sums are exact integers and results do not depend on how rows are dealt.
-Quantiles are exact ones over such bounded integers: a group's state is at most as large as their range, and partial
-aggregation makes a hot group one row per task. Estimates (a row per group) are joined under a salt, for the case that
-they are too many for a broadcast that Spark sizes itself.
+A step is one aggregate: sums per group, start and distance, distances on a scale of a few thousand whole numbers, so a
+hot group is pre-aggregated where its rows are. Estimates (a row per group and start) are joined under a salt, for the
+case that they are too many for a broadcast that Spark sizes itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Scratch
 
 SPACES = " \t\n\x0b\f\r"
 DIMS = 4
@@ -27,6 +30,10 @@ CUTOFF = 18.467
 #: Median of the chi-square distribution with 4 degrees of freedom.
 CHI_MEDIAN = 3.3567
 SALTS = 16
+#: Random starts, and about how many rows each is made from.
+RANDOM, SUBSET = 3, 20
+#: Most concentration steps; they mostly end after five to eight.
+STEPS = 15
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
@@ -61,24 +68,71 @@ def _statistics() -> list[Column]:
     return [F.greatest(F.lit(-20000), F.least(F.lit(20000), F.round(1000 * v))).cast("bigint").alias(f"z{k}") for k, v in enumerate(values)]
 
 
-def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre m0.. and covariance c00.. of each group from sums of whole numbers, variances at their floors at least."""
-    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(DIMS)]
-    prods = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    df = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *prods)
+_SUMS = ["n", *(f"s{i}" for i in range(DIMS)), *(f"p{i}{j}" for i in range(DIMS) for j in range(i + 1))]
+
+
+def _sums(rows: DataFrame, keys: list[str], name: str = "z") -> DataFrame:
+    """Number of rows, sums and sums of products of whole-number columns."""
+    sums = [F.sum(f"{name}{i}").alias(f"s{i}") for i in range(DIMS)]
+    prods = [F.sum(F.col(f"{name}{i}") * F.col(f"{name}{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *prods)
+
+
+def _raw(i: int, j: int) -> Column:
+    """Covariance from sums."""
+    return F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))
+
+
+def _spread(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre m0.. and covariance c00.. of each group, variances at their floors at least."""
     mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)]
-    raw = lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))
-    cov = [(F.greatest(raw(i, j), F.lit(float(FLOORS[i] ** 2))) if i == j else raw(i, j)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    return df.select(*keys, *mean, *cov)
+    cov = [(F.greatest(_raw(i, j), F.lit(float(FLOORS[i] ** 2))) if i == j else _raw(i, j)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    return sums.select(*keys, *mean, *cov)
 
 
 def _cholesky(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The lower factor l00.. of the covariance c00.. ; the floors on the diagonal keep it positive definite."""
+    """The lower factor l00.. of the covariance c00.., and the logarithm of its determinant."""
     for j in range(DIMS):
         head = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(head, F.lit(1.0))))
         df = df.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, DIMS)})
-    return df.select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)))
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(DIMS)), F.lit(0.0))
+    return df.select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)), det.alias("logdet"))
+
+
+def _starts(sound: DataFrame, keys: list[str], held: Scratch) -> DataFrame:
+    """Estimates to start from: a row per group and start."""
+    mid = held.keep(sound.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS))), "quartiles")
+    var = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) ** 2 / 1.349**2, F.lit(float(FLOORS[i] ** 2))) for i in range(DIMS)]
+    mid = mid.select(*keys, "rows", *(f"m{i}" for i in range(DIMS)), *(v.alias(f"v{i}") for i, v in enumerate(var)))
+    plain = mid.select(*keys, F.lit(0).alias("start"), *(f"m{i}" for i in range(DIMS)), *((F.col(f"v{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)))
+
+    near = sound.join(_salted(mid), [*keys, "salt"])
+    squashed = near.select(*keys, *(F.round(1000 * F.tanh((F.col(f"z{i}") - F.col(f"m{i}")) / F.sqrt(f"v{i}"))).cast("bigint").alias(f"t{i}") for i in range(DIMS)))
+    r = lambda i, j: F.coalesce(_raw(i, j) / F.sqrt(F.nullif(_raw(i, i) * _raw(j, j), F.lit(0.0))), F.lit(0.0))
+    both = _sums(squashed, keys, "t").join(mid, keys)
+    tied = both.select(*keys, F.lit(1).alias("start"), *(f"m{i}" for i in range(DIMS)), *((F.col(f"v{i}") if i == j else r(i, j) * F.sqrt(F.col(f"v{i}") * F.col(f"v{j}"))).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)))
+
+    # a row takes part in a start if its hash falls so; the subsets of different starts are disjoint
+    turn = F.pmod(F.xxhash64("id", *(f"z{i}" for i in range(DIMS)), F.lit(17)), F.ceil(F.col("rows") / SUBSET)).cast("int")
+    few = _spread(_sums(near.withColumn("start", turn + 2).where(F.col("start") < 2 + RANDOM), [*keys, "start"]), [*keys, "start"])
+    return held.keep(_cholesky(plain.union(tied).union(few), [*keys, "start"]), "starts")
+
+
+def _step(sound: DataFrame, fit: DataFrame, keys: list[str], core: float) -> DataFrame:
+    """The estimates from the share ``core`` of each group's rows that are nearest to the present ones."""
+    by = [*keys, "start"]
+    bins = _sums(_distance(sound, fit, keys).withColumn("q", _quantised()), [*by, "q"])
+    order = Window.partitionBy(*by)
+    bins = bins.withColumns({"before": F.sum("n").over(order.orderBy("q")) - F.col("n"), "all": F.sum("n").over(order)})
+    near = bins.where(F.col("before") < core * F.col("all"))
+    return _cholesky(_spread(near.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _SUMS)), by), by)
+
+
+def _least(fit: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of each group's estimates the ``most`` of least determinant."""
+    order = Window.partitionBy(*keys).orderBy("logdet", "start")
+    return fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -100,7 +154,7 @@ def _quantised(d2: str = "d2") -> Column:
     return F.round(200 * F.log1p(d2)).cast("bigint")
 
 
-def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, core: float = 0.75, steps: int = 3, least: int = 200) -> DataFrame:
+def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, core: float = 0.75, steps: int = STEPS, least: int = 200) -> DataFrame:
     """Per input row: id_col, the counts of ``text_counts``, base_failed, distance, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows. kept is false for these
@@ -115,23 +169,27 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = text_counts(named).drop("text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = counts.withColumn("base_failed", failed).select("*", *_statistics(), F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("salt"))
-    rows = cut(rows, "counts")
+    held = Scratch(docs.sparkSession, "outliers")
+    rows = held.keep(rows, "counts")
 
     sizes = rows.where("not base_failed").groupBy("g", "s").agg(F.count("*").alias("c")).select("g", "s", F.when(F.col("c") >= least, F.col("s")).otherwise("*").alias("t"))
-    rows = rows.join(_salted(sizes), ["g", "s", "salt"], "left").withColumn("s", F.coalesce("t", F.lit("*"))).drop("t")
-    sound, keys = rows.where("not base_failed"), ["g", "s"]
-
-    mid = sound.groupBy(*keys).agg(*(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)))
-    var = [(F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) ** 2 / 1.349**2, F.lit(float(FLOORS[i] ** 2))) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    fit = cut(_cholesky(mid.select(*keys, *(f"m{i}" for i in range(DIMS)), *var), keys), "estimate")
-    for _ in range(steps):
-        far = _distance(sound, fit, keys).withColumn("q", _quantised())
-        edge = far.groupBy(*keys).agg(F.percentile("q", F.lit(core)).alias("edge"))
-        near = far.join(_salted(edge), [*keys, "salt"]).where("q <= edge")
-        fit = cut(_cholesky(_spread(near, keys), keys), "estimate")
+    rows = rows.join(_salted(held.keep(sizes, "sizes")), ["g", "s", "salt"], "left").withColumn("s", F.coalesce("t", F.lit("*"))).drop("t")
+    keys = ["g", "s"]
+    sound = rows.where("not base_failed").select(*keys, "salt", "id", *(f"z{i}" for i in range(DIMS)))
+
+    fit = _starts(sound, keys, held)
+    for turn in range(steps):
+        new = _step(sound, fit, keys, core)
+        new = held.keep(_least(new, keys, 2) if turn == 1 else new, f"step-{turn % 2}")
+        moved = new.join(fit.select(*keys, "start", F.col("logdet").alias("old")), [*keys, "start"]).where(F.abs(F.col("logdet") - F.col("old")) > 1e-9)
+        done = turn > 1 and not moved.limit(1).count()
+        fit = new
+        if done:
+            break
+    fit = held.keep(_least(fit, keys, 1), "estimate")
     far = _distance(sound, fit, keys).withColumn("q", _quantised())
     scale = far.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.expm1(F.percentile("q", F.lit(0.5)) / 200) / CHI_MEDIAN).alias("scale"))
-    fit = cut(fit.join(scale, keys), "scaled")
+    fit = held.keep(fit.join(scale, keys), "scaled")
 
     out = _distance(rows, fit, keys, "left").withColumn("distance", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
