@@ -137,7 +137,9 @@ def test_features_do_not_depend_on_slices():
 
 def test_dictionaries_are_bounded():
     rows = [{"text": "x" * 60000, "label": "a"}, {"text": "y" * 60000, "label": "a"}, {"text": "z", "label": "b"}]
-    assert {k: len(v) for k, v in langid.dictionaries(rows).items()} == {"a": 60001, "b": 2}
+    got = langid.dictionaries(rows)
+    assert {k: len(v) for k, v in got.items()} == {"a": langid.DICTIONARY, "b": 2}
+    assert got["a"] == b"x" * 60000 + b"\n" + b"y" * (langid.DICTIONARY - 60001)  # the second is cut to the room left
 
 
 def test_sample_is_bounded(spark):
@@ -244,3 +246,26 @@ def test_pipeline_on_no_documents(spark, small, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     no_labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+# --- samples hold texts of any length ---------------------------------------------------------------------------------
+
+
+def test_long_labelled_texts_teach(spark):
+    """A language and a label whose texts are all longer than any usual one are learned all the same."""
+    rng = random.Random(12)
+    known = {lang: ["".join(rng.choice(abc) for _ in range(rng.randint(3, 8))) for _ in range(200)] for lang, abc in (("aa", "bcdfghja"), ("bb", "klmnpqre"))}
+    text = lambda lang, n: " ".join(rng.choice(known[lang]) for _ in range(n))
+    rows = [(k, text("aa", 60) if k % 2 else text("bb", 6000), "aa" if k % 2 else "bb", "s") for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify(df).collect())
+    labels = spark.createDataFrame([(k, (k + 1) % 2, k % 2) for k in range(24)], "doc_id bigint, quality int, toxic int")
+    out = quality.rank_quality(df, labels).collect()
+    assert all(r.predicted == (r.doc_id + 1) % 2 for r in out)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (1000 if k else 10**6)) for k in range(50)], "doc_id bigint, text string")
+    ids = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") > 0).cast("int").alias("label"), F.lit(1).alias("n"))
+    got = sampling.texts(docs, ids, "doc_id", "text", 100, 10_500)
+    assert sorted(len(r["text"]) for r in got) == [1000] * 10 + [10**6]

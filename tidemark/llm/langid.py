@@ -23,12 +23,21 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(rows: list, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw contents per language from sampled (text, language) rows; the last bytes count most, so frequent lengths mix."""
+    """Raw contents per language from sampled (text, language) rows, in their order.
+
+    Texts of up to a sixteenth of the size come first, so that no single one fills a dictionary; longer ones are cut to
+    the room that these leave.
+    """
     out: dict[str, bytes] = {}
-    for row in rows:
-        held, new = out.get(row["label"], b""), row["text"].lower().encode() + b"\n"
-        if len(held) + len(new) <= size:
-            out[row["label"]] = held + new
+    for long in (False, True):
+        for row in rows:
+            new = row["text"].lower().encode() + b"\n"
+            if (len(new) > size // 16) == long:
+                held = out.get(row["label"], b"")
+                if long:
+                    new = new[: size - len(held)].decode(errors="ignore").encode()
+                if len(held) + len(new) <= size:
+                    out[row["label"]] = held + new
     return out
 
 
@@ -82,11 +91,11 @@ def _classifier(model):
     return classify
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, per_lang: int = 400, most: int = 20_000, longest: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, per_lang: int = 400) -> DataFrame:
     """Per input row: id_col, held_out, lang_pred, score, rejected.
 
     Learns from rows with a language whose crc32(id) mod ``mod`` is not ``held``: about ``per_lang`` texts of each
-    language and ``most`` in all, of ``longest`` characters at most, fill dictionaries of 110,000 bytes. Prediction uses
+    language, while they come to 880,000 bytes at most, fill dictionaries of 110,000 bytes. Prediction uses
     the text alone. ``rejected`` is true where the runner-up is less than 1 % larger, and for ``und``.
 
     A text that is null or without a letter is ``und`` with score 0, as is all if nothing could be learned. A null id is
@@ -96,7 +105,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     out = F.coalesce(crc_mod(id_col, mod) == held, F.lit(True))
     ids = sample(docs, id_col, lang_col, per_lang, out)
-    model = docs.sparkSession.sparkContext.broadcast(dictionaries(texts(docs, ids, id_col, text_col, most, longest)))
+    model = docs.sparkSession.sparkContext.broadcast(dictionaries(texts(docs, ids, id_col, text_col, per_lang, 8 * DICTIONARY)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(_classifier(model), f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest text, in characters, that a training sample takes: with the number of rows it bounds what the driver holds.
-LONGEST = 8000
+from .shared import Scratch
+
+#: Most bytes of text of each class that a training sample takes: with the number of rows it bounds what the driver holds.
+BYTES = 8 << 20
 
 
 def sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, held_out: Column) -> DataFrame:
@@ -20,8 +22,16 @@ def sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, held_ou
     return rows.join(sizes, "label").where(part)
 
 
-def texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most: int, longest: int = LONGEST) -> list:
-    """Rows (text, label, n) of the sampled ids on the driver, ``most`` at most, in an order that does not depend on partitions."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
-    # the sample has a few thousand ids whatever the input
-    return docs.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id", F.lit(11)), "id", "text").limit(most).select("text", "label", "n").collect()
+def texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, per_class: int, most: int = BYTES) -> list:
+    """Rows (text, label, n) of the sampled ids on the driver, in an order that does not depend on partitions.
+
+    Texts of any length are taken, in order of hash, until a class has 2 * ``per_class`` rows or its texts come to ``most``
+    bytes; its first one is always taken.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    # the ids are written, so that Spark knows their size and broadcasts them only if they are few
+    ids = Scratch(docs.sparkSession, "sample").keep(ids, "ids")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(11)), "id", "text")
+    rows = docs.join(ids, "id").withColumns({"place": F.row_number().over(order), "bytes": F.sum(F.octet_length("text").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.where((F.col("place") == 1) | ((F.col("place") <= 2 * per_class) & (F.col("bytes") <= most)))
+    return rows.orderBy(F.xxhash64("id", F.lit(11)), "id", "text", "label").select("text", "label", "n").collect()

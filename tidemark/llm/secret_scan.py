@@ -27,7 +27,6 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]+")
 _LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-LONGEST_RUN = 4096
 #: Share of the ratio below which runs of letters alone, and runs that look like identifiers, count as random.
 STRICT = 0.875
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -92,20 +91,20 @@ def _encoding(path: str):
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, ratio: float) -> list[tuple[str, int, int]]:
     """Runs with too few characters a token that the taken spans do not cover whole."""
-    out = []
+    out, covered = [], []
+    for a, z in sorted((a, z) for _, a, z in taken):  # what touches or overlaps counts as one
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], z)
+        else:
+            covered.append([a, z])
+    k = 0
     for m in _RUN.finditer(text):
         run = m[0]
-        if known(run):
-            continue
-        done = m.start()
-        for a, z in sorted((a, z) for _, a, z in taken if a < m.end() and m.start() < z):
-            if a > done:
-                break
-            done = max(done, z)
-        if done >= m.end():
+        while k < len(covered) and covered[k][1] < m.end():
+            k += 1
+        if known(run) or k < len(covered) and covered[k][0] <= m.start():
             continue
-        # a very long run is judged by parts of LONGEST_RUN characters, all of it counted
-        n = sum(len(encoding.encode_ordinary(run[k : k + LONGEST_RUN])) for k in range(0, len(run), LONGEST_RUN))
+        n = len(encoding.encode_ordinary(run))
         wordy = not re.search("[0-9]", run) or _WORDY.fullmatch(run)
         if len(run) < (STRICT if wordy else 1) * ratio * n:
             out.append(("random", m.start(), m.end()))

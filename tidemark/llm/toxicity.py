@@ -68,60 +68,68 @@ def _tokens(column: pa.Array):
         yield Tokens(w)
 
 
-def marginals(e: np.ndarray, first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) at each position, and P(states s, t) at positions k - 1 and k, for chains that begin where first is true.
+def marginals(e: np.ndarray, first: np.ndarray, model: dict) -> tuple[np.ndarray, tuple]:
+    """P(state 1) at each position, and what ``_pair_counts`` needs, for chains that begin where first is true.
 
     e holds the log-odds that each position's features add to state 1. Chains lie end to end: a position that begins one
-    forgets what was before. Products of the 2 x 2 steps are made for blocks of about the square root of the length at
-    once, carried over the blocks, and applied within all blocks at once.
+    forgets what was before. The positions are cut in blocks of about the square root of their number; step k of all
+    blocks is done at once. Products of the 2 x 2 steps are made per block, carried over the blocks, and applied within.
+    Numbers are scaled back often enough that none leaves the range.
     """
     n = len(e)
     if not n:
-        return np.zeros(0), np.zeros((0, 2, 2))
-    psi = np.stack([np.ones(n), np.exp(np.clip(e, -30, 30))], 1)
-    step = np.where(first[:, None, None], model["start"][None, None, :], model["move"][None]) * psi[:, None, :]
+        return np.zeros(0), ()
+    psi, start, move = np.exp(np.clip(e, -30, 30)), model["start"], model["move"]
+    m = [[np.where(first, start[t], move[s, t]) * (psi if t else 1.0) for t in (0, 1)] for s in (0, 1)]
     width = max(1, int(np.sqrt(n)))
     rows = -(-n // width)
-    pad = np.broadcast_to(np.full((2, 2), 0.5), (rows * width - n, 2, 2))
-    m = np.concatenate([step, pad]).reshape(rows, width, 2, 2)
-    prod = m[:, 0]
+    fill = np.full(rows * width - n, 0.5)
+    (p, q), (r, s) = [[np.ascontiguousarray(np.concatenate([x, fill]).reshape(rows, width).T) for x in row] for row in m]
+
+    a, b, c, d = p[0], q[0], r[0], s[0]
     for k in range(1, width):
-        prod = np.einsum("bij,bjk->bik", prod, m[:, k])
-        prod = prod / prod.sum((1, 2), keepdims=True)
-    into, back = np.empty((rows, 2)), np.empty((rows, 2))
-    a = np.array([0.5, 0.5])
-    for r in range(rows):
-        into[r] = a
-        a = a @ prod[r]
-        a = a / a.sum()
-    b = np.ones(2)
-    for r in range(rows - 1, -1, -1):
-        back[r] = b
-        b = prod[r] @ b
-        b = b / b.sum()
-    alpha, beta = np.empty((rows, width, 2)), np.empty((rows, width, 2))
-    a = into
+        a, b, c, d = a * p[k] + b * r[k], a * q[k] + b * s[k], c * p[k] + d * r[k], c * q[k] + d * s[k]
+        if k % 8 == 0 or k == width - 1:
+            t = a + b + c + d
+            a, b, c, d = a / t, b / t, c / t, d / t
+    into, back = np.empty((2, rows)), np.empty((2, rows))
+    u, v = 0.5, 0.5
+    for k in range(rows):
+        into[:, k] = u, v
+        u, v = u * a[k] + v * c[k], u * b[k] + v * d[k]
+        u, v = u / (u + v), v / (u + v)
+    u, v = 1.0, 1.0
+    for k in range(rows - 1, -1, -1):
+        back[:, k] = u, v
+        u, v = a[k] * u + b[k] * v, c[k] * u + d[k] * v
+        u, v = u / (u + v), v / (u + v)
+    alpha, beta = np.empty((2, width, rows)), np.empty((2, width, rows))
+    u, v = into
     for k in range(width):
-        a = (a[:, :, None] * m[:, k]).sum(1)
-        a = a / a.sum(1, keepdims=True)
-        alpha[:, k] = a
-    b = back
+        u, v = u * p[k] + v * r[k], u * q[k] + v * s[k]
+        if k % 8 == 0:
+            t = u + v
+            u, v = u / t, v / t
+        alpha[0, k], alpha[1, k] = u, v
+    u, v = back
     for k in range(width - 1, -1, -1):
-        beta[:, k] = b
-        b = (m[:, k] * b[:, None, :]).sum(2)
-        b = b / b.sum(1, keepdims=True)
-    alpha, beta = alpha.reshape(-1, 2)[:n], beta.reshape(-1, 2)[:n]
-    p = alpha * beta
-    p = p[:, 1] / p.sum(1)
-    before = np.concatenate([[[0.5, 0.5]], alpha[:-1]])
-    return p, (before, step, beta)
-
-
-def _pair_counts(parts, first) -> np.ndarray:
-    before, step, beta = parts
-    both = before[:, :, None] * step * beta[:, None, :]
-    both = both / both.sum((1, 2), keepdims=True)
-    return both[~first].sum(0)
+        beta[0, k], beta[1, k] = u, v
+        u, v = p[k] * u + q[k] * v, r[k] * u + s[k] * v
+        if k % 8 == 0:
+            t = u + v
+            u, v = u / t, v / t
+    alpha, beta = (x.transpose(0, 2, 1).reshape(2, -1)[:, :n] for x in (alpha, beta))
+    w = alpha * beta
+    return w[1] / (w[0] + w[1]), (alpha, m, beta)
+
+
+def _pair_counts(chain: tuple, first: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of states at neighbouring positions."""
+    alpha, m, beta = chain
+    inner = np.flatnonzero(~first)
+    both = [alpha[s, inner - 1] * m[s][t][inner] * beta[t, inner] for s in (0, 1) for t in (0, 1)]
+    total = sum(both)
+    return np.array([(x / total).sum() for x in both]).reshape(2, 2)
 
 
 def _lifted(tokens: list[Tokens], toxic: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +186,8 @@ def _evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.log1p(total), np.minimum(total, 3), most, np.sqrt(total / np.maximum(1, np.bincount(doc, minlength=n)))], 1)
 
 
-def train(column: pa.Array, y: np.ndarray, bad_share: float) -> dict:
-    """The chain's weights and the document model, from whole sampled texts and their labels."""
+def train(column: pa.Array, y: np.ndarray, bad_share: float, chain_docs: int = CHAIN) -> dict:
+    """The chain's weights, from ``chain_docs`` texts of each label, and the document model, from all sampled ones."""
     model = {"vocab": np.zeros(0, np.uint64), "w": np.zeros(0), "b": -6.0, "start": np.array([0.5, 0.5]), "move": np.full((2, 2), 0.5), "gate": np.zeros(1 << 16, bool), "doc": (np.zeros(4), np.ones(4), np.zeros(4), -3.0)}
     tokens = list(_tokens(column))
     if not tokens or not (y == 1).any() or not (y == 0).any():
@@ -196,7 +204,7 @@ def train(column: pa.Array, y: np.ndarray, bad_share: float) -> dict:
             open_ |= vocab[f] == k
         model["gate"][t.gate()[open_]] = True
 
-    few = np.sort(np.concatenate([np.flatnonzero(y == k)[:CHAIN] for k in (0, 1)]))
+    few = np.sort(np.concatenate([np.flatnonzero(y == k)[:chain_docs] for k in (0, 1)]))
     who, what, doc, first = _flat(list(_tokens(column.take(pa.array(few)))), vocab, model["gate"])
     base = len(doc)
     marked = np.zeros(base, bool)
@@ -272,13 +280,13 @@ def _tagger(shared):
     return tag
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS) -> Callable[[Column], Column]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS, chain_docs: int = CHAIN) -> Callable[[Column], Column]:
     """Learn from the labelled rows that are not held out; the result maps a text column to struct<score, spans>."""
     out = F.coalesce(crc_mod(id_col, mod) == held, F.lit(True))
     ids = sample(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct(), id_col, label_col, per_class, out)
-    rows = texts(docs, ids, id_col, text_col, 3 * per_class)
+    rows = texts(docs, ids, id_col, text_col, per_class)
     n = {int(r["label"]): r["n"] for r in rows}
-    model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())))
+    model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())), chain_docs)
     del rows
     words.settle()
     # called nondeterministic only so that Spark does not run it again for a filter on its result
@@ -286,17 +294,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return lambda text: tag(text.cast("string"))
 
 
-def tag_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
+def tag_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS, chain_docs: int = CHAIN, threshold: float = 0.3) -> DataFrame:
     """Per input row: id_col, held_out, score, predicted (1 if score >= threshold), spans (start, end in code points, p).
 
-    Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held``: about ``per_class`` of each label, of 8,000
-    characters at most. A score uses the text alone.
+    Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held``: about ``per_class`` of each label, of
+    any length, while they come to 8 MB a label at most; the chain's weights are trained on the tokens of the first
+    ``chain_docs`` of each, features and the document model on all. A score uses the text alone.
 
     Null, empty and blank texts have no token, no span and the score of no evidence. Without labels of both kinds all
     texts score alike, near 0. A null id is held out. Repeated rows get equal values; an empty table gives an empty
     result; other columns are ignored.
     """
-    tag = fit(docs, labels, id_col, text_col, label_col, mod, held, per_class)
+    tag = fit(docs, labels, id_col, text_col, label_col, mod, held, per_class, chain_docs)
     got = docs.select(F.col(id_col), tag(F.col(text_col)).alias("_x"))
     out = F.coalesce(crc_mod(id_col, mod) == held, F.lit(True))
     return got.select(id_col, out.alias("held_out"), "_x.score", (F.col("_x.score") >= threshold).cast("int").alias("predicted"), "_x.spans")
