@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 #: Most bytes of text of each class that a training sample takes: with the number of rows it bounds what the driver holds.
-BYTES = 8 << 20
+BYTES = 4 << 20
 
 
 def sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, held_out: Column) -> DataFrame:

@@ -132,18 +132,20 @@ def _pair_counts(chain: tuple, first: np.ndarray) -> np.ndarray:
     return np.array([(x / total).sum() for x in both]).reshape(2, 2)
 
 
-def _lifted(tokens: list[Tokens], toxic: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _lifted(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the features that mark toxic documents, with their lifts."""
     keys, counts = [], []
-    for t, y in zip(tokens, toxic, strict=True):  # a document lies in one slice, so each slice counts its own
+    for t in _tokens(column):  # a document lies in one slice, so each slice counts its own
         for k in t.keys(np.arange(len(t.starts))):
             some = np.flatnonzero(k)
             once = some[np.unique(words.mix(k[some] + t.doc[some].astype(np.uint64) * words._ODD[9]), return_index=True)[1]]
             key, inv = np.unique(k[once], return_inverse=True)
-            bad = y[t.doc[once]] == 1
+            bad = y[t.w.first : t.w.last][t.doc[once]] == 1
             keys.append(key)
             counts.append(np.stack([np.bincount(inv, bad, len(key)), np.bincount(inv, ~bad, len(key))], 1).astype(np.int32))
-    label = np.concatenate(toxic) == 1
+    label = y == 1
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0)
     key, inv = np.unique(np.concatenate(keys), return_inverse=True)
     pos, neg = (np.bincount(inv, np.concatenate([c[:, j] for c in counts]), len(key)) for j in (0, 1))
     lift = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / ((~label).sum() + 1))
@@ -189,14 +191,13 @@ def _evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def train(column: pa.Array, y: np.ndarray, bad_share: float, chain_docs: int = CHAIN) -> dict:
     """The chain's weights, from ``chain_docs`` texts of each label, and the document model, from all sampled ones."""
     model = {"vocab": np.zeros(0, np.uint64), "w": np.zeros(0), "b": -6.0, "start": np.array([0.5, 0.5]), "move": np.full((2, 2), 0.5), "gate": np.zeros(1 << 16, bool), "doc": (np.zeros(4), np.ones(4), np.zeros(4), -3.0)}
-    tokens = list(_tokens(column))
-    if not tokens or not (y == 1).any() or not (y == 0).any():
+    if not (y == 1).any() or not (y == 0).any():
         return model
-    parts = [y[t.w.first : t.w.last] for t in tokens]
-    vocab, lift = _lifted(tokens, parts)
+    # tokens are made anew for each use, a slice at a time: held, they would take many times the texts' room
+    vocab, lift = _lifted(column, y)
     if not len(vocab):
         return model
-    for t in tokens:  # the first bytes of every token that has a feature open the gate
+    for t in _tokens(column):  # the first bytes of every token that has a feature open the gate
         at = np.arange(len(t.starts))
         open_ = np.zeros(len(at), bool)
         for k in t.keys(at):
@@ -232,7 +233,7 @@ def train(column: pa.Array, y: np.ndarray, bad_share: float, chain_docs: int = C
     model |= {"vocab": vocab, "w": w, "b": float(b), "start": np.exp(log_start), "move": np.exp(log_move)}
 
     parts = []
-    for t in tokens:
+    for t in _tokens(column):
         who, what, doc, first = _flat([t], vocab, model["gate"])
         p, _ = marginals(np.bincount(who, w[what], len(doc)) + b, first, model)
         parts.append(_evidence(p, doc, t.w.last - t.w.first))
@@ -286,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = sample(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).distinct(), id_col, label_col, per_class, out)
     rows = texts(docs, ids, id_col, text_col, per_class)
     n = {int(r["label"]): r["n"] for r in rows}
-    model = train(pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int), n.get(1, 0) / max(1, sum(n.values())), chain_docs)
+    column, y = pa.array([r["text"] for r in rows], pa.string()), np.array([r["label"] for r in rows], int)
     del rows
+    model = train(column, y, n.get(1, 0) / max(1, sum(n.values())), chain_docs)
+    del column
     words.settle()
     # called nondeterministic only so that Spark does not run it again for a filter on its result
     tag = F.arrow_udf(_tagger(docs.sparkSession.sparkContext.broadcast(model)), _SCHEMA).asNondeterministic()
@@ -298,7 +301,7 @@ def tag_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """Per input row: id_col, held_out, score, predicted (1 if score >= threshold), spans (start, end in code points, p).
 
     Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held``: about ``per_class`` of each label, of
-    any length, while they come to 8 MB a label at most; the chain's weights are trained on the tokens of the first
+    any length, while they come to 4 MB a label at most; the chain's weights are trained on the tokens of the first
     ``chain_docs`` of each, features and the document model on all. A score uses the text alone.
 
     Null, empty and blank texts have no token, no span and the score of no evidence. Without labels of both kinds all
