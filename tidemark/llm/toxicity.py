@@ -64,7 +64,7 @@ class Tokens:
 
 
 def _tokens(column: pa.Array):
-    for w in words.slices(column, lower=True):
+    for w in words.slices(column, lower=True, size=words.SLICE // 2):
         yield Tokens(w)
 
 
