@@ -46,6 +46,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text", F.octet_length(F.col("text").cast("binary")).cast("bigint").alias("size"))
 
 
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order, size and digest of the documents: the digest is taken in the scan, so that no text is shuffled."""
+    return _documents(spark, sf_dir).select("ord", "size", hashing.md5_of(F.col("text")).alias("digest"))
+
+
 @query(f"SELECT {_SIZE} AS size, count(*) AS n FROM documents GROUP BY 1")
 def size_histogram(spark, sf_dir):
     return exact.size_histogram(_documents(spark, sf_dir))
@@ -60,7 +65,7 @@ def hash_candidates(spark, sf_dir):
   SELECT doc_id, size, md5, count(*) OVER (PARTITION BY size) AS c, row_number() OVER (PARTITION BY size, md5 ORDER BY doc_id) AS rn
   FROM (SELECT doc_id, {_SIZE} AS size, md5(text) AS md5 FROM documents))""")
 def exact_dedup(spark, sf_dir):
-    rows = exact.with_hash(exact.hash_candidates(_documents(spark, sf_dir)), F.col("text"))
+    rows = exact.with_digest(exact.hash_candidates(_digests(spark, sf_dir)), F.col("digest"))
     return exact.first_wins(rows).select(F.col("ord").alias("doc_id"), "size", "md5", "is_duplicate")
 
 
@@ -75,30 +80,38 @@ def hashes_by_size(spark, sf_dir):
     return rows.select("size", "md5").distinct().groupBy("size").agg(F.sort_array(F.collect_list("md5")).alias("hashes"))
 
 
+def _refill(old: DataFrame):
+    """What fills in the hashes of archived rows: their digests."""
+    digests = old.select(F.col("ord").alias("archived_path"), F.col("digest").alias("md5"))
+    return lambda df: df.join(digests, "archived_path")
+
+
 @query(f"""WITH d AS (SELECT doc_id, {_SIZE} AS size, md5(text) AS md5 FROM documents),
  a AS (SELECT * FROM d WHERE doc_id % 2 = 0), b AS (SELECT * FROM d WHERE doc_id % 2 = 1)
  SELECT doc_id, EXISTS (SELECT 1 FROM a WHERE a.size = b.size AND a.md5 = b.md5)
    OR row_number() OVER (PARTITION BY size, md5 ORDER BY doc_id) > 1 AS is_duplicate FROM b""")
 def cross_batch_dedup(spark, sf_dir):
     """Odd documents against the state that the even ones left, with sizes never hashed filled in only where they recur."""
-    docs = _documents(spark, sf_dir)
+    docs = _digests(spark, sf_dir)
     old, new = docs.where("ord % 2 = 0"), docs.where("ord % 2 = 1")
-    first = exact.with_hash(exact.hash_candidates(old), F.col("text"))
+    first = exact.with_digest(exact.hash_candidates(old), F.col("digest"))
     seen = first.where("md5 is not null").select("size", "md5").distinct()
     pending = first.where("hash_status = 'not_needed'").select("size", F.col("ord").alias("archived_path"))
-    rows = exact.with_hash(exact.hash_candidates(new, first.select("size").distinct()), F.col("text"))
-    texts = old.select(F.col("ord").alias("archived_path"), "text")
-    extra, _ = exact.backfill(pending, rows, lambda df: df.join(texts, "archived_path").withColumn("md5", hashing.md5_of(F.col("text"))))
+    rows = exact.with_digest(exact.hash_candidates(new, first.select("size").distinct()), F.col("digest"))
+    extra, _ = exact.backfill(pending, rows, _refill(old))
     return exact.first_wins(rows, seen.union(extra)).select(F.col("ord").alias("doc_id"), "is_duplicate")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_SIZE} AS size FROM documents), a AS (SELECT size FROM d WHERE doc_id % 2 = 0 GROUP BY size HAVING count(*) = 1),
  b AS (SELECT DISTINCT size FROM d WHERE doc_id % 2 = 1) SELECT count(*) FILTER (WHERE b.size IS NOT NULL) AS filled, count(*) FILTER (WHERE b.size IS NULL) AS pending FROM a LEFT JOIN b USING (size)""")
 def pending_ledger(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    first = exact.hash_candidates(docs.where("ord % 2 = 0"))
-    ledger = first.where("not is_candidate").select("size").join(docs.where("ord % 2 = 1").select("size").distinct().withColumn("due", F.lit(True)), "size", "left")
-    return ledger.agg(F.count_if("due").alias("filled"), F.count_if(F.col("due").isNull()).alias("pending"))
+    docs = _digests(spark, sf_dir)
+    old, new = docs.where("ord % 2 = 0"), docs.where("ord % 2 = 1")
+    first = exact.with_digest(exact.hash_candidates(old), F.col("digest"))
+    pending = first.where("hash_status = 'not_needed'").select("size", F.col("ord").alias("archived_path"))
+    rows = exact.with_digest(exact.hash_candidates(new, first.select("size").distinct()), F.col("digest"))
+    filled, rest = exact.backfill(pending, rows, _refill(old))
+    return filled.agg(F.count("*").alias("filled")).join(rest.agg(F.count("*").alias("pending")))  # one row by one row
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) p USING (o_orderkey)")
@@ -145,6 +158,31 @@ def nearest_leader(spark, sf_dir):
     return neardup.nearest_leader(_codes(spark, sf_dir), NEAR).select(F.col("ord").alias("vec_id"), "leader", "distance")
 
 
+#: A distance that the band join covers, and what sets the members of a family of four codes apart: 0, 2, 3 and 8 bits.
+NEAR_BANDS, FLIPS = 7, (0, 3, 28, 255 << 40)
+
+
+@query(f"""WITH {_CODES}, fam AS (SELECT b.ord, xor(o.h::UBIGINT, (CASE b.ord % 4 WHEN 0 THEN {FLIPS[0]} WHEN 1 THEN {FLIPS[1]} WHEN 2 THEN {FLIPS[2]} ELSE {FLIPS[3]} END)::UBIGINT) AS h
+   FROM codes b JOIN codes o ON o.ord = b.ord - b.ord % 4)
+ SELECT a.ord AS ord_a, b.ord AS ord_b, bit_count(xor(a.h, b.h))::INT AS distance FROM fam a JOIN fam b ON a.ord < b.ord AND bit_count(xor(a.h, b.h)) <= {NEAR_BANDS}""")
+def hamming_pairs_banded(spark, sf_dir):
+    """Families of codes a few bits apart, found by the band join."""
+    codes = _codes(spark, sf_dir)
+    turn = F.col("ord") % 4
+    flip = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in FLIPS)), (turn + 1).cast("int"))
+    family = codes.select("ord", (F.col("ord") - turn).alias("first"), flip.alias("flip")).join(codes.select(F.col("ord").alias("first"), "code"), "first")
+    return neardup.hamming_pairs(family.select("ord", F.col("code").bitwiseXOR(F.col("flip")).alias("code")), NEAR_BANDS)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(a, '[0-9A-Fa-f]{1,16}') AND regexp_full_match(b, '[0-9A-Fa-f]{1,16}')
+   THEN bit_count(xor(('0x' || a)::UBIGINT, ('0x' || b)::UBIGINT))::INT ELSE 999 END AS distance FROM (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'none' ELSE upper(to_hex(l_orderkey * 1234567)) END AS a, to_hex(l_partkey * 7654321 + l_linenumber) AS b FROM lineitem)""")
+def hex_distance(spark, sf_dir):
+    a = F.when(F.col("l_linenumber") == 3, "none").otherwise(F.hex(F.col("l_orderkey") * 1234567))
+    b = F.hex(F.col("l_partkey") * 7654321 + F.col("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hashing.hamming(a, F.lower(b)).alias("distance"))
+
+
 @query(f"WITH {_CODES}, q AS (SELECT h FROM codes WHERE ord = 0) SELECT ord AS vec_id, bit_count(xor(codes.h::UBIGINT, q.h::UBIGINT))::INT AS distance FROM codes, q WHERE bit_count(xor(codes.h::UBIGINT, q.h::UBIGINT)) <= 28")
 def hamming_range_search(spark, sf_dir):
     codes = _codes(spark, sf_dir)
@@ -275,16 +313,44 @@ def archive_plan(spark, sf_dir):
     return _document_plan(spark, sf_dir).rows.select("path", "action", "destination")
 
 
-@query(f"""WITH {_PLAN} SELECT (SELECT count(*) FROM documents) AS scanned, count(*) FILTER (WHERE NOT dup) AS moved, count(*) FILTER (WHERE dup) AS duplicates, 0::BIGINT AS visual_duplicates,
-  0::BIGINT AS sidecars_paired, 0::BIGINT AS livephotos_paired, (SELECT count(*) FROM documents WHERE doc_id % 10 = 9) AS skipped, 0::BIGINT AS resumed, count(*) FILTER (WHERE NOT dup) AS date_from_mtime,
-  0::BIGINT AS failed, 0::BIGINT AS errored FROM d""")
+def _bundle_plan(spark: SparkSession, sf_dir: str):
+    """Bundles of files with sidecars and companions, some without a size or a time, in a layout by type."""
+    n = F.col("ord")
+    items = _items(spark, sf_dir).select(
+        "path",
+        "ord",
+        F.when(n % 13 != 0, F.col("size")).alias("size"),
+        F.when(n % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + n % 700 * 86400)).alias("mtime"),
+        F.concat(F.lit("c"), (F.floor(n / 4) % 50).cast("string")).cast("binary").alias("content"),
+    )
+    return plan_archive(items, ArchiveConfig("/archive", "/duplicates", by_type=True))
+
+
+_BUNDLES = f"""{_ITEMS}, f AS (SELECT ord, path, dir, {_NORM} AS stem_key, lower({_EXT}) AS ext, {_RANK} AS r, CASE WHEN ord % 13 <> 0 THEN size END AS size,
+   CASE WHEN ord % 11 <> 0 THEN to_timestamp(1704067200 + ord % 700 * 86400) AT TIME ZONE 'UTC' END AS t, 'c' || (ord // 4) % 50 AS content FROM (SELECT *, {_PARTS} FROM items)),
+ m AS (SELECT *, row_number() OVER (PARTITION BY dir, stem_key ORDER BY r, ord) AS turn FROM f WHERE ext IN ({_quoted(config.SUPPORTED_EXTENSIONS)})),
+ lead AS (SELECT *, CASE WHEN size IS NULL THEN 'ERROR' WHEN row_number() OVER (PARTITION BY size IS NULL, size, content ORDER BY ord) > 1 THEN 'duplicate' WHEN t IS NULL THEN 'FAIL' ELSE 'archive' END AS fate FROM m WHERE turn = 1),
+ every AS (SELECT m.*, lead.fate, lead.t AS lead_t FROM m JOIN lead USING (dir, stem_key))"""
+_COUNTS = f"""SELECT (SELECT count(*) FROM f) AS scanned, count(*) FILTER (WHERE turn = 1 AND fate = 'archive') AS moved, count(*) FILTER (WHERE turn = 1 AND fate = 'duplicate') AS duplicates, 0::BIGINT AS visual_duplicates,
+  count(*) FILTER (WHERE turn > 1 AND fate = 'archive' AND ext = '.aae') AS sidecars_paired, count(*) FILTER (WHERE turn > 1 AND fate = 'archive' AND ext <> '.aae') AS livephotos_paired,
+  (SELECT count(*) FROM f WHERE ext NOT IN ({_quoted(config.SUPPORTED_EXTENSIONS)})) AS skipped, 0::BIGINT AS resumed, count(*) FILTER (WHERE turn = 1 AND fate = 'archive') AS date_from_mtime,
+  count(*) FILTER (WHERE turn = 1 AND fate = 'FAIL') AS failed, count(*) FILTER (WHERE turn = 1 AND fate = 'ERROR') AS errored FROM every"""
+
+
+@query(f"WITH {_BUNDLES} {_COUNTS}")
 def archive_stats(spark, sf_dir):
-    return _document_plan(spark, sf_dir).counters
+    return _bundle_plan(spark, sf_dir).counters
 
 
-@query("SELECT 0 AS exit_code")
+@query(f"WITH {_BUNDLES} SELECT CASE WHEN errored > 0 THEN 2 WHEN failed > 0 THEN 1 ELSE 0 END AS exit_code FROM ({_COUNTS})")
 def archive_exit_code(spark, sf_dir):
-    return _document_plan(spark, sf_dir).exit_code()
+    return _bundle_plan(spark, sf_dir).exit_code()
+
+
+@query(f"""WITH {_BUNDLES} SELECT path, CASE fate WHEN 'archive' THEN strftime(lead_t, '/archive/%Y/%m/') || CASE WHEN r = 0 THEN 'images' WHEN r = 1 THEN 'videos' WHEN ext = '.aae' THEN 'aae' ELSE 'others' END
+  WHEN 'duplicate' THEN '/duplicates' END AS folder FROM every""")
+def archive_by_type(spark, sf_dir):
+    return _bundle_plan(spark, sf_dir).rows.select("path", "folder")
 
 
 @query(f"SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT {_SIZE} AS size FROM documents)")

@@ -14,7 +14,7 @@ from tidemark.functions.fingerprints import fingerprint_of
 from tidemark.functions.hashing import from_hex
 from tidemark.operators import stats
 from tidemark.plans.archive import next_state, plan_archive
-from tidemark.plans.execute import execute
+from tidemark.plans.execute import carried_out, execute
 from tidemark.sources import files, metadata, state
 from tidemark.tables import materialise
 
@@ -49,6 +49,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     items = files.ordered(files.scan(spark, args.source, [args.target, args.duplicates]))
     if args.exiftool:
         items = items.join(metadata.read_tags(items, args.exiftool), "path", "left")
+    header = F.lower(F.col("path")).rlike(r"\.(jpe?g|jfif|tiff?|dng|heic)$")
+    items = items.withColumn("embedded", F.when(header, metadata.embedded_time_at("path")))
     if args.phash:
         content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.source).select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
         items = items.join(content.select("path", from_hex(fingerprint_of("content")).alias("code")), "path", "left")
@@ -60,12 +62,17 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     existing = None if taken is None else materialise(taken.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name")), "existing")
     refill = lambda df: files.with_content(df.withColumn("is_candidate", F.lit(True)), path="archived_path")
     plan = plan_archive(materialise(items, "items"), cfg, known, files.with_content, existing, refill)
-    rows = plan.rows if cfg.dry_run else materialise(execute(plan.rows), "done")
+    try:
+        rows = plan.rows if cfg.dry_run else materialise(execute(plan.rows), "done")
+    except KeyboardInterrupt:
+        if cfg.resume:  # what was moved until now is not to be met again as new
+            state.save(next_state(carried_out(plan.rows), plan.base), args.target)
+        raise
     counters = stats.summary(rows, plan.counters.select("scanned", "skipped", "resumed"))
     row = counters.head()
     for name in stats.COUNTERS:
         log.info("%s: %d", name, row[name])
-    for f in stats.failures(rows).limit(1000).toLocalIterator():
+    for f in stats.failures(rows).toLocalIterator():
         log.warning("[%s] %s -> %s", f.kind, f.path, f.message)
     if cfg.resume and not cfg.dry_run:
         state.save(next_state(rows, plan.base), args.target)

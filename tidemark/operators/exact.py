@@ -1,7 +1,9 @@
 """Exact duplicates with a size-first plan: only rows whose size recurs are hashed.
 
-Rows need an order (``ord``); every decision is 'first one wins' in that order. A row's hash is settled in two passes:
-sizes alone choose the candidates, then only their content is hashed. Partial counts per size travel, never content.
+Rows need an order (``ord``); every decision is 'first one wins' in that order. Sizes alone choose the candidates. Where
+content has to be fetched (files), only theirs is, by ``with_hash`` after ``hash_candidates``. Where content is a column,
+take its digest in the scan and go on with ``with_digest``: then order, size and digest travel, never content, whatever
+the joins are. Partial counts per size are all that the choice of candidates shuffles.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import md5_of
+from tidemark.tables import fresh
 
 
 def size_histogram(items: DataFrame, size: str = "size") -> DataFrame:
@@ -27,15 +30,20 @@ def hash_candidates(items: DataFrame, history: DataFrame | None = None, size: st
     again = size_histogram(items.where(F.col(size).isNotNull()), size).where("n > 1").select(size)
     if history is not None:
         again = again.union(history.select(F.col(size))).distinct()
-    marked = items.join(again.withColumn("_again", F.lit(True)), size, "left")
-    return marked.withColumn("is_candidate", F.col(size).isNull() | F.coalesce("_again", F.lit(False))).drop("_again").select(*items.columns, "is_candidate")
+    flag = fresh("again", items)
+    marked = items.join(again.select(F.col(size), F.lit(True).alias(flag)), size, "left")
+    return marked.select(*(F.col(c) for c in items.columns), (F.col(size).isNull() | F.coalesce(flag, F.lit(False))).alias("is_candidate"))
 
 
 def with_hash(items: DataFrame, content: Column, candidate: str = "is_candidate") -> DataFrame:
     """items with md5 (of candidates only) and hash_status: not_needed, ok or failed."""
-    digest = F.when(F.col(candidate), md5_of(content))
-    status = F.when(~F.col(candidate), "not_needed").when(content.isNull(), "failed").otherwise("ok")
-    return items.withColumns({"md5": digest, "hash_status": status})
+    return with_digest(items, md5_of(content), candidate)
+
+
+def with_digest(items: DataFrame, digest: Column, candidate: str = "is_candidate") -> DataFrame:
+    """``with_hash`` for a digest that is there already, null where the content could not be read."""
+    status = F.when(~F.col(candidate), "not_needed").when(digest.isNull(), "failed").otherwise("ok")
+    return items.withColumns({"md5": F.when(F.col(candidate), digest), "hash_status": status})
 
 
 def first_wins(items: DataFrame, seen: DataFrame | None = None, size: str = "size", ord_col: str = "ord") -> DataFrame:
@@ -44,15 +52,15 @@ def first_wins(items: DataFrame, seen: DataFrame | None = None, size: str = "siz
     Rows without md5 are never duplicates. The least order per (size, md5) is a partial aggregate, so the copies of one
     content may be any share of the rows.
     """
-    first = items.where(F.col("md5").isNotNull()).groupBy(size, "md5").agg(F.min(ord_col).alias("_first"))
+    least, known = fresh("first", items), fresh("known", items)
+    first = items.where(F.col("md5").isNotNull()).groupBy(size, "md5").agg(F.min(ord_col).alias(least))
     if seen is not None:
-        known = seen.select(F.col("size").alias(size), "md5").distinct().withColumn("_known", F.lit(True))
-        first = first.join(known, [size, "md5"], "left")
+        first = first.join(seen.select(F.col("size").alias(size), "md5").distinct().withColumn(known, F.lit(True)), [size, "md5"], "left")
     else:
-        first = first.withColumn("_known", F.lit(None).cast("boolean"))
+        first = first.withColumn(known, F.lit(None).cast("boolean"))
     marked = items.join(first, [size, "md5"], "left")
-    later = F.coalesce("_known", F.lit(False)) | F.coalesce(F.col("_first") < F.col(ord_col), F.lit(False))
-    return marked.withColumn("is_duplicate", later).drop("_first", "_known").select(*items.columns, "is_duplicate")
+    later = F.coalesce(known, F.lit(False)) | F.coalesce(F.col(least) < F.col(ord_col), F.lit(False))
+    return marked.select(*(F.col(c) for c in items.columns), later.alias("is_duplicate"))
 
 
 def backfill(pending: DataFrame, batch: DataFrame, hasher: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ArchiveConfig
 from tidemark.functions import dates, names
+from tidemark.functions.hashing import md5_of
 from tidemark.operators import exact, filters, grouping, neardup, stats
 from tidemark.operators.collisions import unique_names
 from tidemark.sources.state import State, empty
-from tidemark.tables import materialise
+from tidemark.tables import fresh, materialise
 
 
 @dataclass
@@ -50,6 +51,10 @@ def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None =
     spark = items.sparkSession
     state = state or empty(spark)
     items = _optional(items, meta="map<string,string>", content="binary", code="bigint", embedded="string", stat_error="string")
+    if hasher is None:  # the digest is taken in the scan, so that content meets no shuffle
+        digest = fresh("digest", items)
+        items = items.withColumn(digest, md5_of(F.col("content"))).drop("content")
+        hasher = lambda df: exact.with_digest(df, F.col(digest)).drop(digest)
     media = filters.supported(items)
     todo = filters.not_processed(media, state.processed) if config.resume else media
     scanned = items.agg(F.count("*").alias("scanned"), F.count_if(~names.is_supported(names.suffix(names.file_name(F.col("path"))))).alias("skipped"))
@@ -59,7 +64,7 @@ def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None =
     files = grouping.with_roles(todo).withColumn("ext", names.suffix(names.file_name(F.col("path"))))
     lead = files.where("role = 'primary'")
     marked = lead.withColumn("is_candidate", F.lit(True)) if config.hash_all else exact.hash_candidates(lead, state.history())
-    hashed = (hasher or (lambda df: exact.with_hash(df, F.col("content"))))(marked)
+    hashed = hasher(marked)
     hashed = materialise(hashed.drop("content"), "hashed")
     sound = hashed.where("size is not null and hash_status <> 'failed'")
 

@@ -59,6 +59,18 @@ def _moves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": frame["path"], "_kind": kinds, "_error": errors})
 
 
+def carried_out(plan: DataFrame) -> DataFrame:
+    """The plan's rows after a run that was broken off: those whose move is done as they are, the others with action 'none'."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [not os.path.exists(s) and os.path.exists(t) for s, t in zip(frame["path"], frame["destination"], strict=True)]
+            yield pd.DataFrame({"path": frame["path"], "_done": done})
+
+    done = plan.where("action <> 'none'").select("path", "destination").mapInPandas(look, "path string, _done boolean").where("_done")
+    return plan.join(done, "path", "left").withColumn("action", F.when(F.col("_done"), F.col("action")).otherwise("none")).drop("_done")
+
+
 def execute(plan: DataFrame) -> DataFrame:
     """The plan's rows with what became of them: rows that could not be moved have error_kind ERROR.
 

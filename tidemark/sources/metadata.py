@@ -152,6 +152,20 @@ def embedded_time(content: pd.Series) -> pd.Series:
     return content.map(lambda b: header_time(bytes(b)) if b is not None else None)
 
 
+@F.pandas_udf(StringType())
+def embedded_time_at(path: pd.Series) -> pd.Series:
+    """The header time of files, of which only the first blocks are read, where the rows are."""
+
+    def one(p: str) -> str | None:
+        try:
+            with open(p, "rb") as f:
+                return header_time(f.read(1 << 18))
+        except OSError:
+            return None
+
+    return path.map(one)
+
+
 def sidecar_time(xml: Column) -> Column:
     """The text of the first ``date`` element of a sidecar, as a time; null if it has none."""
     return F.try_to_timestamp(F.regexp_replace(F.regexp_extract(xml, r"<date>\s*([^<]+?)\s*</date>", 1), "[TZ]", " "))

@@ -16,6 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/") if at else FALLBACK_DIR
 
 
+def fresh(stem: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever a user calls theirs."""
+    taken, name = {c.lower() for df in tables for c in df.columns}, stem
+    while name in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that later steps start from files that survive an executor."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
