@@ -256,3 +256,35 @@ def test_stream_remembers_earlier_batches(spark, tmp_path):
     (source / "2.json").write_text('{"id":3,"text":"a"}\n{"id":4,"text":"b"}\n')
     run()
     assert seen == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_an_interrupted_run_keeps_what_it_moved(spark, tmp_path, monkeypatch):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for k in range(4):
+        (source / f"p{k}.jpg").write_bytes(b"x" * (k + 1))
+    args = cli.parser().parse_args(["--source", str(source), "--target", str(target), "--duplicates", str(tmp_path / "dup")])
+
+    def half(plan):
+        rows = plan.orderBy("path").limit(2).collect()
+        for r in rows:
+            ex.move(r.path, r.destination)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(cli, "execute", half)
+    with pytest.raises(KeyboardInterrupt):
+        cli.run(args, spark)
+    assert {r.path for r in state.load(spark, str(target)).processed.collect()} == {str(source / f"p{k}.jpg") for k in (0, 1)}
+    monkeypatch.undo()
+    assert cli.run(args, spark) == 0
+    assert not list(source.iterdir()) and sorted(p.name for p in target.rglob("*.jpg")) == [f"p{k}.jpg" for k in range(4)]
+
+
+def test_embedded_times_are_used(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    when = b"2011:03:04 05:06:07\x00"
+    tiff = b"II*\x00" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (0x0132).to_bytes(2, "little") + (2).to_bytes(2, "little") + len(when).to_bytes(4, "little") + (26).to_bytes(4, "little") + bytes(4) + when
+    (source / "a.jpg").write_bytes(b"\xff\xd8\xff\xe1\x00\x40Exif\x00\x00" + tiff)
+    assert cli.run(cli.parser().parse_args(["--source", str(source), "--target", str(target), "--duplicates", str(tmp_path / "dup")]), spark) == 0
+    assert (target / "2011" / "03" / "a.jpg").exists()

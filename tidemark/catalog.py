@@ -441,3 +441,45 @@ def metadata_records(spark, sf_dir):
     doc = F.to_json(F.struct(F.concat(F.lit("C:\\In\\"), F.col("event_id").cast("string")).alias("SourceFile"), F.col("event_type").alias("Type")))
     records = metadata.from_records(table(spark, sf_dir, "events").select(doc.alias("value")))
     return records.select("path_key", F.col("meta")["Type"].alias("type"))
+
+
+@query(f"WITH {_ITEMS} SELECT path FROM items WHERE len(list_filter(string_split(path, '/')[:-2], lambda x: x IN ('almond', 'blue'))) = 0")
+def ignored_folders(spark, sf_dir):
+    return filters.not_ignored(_items(spark, sf_dir), ["almond", "blue"], hidden=True).select("path")
+
+
+@query(f"WITH {_ITEMS} SELECT path, '/out' || dir || '/' || {_STEM} || '_' || ltrim({_EXT}, '.') || '%.txt' AS name FROM (SELECT *, {_PARTS} FROM items)")
+def output_names(spark, sf_dir):
+    return _items(spark, sf_dir).select("path", tags.output_name("/out%d%f_%e%%.txt", F.col("path")).alias("name"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS day, o_orderstatus AS status FROM orders")
+def tag_dates(spark, sf_dir):
+    meta = F.create_map(F.lit("Date"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"), F.lit("Status"), F.col("o_orderstatus"))
+    out = table(spark, sf_dir, "orders").select("o_orderkey", tags.format_dates(meta, "yyyy-MM-dd HH:mm").alias("meta"))
+    return out.select("o_orderkey", F.col("meta")["Date"].alias("day"), F.col("meta")["Status"].alias("status"))
+
+
+@query("SELECT event_id, event_type || chr(9) || user_id || coalesce(chr(9) || json_extract_string(props, '$.k'), '') AS line FROM events")
+def tag_lines(spark, sf_dir):
+    kept = tags.project(F.col("meta"), keep=["Event:Type", "Event:User", "k"])
+    return _tagged(spark, sf_dir).select("event_id", tags.sorted_lines(kept).alias("line"))
+
+
+@query("SELECT event_id, 'Item:Type' AS tag FROM events UNION ALL SELECT event_id, 'Item:Id' FROM events")
+def tag_groups(spark, sf_dir):
+    meta = F.create_map(F.lit("Type"), F.col("event_type"), F.lit("Id"), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.map_keys(tags.with_group(meta, F.lit("Item")))).alias("tag"))
+
+
+@query("SELECT p_partkey, array_to_string(w, ' + ') AS joined, w[-1] AS last, w[2] AS second, NULL::VARCHAR AS far FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+def tag_lists(spark, sf_dir):
+    w = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select("p_partkey", tags.list_join(w, " + ").alias("joined"), tags.list_item(w, -1).alias("last"), tags.list_item(w, 1).alias("second"), tags.list_item(w, 99).alias("far"))
+
+
+@query("""SELECT o_orderpriority, CASE WHEN count(*) FILTER (WHERE o_totalprice > 500000) > 0 THEN 1 WHEN count(*) FILTER (WHERE o_orderstatus <> 'X') > 0 THEN 2 ELSE 0 END AS status FROM orders GROUP BY 1""")
+def tag_exit_status(spark, sf_dir):
+    """Of each priority: orders beyond a price count as errors, and no order meets the condition."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 500000).alias("errors"), F.count_if(F.col("o_orderstatus") == "X").alias("passed"), F.count_if(F.col("o_orderstatus") != "X").alias("failed"))
+    return tags.exit_status(counts, "o_orderpriority")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +87,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=getattr(logging, args.log_level), format="%(asctime)s %(levelname)s %(message)s")
-    spark = SparkSession.builder.master(f"local[{args.workers}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    work = tempfile.mkdtemp(prefix="tidemark-")  # one machine: its own folder serves driver and executors alike
+    spark = SparkSession.builder.master(f"local[{args.workers}]").config("spark.checkpoint.dir", work).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     try:
         return run(args, spark)
     except config.ConfigError as e:
@@ -95,6 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         return 130
     finally:
         spark.stop()
+        shutil.rmtree(work, ignore_errors=True)
 
 
 if __name__ == "__main__":

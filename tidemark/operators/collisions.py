@@ -1,9 +1,9 @@
 """Collision-free names within folders.
 
 Names are given in order: the name itself if free, else stem_1, stem_2 ... with the same suffix. Whether a name is free
-depends on all given before it, so a folder is a sequence. A folder of any size is nevertheless many tasks: a name that
-no other row could want, by itself or as someone's numbered name, needs no sequence, and rows that can want the same
-names form families, by folder and by the stem without trailing numbers, that are sequences of their own.
+depends on all given before it, so a folder is a sequence. A folder of any size is nevertheless many tasks: rows that can
+want the same names form families, by folder and by the stem without trailing numbers, that are sequences of their own.
+A name that all rows share is one family and so one task, which reads it as a stream and holds the names it has given.
 """
 
 from __future__ import annotations
@@ -49,8 +49,7 @@ def _allocate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", ord_col: str = "ord", existing: DataFrame | None = None) -> DataFrame:
     """moves with final_name; ``existing`` has the (folder, name) pairs that are already there.
 
-    Families with one row skip the sequence; the others are dealt by family, so a folder is as many tasks as it has
-    families, and each is read in order as a stream.
+    Rows are dealt by family, so a folder is as many tasks as it has families, and each is read in order as a stream.
     """
     rows = moves.select(F.col(ord_col).alias("_ord"), F.col(folder).alias("_dir"), F.col(name).alias("_name"), F.lit(False).alias("_taken"))
     if existing is not None:

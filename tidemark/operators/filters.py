@@ -20,6 +20,15 @@ def outside(items: DataFrame, roots: list[str], path: str = "path") -> DataFrame
     return items
 
 
+def not_ignored(items: DataFrame, folders: list[str], hidden: bool = False, path: str = "path") -> DataFrame:
+    """Rows in no folder of these names, at any depth, nor, if ``hidden`` is asked for, below one that begins with a dot."""
+    above = F.slice(F.split(names.slashed(F.col(path)), "/"), F.lit(1), F.size(F.split(names.slashed(F.col(path)), "/")) - 1)
+    bad = F.arrays_overlap(above, F.array(*(F.lit(f) for f in folders)).cast("array<string>"))
+    if hidden:
+        bad = bad | F.exists(above, lambda x: F.startswith(x, F.lit(".")))
+    return items.where(~bad)
+
+
 def supported(items: DataFrame, path: str = "path") -> DataFrame:
     """Rows of a known extension."""
     return items.where(names.is_supported(names.suffix(names.file_name(F.col(path)))))

@@ -1,7 +1,7 @@
 """Near-duplicates of 64-bit fingerprints in Hamming space.
 
 Pairs within a distance share one of distance + 1 bands, so an equi-join on bands finds them all. Fingerprints that are
-equal are joined once, as one code, and a band's values are spread by further bits where they would be too few.
+equal are joined once, as one code. Above ``BAND_LIMIT`` bands are too short to prune, and pairs are found by a theta join.
 """
 
 from __future__ import annotations
@@ -71,11 +71,16 @@ def leaders(items: DataFrame, threshold: int, code: str = "code", ord_col: str =
 
 
 def nearest_leader(items: DataFrame, threshold: int, code: str = "code", ord_col: str = "ord") -> DataFrame:
-    """For each row that is not a leader: the nearest earlier leader within the threshold, of equal ones the first."""
-    marked = materialise(leaders(items, threshold, code, ord_col).select(ord_col, code, "is_leader"), "leaders")
-    pairs = hamming_pairs(marked, threshold, code, ord_col)
-    lead = marked.where("is_leader and {} is not null".format(code)).select(F.col(ord_col).alias("ord_a"))
-    rest = marked.where("not is_leader").select(F.col(ord_col).alias("ord_b"))
-    found = pairs.join(lead, "ord_a", "left_semi").join(rest, "ord_b", "left_semi")
-    best = found.groupBy("ord_b").agg(F.min(F.struct("distance", "ord_a")).alias("x"))
-    return best.select(F.col("ord_b").alias(ord_col), F.col("x.ord_a").alias("leader"), F.col("x.distance").alias("distance"))
+    """For each row that is not a leader: the nearest earlier leader within the threshold, of equal ones the first.
+
+    Distances are taken between distinct codes; rows meet only the leaders near their code.
+    """
+    marked = materialise(leaders(items, threshold, code, ord_col).select(F.col(ord_col).alias("o"), F.col(code).alias("code"), "is_leader"), "leaders").where("code is not null")
+    lead = marked.where("is_leader").select(F.col("code").alias("a"), F.col("o").alias("leader"))  # one row a code
+    distinct = marked.select("code").distinct()
+    pairs = code_pairs(distinct, threshold)
+    every = pairs.union(pairs.select("b", "a", "distance")).union(distinct.select("code", "code", F.lit(0)))
+    near = every.join(lead, "a").select(F.col("b").alias("code"), "distance", "leader")
+    found = marked.where("not is_leader").join(near, "code").where("leader < o")
+    best = found.groupBy("o").agg(F.min(F.struct("distance", "leader")).alias("x"))
+    return best.select(F.col("o").alias(ord_col), F.col("x.leader").alias("leader"), F.col("x.distance").alias("distance"))

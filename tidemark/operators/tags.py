@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
+from tidemark.functions.dates import parse_time
+
 #: What counts as a number when values are sorted, and when they are written as JSON; fixed values.
 FLOAT = r"^[+-]?(?=\d|\.\d)\d*(\.\d*)?([Ee]([+-]?\d+))?$"
 JSON_NUMBER = r"(?i)^-?(\d|[1-9]\d{1,14})(\.\d{1,16})?(e[-+]?\d{1,3})?$"
@@ -111,6 +114,27 @@ def list_item(values: Column, index: int) -> Column:
     return F.try_element_at(values, F.lit(index + 1 if index >= 0 else index))
 
 
-def exit_status(counts: DataFrame) -> DataFrame:
-    """1 on any error, 2 if rows were asked for and all failed the condition, else 0; counts: errors, passed, failed."""
-    return counts.select(F.when(F.col("errors") > 0, 1).when((F.col("failed") > 0) & (F.col("passed") == 0), 2).otherwise(0).alias("status"))
+def exit_status(counts: DataFrame, *keys: str) -> DataFrame:
+    """1 on any error, 2 if rows were asked for and all failed the condition, else 0; counts: keys, errors, passed, failed."""
+    return counts.select(*keys, F.when(F.col("errors") > 0, 1).when((F.col("failed") > 0) & (F.col("passed") == 0), 2).otherwise(0).alias("status"))
+
+
+def format_dates(meta: Column, pattern: str) -> Column:
+    """Values that are dates ('YYYY:MM:DD HH:MM:SS') in another pattern; others stay."""
+    return F.transform_values(meta, lambda _, v: F.coalesce(F.date_format(parse_time(v), pattern), v))
+
+
+def sorted_lines(meta: Column, separator: str = "\t") -> Column:
+    """A line of values in the alphabetical order of their tags, whatever its case."""
+    pairs = F.array_sort(F.transform(F.map_entries(meta), lambda p: F.struct(F.lower(p["key"]).alias("k"), p["value"].alias("v"))))
+    return F.array_join(F.transform(pairs, lambda p: p["v"]), separator, "")
+
+
+def output_name(template: str, path: Column) -> Column:
+    """The template with %d, %f and %e replaced by folder (with its slash), stem and extension of the path; %% is a per cent."""
+    import re
+
+    name = names.file_name(path)
+    folder = F.regexp_extract(names.slashed(path), r"^(.*/)?[^/]*$", 1)
+    parts = {"%d": folder, "%f": names.stem(name), "%e": F.ltrim(names.suffix(name), F.lit("."))}
+    return F.concat(*(parts.get(m, F.lit("%" if m == "%%" else m)) for m in re.findall(r"%[dfe%]|[^%]+|%", template)), F.lit(""))
