@@ -269,3 +269,83 @@ def test_sample_is_bounded_in_bytes(spark):
     ids = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") > 0).cast("int").alias("label"), F.lit(1).alias("n"))
     got = sampling.texts(docs, ids, "doc_id", "text", 100, 10_500)
     assert sorted(len(r["text"]) for r in got) == [1000] * 10 + [10**6]
+
+
+# --- results of trained operators by plain recomputation --------------------------------------------------------------
+
+
+def test_quality_equals_a_plain_version(spark):
+    """Scores from the features of single texts and the same pairs, the threshold by sorting."""
+    rng = random.Random(21)
+    rows = [(k, (prose(rng, rng.randint(30, 90)) if k % 3 else " ".join(["buy!!! now $$$"] * rng.randint(3, 9))), "en", "s") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(120)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.rank_quality(df, labels).collect()}
+    one = lambda t: quality.features(next(words.slices(pa.array([t]))))[0]
+    place = {r.id: r.h for r in spark.range(120).select("id", F.xxhash64("id", F.lit(11)).alias("h")).collect()}
+    learned = sorted((k for k in range(120) if crc(k) % 3 != 1), key=place.get)
+    x, y = np.array([one(rows[k][1]) for k in learned]), np.array([int(k % 3 > 0) for k in learned])
+    model = quality.learn(x, y, (y == 0).mean())
+    z = np.clip((x - model["mean"]) / model["sd"], -6, 6)
+    s = np.concatenate([z, z * z / 3], 1) @ model["w"]
+    # all weights are equal, so as many scores lie below the threshold as there are bad texts
+    assert model["t"] == pytest.approx(np.sort(s)[(y == 0).sum()])
+    for k in range(120):
+        v = np.clip((one(rows[k][1]) - model["mean"]) / model["sd"], -6, 6)
+        want = 1 / (1 + np.exp(-np.clip(np.concatenate([v, v * v / 3]) @ model["w"] - model["t"], -30, 30)))
+        assert got[k].score == pytest.approx(want, abs=1e-9) and got[k].held_out == (crc(k) % 3 == 1) and got[k].predicted == int(want >= 0.5)
+
+
+def test_toxic_document_scores_equal_a_plain_version():
+    """A document's score and spans from marginals by enumeration of all state sequences."""
+    rng = random.Random(22)
+    texts = [prose(rng, 9) + (" vile slur here" if k % 2 else " kind word here") for k in range(60)]
+    y = np.array([k % 2 for k in range(60)])
+    model = toxicity.train(pa.array(texts), y, 0.5)
+
+    class Shared:
+        value = model
+
+    got = toxicity._tagger(Shared)(pa.array(texts[:6])).to_pylist()
+    for text, row in zip(texts, got, strict=False):
+        t = toxicity.Tokens(next(words.slices(pa.array([text]), lower=True)))
+        who, what = toxicity._feature_ids(t, model["vocab"], model["gate"])
+        e = np.full(len(t.starts), model["b"])
+        np.add.at(e, who, model["w"][what])
+        total, mean = 0.0, np.zeros(len(e))
+        for states in itertools.product((0, 1), repeat=len(e)):
+            s = model["start"][states[0]] * np.exp(np.dot(e, states)) * np.prod([model["move"][a, b] for a, b in itertools.pairwise(states)])
+            total, mean = total + s, mean + s * np.array(states)
+        p = mean / total
+        m, sd, u, c = model["doc"]
+        x = np.array([np.log1p(p.sum()), min(p.sum(), 3), p.max(), np.sqrt(p.sum() / len(p))])
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-((x - m) / sd @ u + c))), abs=1e-6)
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        assert [(s["start"], s["end"]) for s in row["spans"]] == [(int(ends[k] - 1 - len(w)), int(ends[k] - 1)) for k, w in enumerate(text.split(" ")) if p[k] >= 0.5]
+
+
+def test_language_equals_plain_compression(spark):
+    """Each text goes to the dictionary with which plain zstandard makes the smallest pieces."""
+    import zstandard
+
+    rng = random.Random(23)
+    known = {lang: [prose(rng, 1) for _ in range(120)] for lang in ("aa", "bb", "cc")}
+    rows = [(k, " ".join(rng.choice(known[lang]) for _ in range(rng.randint(5, 600))), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    contents = langid.dictionaries([{"text": t, "label": lang} for k, t, lang in rows if crc(k) % 4 != 2])
+
+    class Shared:
+        value = contents
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["id", "text"])
+    got = [r["lang_pred"] for b in langid._classifier(Shared)([batch]) for r in b.to_pylist()]
+    for (_, text, _), pred in zip(rows, got, strict=True):
+        sizes = {}
+        for lang, raw in contents.items():
+            made = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            data, size = text.lower().encode(), 0
+            while data:
+                end = len(data) if len(data) <= langid.PIECE else data.rfind(b" ", 1, langid.PIECE) + 1
+                size += len(made.compress(data[:end]))
+                data = data[end:]
+            sizes[lang] = size
+        assert sizes[pred] == min(sizes.values())
