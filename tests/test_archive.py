@@ -122,6 +122,19 @@ def test_scan(spark, tmp_path):
         files.scan(spark, str(tmp_path / "none")).collect()
 
 
+def test_scan_of_a_deep_tree_is_many_tasks(spark, tmp_path):
+    for k in range(80):
+        folder = tmp_path / "one" / "two" / f"{k % 8}" / f"{k}"
+        folder.mkdir(parents=True)
+        (folder / "x.jpg").write_text("x")
+    for at in (tmp_path, tmp_path / "one", tmp_path / "one" / "two" / "3"):
+        (at / "y.jpg").write_text("yy")
+    tree = files.scan(spark, str(tmp_path))
+    got = [r.path for r in tree.collect()]
+    assert len(got) == len(set(got)) == 83
+    assert tree.rdd.getNumPartitions() == 1 + 1 + 1 + 8 + 80
+
+
 def test_two_runs_end_to_end(spark, tmp_path):
     tree(tmp_path, s__a_dot_jpg="x" * 100, s__sub__IMG_1_dot_HEIC="h", s__sub__IMG_1_dot_MOV="m")
     assert cli.run(arguments(tmp_path, "--dry-run", "--report", str(tmp_path / "r.json")), spark) == 0
@@ -212,6 +225,16 @@ def test_tag_reader(spark, tmp_path):
     reader.close()
 
 
+def test_files_of_a_failed_batch_are_asked_one_by_one(spark, tmp_path):
+    script = tmp_path / "reader"
+    script.write_text(f"#!{sys.executable}\n" + READER.replace("        print(json", "        if any('bad' in p for p in paths):\n            sys.exit(1)\n        print(json", 1))
+    script.chmod(0o755)
+    ask = lambda *paths: {r.path: r.meta is not None for r in metadata.read_tags(spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1), str(script)).collect()}
+    assert ask("/a.jpg", "/bad.jpg", "/c.jpg") == {"/a.jpg": True, "/bad.jpg": False, "/c.jpg": True}
+    # a reader that ended too often is asked no more: the fourth file that ends it is the last that is asked
+    assert ask("/bad1", "/bad2", "/bad3", "/bad4", "/c.jpg") == {"/bad1": False, "/bad2": False, "/bad3": False, "/bad4": False, "/c.jpg": False}
+
+
 def test_header_time():
     import struct
 

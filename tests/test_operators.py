@@ -70,7 +70,7 @@ def near(a, b):
     return bin((a ^ b) & (2**64 - 1)).count("1")
 
 
-@pytest.mark.parametrize("threshold", [0, 4, 8, 64])
+@pytest.mark.parametrize("threshold", [0, 4, 8, 11, 12, 64])
 def test_hamming_pairs_equal_brute_force(spark, threshold):
     rng = random.Random(42)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -138,6 +138,20 @@ def test_collisions_random(spark):
     assert [r.final_name for r in collisions.unique_names(df).orderBy("ord").collect()] == sequential(rows)
 
 
+def test_a_name_that_all_share_is_many_tasks(spark):
+    rows = [("d", "a.jpg")] * 300 + [("d", "b_1.x"), ("d", "b.x"), ("d", "b.x"), ("e", "c")] + [("e", "a.jpg")] * 40
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord bigint, folder string, name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert [r.final_name for r in collisions.unique_names(df).orderBy("ord").collect()] == sequential(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    there = spark.createDataFrame([("d", "a_7.jpg")], "folder string, name string")
+    assert [r.final_name for r in collisions.unique_names(df, existing=there).orderBy("ord").collect()] == sequential(rows, [("d", "a_7.jpg")])
+    assert collisions.unique_names(df.limit(0)).count() == 0
+
+
 def test_extension_filter(spark):
     df = items(spark, "/a.JPG", "/b.mov", "/c", "/d.heic")
     pick = lambda **k: [r.path for r in filters.by_extension(df, **k).orderBy("ord").collect()]

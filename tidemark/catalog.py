@@ -158,20 +158,37 @@ def nearest_leader(spark, sf_dir):
     return neardup.nearest_leader(_codes(spark, sf_dir), NEAR).select(F.col("ord").alias("vec_id"), "leader", "distance")
 
 
-#: A distance that the band join covers, and what sets the members of a family of four codes apart: 0, 2, 3 and 8 bits.
-NEAR_BANDS, FLIPS = 7, (0, 3, 28, 255 << 40)
+#: Distances that the band join covers, without and with probes.
+NEAR_BANDS, NEAR_PROBED = 7, 10
+#: What sets the members of a family of four codes apart: 0, 2, 3 and 8 bits.
+FLIPS = (0, 3, 28, 255 << 40)
 
 
-@query(f"""WITH {_CODES}, fam AS (SELECT b.ord, xor(o.h::UBIGINT, (CASE b.ord % 4 WHEN 0 THEN {FLIPS[0]} WHEN 1 THEN {FLIPS[1]} WHEN 2 THEN {FLIPS[2]} ELSE {FLIPS[3]} END)::UBIGINT) AS h
+def _family_sql(near: int) -> str:
+    return f"""WITH {_CODES}, fam AS (SELECT b.ord, xor(o.h::UBIGINT, (CASE b.ord % 4 WHEN 0 THEN {FLIPS[0]} WHEN 1 THEN {FLIPS[1]} WHEN 2 THEN {FLIPS[2]} ELSE {FLIPS[3]} END)::UBIGINT) AS h
    FROM codes b JOIN codes o ON o.ord = b.ord - b.ord % 4)
- SELECT a.ord AS ord_a, b.ord AS ord_b, bit_count(xor(a.h, b.h))::INT AS distance FROM fam a JOIN fam b ON a.ord < b.ord AND bit_count(xor(a.h, b.h)) <= {NEAR_BANDS}""")
-def hamming_pairs_banded(spark, sf_dir):
-    """Families of codes a few bits apart, found by the band join."""
+ SELECT a.ord AS ord_a, b.ord AS ord_b, bit_count(xor(a.h, b.h))::INT AS distance FROM fam a JOIN fam b ON a.ord < b.ord AND bit_count(xor(a.h, b.h)) <= {near}"""
+
+
+def _family_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of codes a few bits apart."""
     codes = _codes(spark, sf_dir)
     turn = F.col("ord") % 4
     flip = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in FLIPS)), (turn + 1).cast("int"))
     family = codes.select("ord", (F.col("ord") - turn).alias("first"), flip.alias("flip")).join(codes.select(F.col("ord").alias("first"), "code"), "first")
-    return neardup.hamming_pairs(family.select("ord", F.col("code").bitwiseXOR(F.col("flip")).alias("code")), NEAR_BANDS)
+    return family.select("ord", F.col("code").bitwiseXOR(F.col("flip")).alias("code"))
+
+
+@query(_family_sql(NEAR_BANDS))
+def hamming_pairs_banded(spark, sf_dir):
+    """Found by the band join."""
+    return neardup.hamming_pairs(_family_codes(spark, sf_dir), NEAR_BANDS)
+
+
+@query(_family_sql(NEAR_PROBED))
+def hamming_pairs_probed(spark, sf_dir):
+    """Found by bands that are at most one bit off on either side."""
+    return neardup.hamming_pairs(_family_codes(spark, sf_dir), NEAR_PROBED)
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(a, '[0-9A-Fa-f]{1,16}') AND regexp_full_match(b, '[0-9A-Fa-f]{1,16}')

@@ -3,7 +3,8 @@
 Names are given in order: the name itself if free, else stem_1, stem_2 ... with the same suffix. Whether a name is free
 depends on all given before it, so a folder is a sequence. A folder of any size is nevertheless many tasks: rows that can
 want the same names form families, by folder and by the stem without trailing numbers, that are sequences of their own.
-A name that all rows share is one family and so one task, which reads it as a stream and holds the names it has given.
+A family whose rows all have one name, none of it taken before, needs their places alone, and is counted in many tasks
+however large it is. Other families are one task each, which reads its rows as a stream and holds the names it has given.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
+from tidemark.tables import materialise
 
 
 def _family(name: str):
@@ -46,16 +48,40 @@ def _allocate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["_ord", "_dir", "_name", "_taken"]].assign(final_name=out)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """_ord and final_name of families of one name: the row at place k, from 0, gets number k.
+
+    Rows are cut in ranges of family and order. A place is that in the range, after all that ranges before it hold of
+    the family. The ranges are written, so that a task that is repeated finds the same ones.
+    """
+    cut = rows.repartitionByRange("_family", "_ord").withColumn("_range", F.spark_partition_id())
+    cut = materialise(cut.select("_ord", "_name", "_stem", "_suffix", "_family", "_range"), "names")
+    earlier = Window.partitionBy("_family").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("_family", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_family", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_family", "_range").orderBy("_ord"))
+    placed = cut.withColumn("_place", place).join(before, ["_family", "_range"])
+    k = F.col("_before") + F.col("_place") - 1
+    number = F.concat("_stem", F.lit("_"), k.cast("string"), "_suffix")
+    return placed.select("_ord", F.when(k == 0, F.col("_name")).otherwise(number).alias("final_name"))
+
+
 def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", ord_col: str = "ord", existing: DataFrame | None = None) -> DataFrame:
     """moves with final_name; ``existing`` has the (folder, name) pairs that are already there.
 
-    Rows are dealt by family, so a folder is as many tasks as it has families, and each is read in order as a stream.
+    A row that is its whole family keeps its name. Families of one name are numbered by place. The others are dealt by
+    family and read in order as a stream.
     """
     rows = moves.select(F.col(ord_col).alias("_ord"), F.col(folder).alias("_dir"), F.col(name).alias("_name"), F.lit(False).alias("_taken"))
     if existing is not None:
         rows = rows.union(existing.select(F.lit(None).cast(rows.schema["_ord"].dataType), folder, name, F.lit(True)).distinct())
     rows = rows.withColumns({"_family": F.md5(F.concat(F.col("_dir"), F.lit("\u0000"), _family("_name"))), "_stem": names.stem(F.col("_name")), "_suffix": names.suffix(F.col("_name"))})
-    dealt = rows.repartition("_family").sortWithinPartitions("_family", F.desc("_taken"), "_ord")
+    kinds = rows.groupBy("_family").agg(F.count("*").alias("_rows"), (F.min("_name") == F.max("_name")).alias("_same"), F.max("_taken").alias("_any"))
+    free = F.col("_same") & ~F.col("_any")
+    rows = rows.join(kinds.select("_family", F.when(free & (F.col("_rows") == 1), "alone").when(free, "same").alias("_kind")), "_family", "left")
+    alone = rows.where("_kind = 'alone'").select("_ord", F.col("_name").alias("final_name"))
+    dealt = rows.where("_kind is null").repartition("_family").sortWithinPartitions("_family", F.desc("_taken"), "_ord")
     kind = rows.schema["_ord"].dataType.simpleString()
     given = dealt.mapInPandas(_allocate, f"_ord {kind}, _dir string, _name string, _taken boolean, final_name string").where("not _taken")
-    return moves.join(given.select(F.col("_ord").alias(ord_col), "final_name"), ord_col)
+    every = alone.union(_numbered(rows.where("_kind = 'same'"))).union(given.select("_ord", "final_name"))
+    return moves.join(every.withColumnRenamed("_ord", ord_col), ord_col)

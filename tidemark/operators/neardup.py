@@ -1,7 +1,9 @@
 """Near-duplicates of 64-bit fingerprints in Hamming space.
 
 Pairs within a distance share one of distance + 1 bands, so an equi-join on bands finds them all. Fingerprints that are
-equal are joined once, as one code. Above ``BAND_LIMIT`` bands are too short to prune, and pairs are found by a theta join.
+equal are joined once, as one code. Above ``BAND_LIMIT`` such bands are too short to prune. Up to ``PROBE_LIMIT`` one of
+four bands differs in two bits at most, so codes meet in the values that are at most one bit off on either side. Beyond
+that any band is near too many others, and pairs are found by a theta join.
 """
 
 from __future__ import annotations
@@ -14,15 +16,21 @@ from tidemark.tables import materialise
 
 #: Above this distance bands have under 8 bits, and an equi-join on them prunes nothing.
 BAND_LIMIT = 7
+#: Greatest distance at which one of four bands of 16 bits differs in two bits at most.
+PROBE_LIMIT = 11
 
 
 def code_pairs(codes: DataFrame, threshold: int) -> DataFrame:
     """Distinct codes a < b within the threshold, with their distance; codes has one bigint column ``code``."""
-    if threshold > BAND_LIMIT:
+    if threshold > PROBE_LIMIT:
         left, right = codes.toDF("a"), codes.toDF("b")
         pairs = left.join(right, (F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= threshold))
     else:
-        parts = codes.select("code", F.explode(bands(F.col("code"), threshold + 1)).alias("p")).select("code", "p.band", "p.value")
+        probed = threshold > BAND_LIMIT
+        parts = codes.select("code", F.explode(bands(F.col("code"), 4 if probed else threshold + 1)).alias("p")).select("code", "p.band", "p.value")
+        if probed:
+            one_off = [F.col("value").bitwiseXOR(F.lit(1 << k).cast("bigint")) for k in range(16)]
+            parts = parts.select("code", "band", F.explode(F.array("value", *one_off)).alias("value"))
         near = distance(F.col("a"), F.col("b")) <= threshold
         pairs = parts.withColumnRenamed("code", "a").join(parts.withColumnRenamed("code", "b"), ["band", "value"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     return pairs.select("a", "b", distance(F.col("a"), F.col("b")).alias("distance"))

@@ -1,9 +1,9 @@
 """A Python data source that lists a folder tree: ``spark.read.format("tree").option("path", root).load()``.
 
 Unlike the built-in binary reader it returns empty files and looks into hidden folders; hidden and system files are left
-out, links to folders are not followed, and subtrees under ``prune`` (paths joined by ``:``) are never entered. Each
-folder directly below the root is a partition of its own, beside one for the root's files. Paths must be reachable from
-every executor.
+out, links to folders are not followed, and subtrees under ``prune`` (paths joined by ``:``) are never entered. The
+partitions are the folders of the first level that has ``PARTS`` of them, each with all below it, and the folders above,
+each with its own files. Paths must be reachable from every executor.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql.types import StructType
 from tidemark import config
 
 
+#: Folders of a level that are enough tasks.
+PARTS = 64
+
+
 class _Part(InputPartition):
     def __init__(self, top: str, deep: bool):
         self.top, self.deep = top, deep
@@ -38,10 +42,19 @@ class _Reader(DataSourceReader):
         real = os.path.realpath(path)
         return any(real == p or real.startswith(p + os.sep) for p in self.prune)
 
+    def _below(self, folder: str) -> list[str]:
+        try:
+            with os.scandir(folder) as found:
+                return sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and not self._pruned(e.path))
+        except OSError:  # its own partition finds nothing there either
+            return []
+
     def partitions(self) -> list[_Part]:
-        with os.scandir(self.root) as found:
-            below = sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
-        return [_Part(self.root, False), *(_Part(p, True) for p in below if not self._pruned(p))]
+        above, level = [self.root], self._below(self.root)
+        while level and len(level) < PARTS:
+            above += level
+            level = [p for folder in level for p in self._below(folder)]
+        return [*(_Part(p, False) for p in above), *(_Part(p, True) for p in level)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         for folder, below, files in os.walk(partition.top):

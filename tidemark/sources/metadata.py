@@ -25,6 +25,10 @@ class ReaderError(RuntimeError):
     """The external reader cannot answer."""
 
 
+class ReaderGone(ReaderError):
+    """The external reader ended too often and is asked no more."""
+
+
 class TagReader:
     """One external process that answers batches of paths; it is restarted a few times, then given up."""
 
@@ -36,7 +40,7 @@ class TagReader:
             if self.process.poll() is None:
                 return
             if not self.left:
-                raise ReaderError("the reader ended too often")
+                raise ReaderGone("the reader ended too often")
             self.left -= 1
         self.process = self.spawn([self.program, *START], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, encoding="utf-8", bufsize=1)
 
@@ -53,6 +57,8 @@ class TagReader:
         answer = []
         while (line := self.process.stdout.readline()).rstrip("\r\n") != READY:
             if not line:
+                self.process.kill()
+                self.process.wait()
                 raise ReaderError("the reader ended within an answer")
             answer.append(line)
         try:
@@ -81,22 +87,32 @@ class TagReader:
                 continue
 
 
+def _lookup(source: TagReader, paths: list[str]) -> tuple[dict[str, dict], bool]:
+    """Records of a batch, and whether the reader can still be asked; a batch that fails is asked again file by file."""
+    parts, records = [paths], {}
+    while parts:
+        part = parts.pop()
+        try:
+            records |= source.ask(part)
+        except (ReaderGone, OSError):
+            return records, False
+        except ReaderError:
+            if len(part) > 1:
+                parts += [[p] for p in reversed(part)]
+    return records, True
+
+
 def read_tags(items: DataFrame, program: str, path: str = "path", batch: int = BATCH, reader: Callable[[str], TagReader] = TagReader) -> DataFrame:
-    """path and meta (map of texts) from one reader per task. A batch that fails has null maps; a reader that cannot start ends the asking for its task."""
+    """path and meta (map of texts) from one reader per task. Files that make the reader fail have null maps; a reader that cannot start, or ended too often, ends the asking for its task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, off = reader(program), False
+        source, on = reader(program), True
         try:
             for frame in frames:
                 found = []
                 for k in range(0, len(frame), batch):
                     paths = list(frame[path].iloc[k : k + batch])
-                    try:
-                        records = {} if off else source.ask(paths)
-                    except ReaderError:
-                        records = {}
-                    except OSError:
-                        records, off = {}, True
+                    records, on = _lookup(source, paths) if on else ({}, False)
                     for p in paths:
                         r = records.get(p.replace("\\", "/").lower())
                         found.append(None if r is None else {a: (str(b).lower() if isinstance(b, bool) else str(b)) for a, b in r.items()})
