@@ -264,6 +264,16 @@ def test_long_labelled_texts_teach(spark):
     assert all(r.predicted == (r.doc_id + 1) % 2 for r in out)
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    texts = ["½", "²", "①", "Ⅷ", "12 ½ !", "_ ² _", "😀", "\u0301"]
+    letters = ["一", "½ é", "ª", "x²", "日本"]
+    train = [(k, prose(random.Random(k), 60), "en" if k % 2 else "de") for k in range(40)]
+    rows = train + [(100 + k, t, None) for k, t in enumerate(texts + letters)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[100 + k] == ("und", 0.0) for k in range(len(texts)))
+    assert all(got[100 + len(texts) + k][0] in ("en", "de") for k in range(len(letters)))
+
+
 def test_sample_is_bounded_in_bytes(spark):
     docs = spark.createDataFrame([(k, "x" * (1000 if k else 10**6)) for k in range(50)], "doc_id bigint, text string")
     ids = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") > 0).cast("int").alias("label"), F.lit(1).alias("n"))
@@ -288,14 +298,29 @@ def test_quality_equals_a_plain_version(spark):
     model = quality.learn(x, y, (y == 0).mean())
     z = np.clip((x - model["mean"]) / model["sd"], -6, 6)
     s = np.concatenate([z, z * z / 3], 1) @ model["w"]
-    # all weights are equal, so as many scores lie below the threshold as there are bad texts
-    assert model["t"] == pytest.approx(np.sort(s)[(y == 0).sum()])
+    # all weights are equal, so as many scores lie below the threshold as there are bad texts; it lies between two of them
+    ranked, bad = np.sort(s), (y == 0).sum()
+    gap = max(k for k in range(1, bad + 1) if ranked[k] - ranked[k - 1] >= quality.GAP)
+    assert model["t"] == pytest.approx((ranked[gap] + ranked[gap - 1]) / 2)
     for k in range(120):
         v = np.clip((one(rows[k][1]) - model["mean"]) / model["sd"], -6, 6)
         want = 1 / (1 + np.exp(-np.clip(np.concatenate([v, v * v / 3]) @ model["w"] - model["t"], -30, 30)))
         assert got[k].score == pytest.approx(want, abs=1e-9) and got[k].held_out == (crc(k) % 3 == 1) and got[k].predicted == int(want >= 0.5)
 
 
+@pytest.mark.parametrize("size", [1, 7, 120])
+def test_quality_does_not_depend_on_batches(size):
+    """Same bits whatever rows share a batch, for the texts that the threshold was laid between too."""
+    rng = random.Random(23)
+    texts = [prose(rng, rng.randint(3, 90)) + "!" * (k % 9) for k in range(120)]
+    x = np.concatenate([quality.features(w) for w in words.slices(pa.array(texts))])
+    model = quality.learn(x, np.array([k % 2 for k in range(120)]), 0.5)
+    every = quality.probability(model, x)
+    parts = [quality.probability(model, quality.features(w)) for k in range(0, 120, size) for w in words.slices(pa.array(texts[k : k + size]))]
+    assert np.concatenate(parts).tolist() == every.tolist()
+    assert np.abs(every - 0.5).min() > 1e-8
+
+
 def test_toxic_document_scores_equal_a_plain_version():
     """A document's score and spans from marginals by enumeration of all state sequences."""
     rng = random.Random(22)
