@@ -57,3 +57,14 @@ def corpus(seed: int, n: int = 150) -> list[tuple[int, str]]:
 
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def addresses(seed: int, n: int) -> list[str | None]:
+    """Addresses of several domains and languages, copies, and odd ones."""
+    rng = random.Random(seed)
+    out: list[str | None] = []
+    for _ in range(n):
+        host = rng.choice(["", "www.", "m.", "blog."]) + rng.choice(["thing", "pills", "spam", "garden", "news"]) + rng.choice(["er", "ly", "on"]) + ".example." + rng.choice(["com", "net", "org", "com", "net"])
+        out.append(rng.choice(["http", "https"]) + "://" + host + "/" + rng.choice(["en", "de", "es", "fr"]) + f"/{rng.randint(1, 999)}" + rng.choice(["", "/", ".html", "?page=2", "#top"]))
+    odd = [None, "", "no scheme/en/", "http://", "http://EXAMPLE.com", "HTTP://Www.Example.COM/EN/", "ftp://x.net/es", "ftp://x.net/es/é日本😀", "a://b://c/d?e#f", "http://com/", "http://notcom/", "x" * 3000, "http://example.com/en/" + "y" * 3000, "http://host?q=/en/", "http://a\nb.net/fr/\n"]
+    return out + odd + out[:5] * 3

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, entries, knn, neardup, oracle, outliers, packing, secret_scan, substrings, words
 from tidemark.llm.shared import Scratch
 
-from .common import WORD, corpus, empty_documents, frame, odd_documents, odd_rows, prose
+from .common import WORD, addresses, corpus, empty_documents, frame, odd_documents, odd_rows, prose
 
 BYTE, WORDS, RANKS = (entries.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
@@ -446,7 +447,7 @@ def test_pivots_prune_clustered_vectors():
     x = np.floor(1024 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
     pivots = x[rng.choice(3000, 55, replace=False)]
     g, d, n, a = knn.assign(x, pivots)
-    cells = knn.Cells(pivots, *(np.array([f(v[g == j]) if (g == j).any() else 0 for j in range(55)], float) for f, v in ((len, g), (np.max, d), (np.max, n), (np.max, a))))
+    cells = knn.Cells(pivots, *(np.array([f(v[g == j]) if (g == j).any() else 0 for j in range(55)], float) for f, v in ((len, g), (np.max, d), (np.max, n), (np.min, n), (np.max, a))))
     q = x[::100]
     score = q @ x.T
     first = knn.first_groups(cells, q, 10)
@@ -458,19 +459,60 @@ def test_pivots_prune_clustered_vectors():
     assert (first | more)[np.arange(len(q))[:, None], g[None, :]][score > reach[:, None]].all()
 
 
-@pytest.mark.parametrize("odd", [[0.0] * 8, [1e300] * 8, [-1.0] * 3])
+def away_from_the_query(seed):
+    """300 vectors of very different lengths in the half space away from one query, which is the last row."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(300, 3))
+    x[:, 0] = np.abs(x[:, 0]) + 0.2
+    x *= np.exp(rng.normal(size=(300, 1)))
+    return np.floor(1024 * np.vstack([x, [-1.0, 0, 0]]))
+
+
+@pytest.mark.parametrize("first", range(0, 200, 50))
+def test_no_group_with_a_negative_neighbour_is_passed_over(first):
+    for seed in range(first, first + 50):
+        x = away_from_the_query(seed)
+        q = x[-1:]
+        pivots = x[np.random.default_rng(seed).choice(300, 18, replace=False)]
+        g, d, n, a = knn.assign(x, pivots)
+        cells = knn.Cells(pivots, *(np.array([f(v[g == j]) if (g == j).any() else 0 for j in range(18)], float) for f, v in ((len, g), (np.max, d), (np.max, n), (np.min, n), (np.max, a))))
+        score = (x[:300] @ q[0]).astype(float)
+        routes = knn.first_groups(cells, q, 10)
+        reach = np.sort(score[routes[0][g[:300]]])[-10:][:1]
+        routes |= knn.further_groups(cells, q, 10, reach)
+        assert routes[0][g[np.argsort(-score, kind="stable")[:10]]].all(), seed
+
+
+@pytest.mark.parametrize("seed", [11, 18, 19])
+def test_top_k_of_negative_scores(spark, seed):
+    x = away_from_the_query(seed) / 1024
+    rows = [(1 + k, v.tolist()) for k, v in enumerate(x[:300])] + [(0, x[300].tolist())]
+    got = {tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert got == knn_truth(rows, 10, 1000)
+
+
+def exact_truth(rows, k, mod):
+    """In Python's integers, scores held at the limits of 64 bits."""
+    most = 2**63 - 1
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    out = set()
+    for i, q in whole:
+        if i % mod == 0:
+            dots = ((max(-most, min(most, sum(a * b for a, b in zip(q, v, strict=False)))), j) for j, v in whole if j != i)
+            out |= {(i, n, j, s) for n, (s, j) in enumerate(sorted(dots, key=lambda x: (-x[0], x[1]))[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("odd", [[0.0] * 8, [1e300] * 8, [-1.0] * 3, [3e6, -2e6] * 4, [-5e9] * 8, [1e30, -1e30] * 4])
 def test_top_k_of_odd_vectors(spark, odd):
-    """Vectors without a direction, beyond the bound of components, and shorter ones."""
+    """Vectors without a direction, shorter ones, and components whose products leave 53 and 64 bits."""
     rng = np.random.default_rng(11)
-    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(60)] + [(100 + k, odd) for k in range(30)]
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(60)] + [(100 + k, [x * (1 + k % 3) for x in odd]) for k in range(30)]
     alone = spark.createDataFrame([(0, rows[0][1])] * 20 + rows[1:15], "vec_id bigint, embedding array<double>")  # a query's own id fills its group
     assert {r.vec_id for r in knn.top_k(alone, F.col("vec_id") == 0, k=14, pivots=4).collect()} == set(range(1, 15))
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0, k=5, pivots=6).collect()}
-    held = [(i, [max(-(2.0**52), min(2.0**52, 1024 * x)) / 1024 for x in v] + [0.0] * (8 - len(v))) for i, v in rows]
-    if odd[0] < 1e9:
-        assert got == knn_truth(held, 5, 10)
-    assert len(got) == 9 * 5
+    assert got == exact_truth(rows, 5, 10)
 
 
 def test_top_k_small(spark):
@@ -623,7 +665,9 @@ def tables(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     frame(spark, corpus(11, 120)).write.parquet(f"{at}/documents.parquet")
     rng = np.random.default_rng(1)
-    spark.createDataFrame([(k, [float(x) for x in rng.normal(size=16)]) for k in range(250)], "vec_id bigint, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    vectors = [(k, [float(x) for x in rng.normal(size=16)], int(rng.integers(3)) if k % 7 else None) for k in range(300)] + [(900, None, 1), (901, [float("nan")] * 16, 1)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(k, u) for k, u in enumerate(addresses(3, 250))], "page_id bigint, url string").write.parquet(f"{at}/pages.parquet")
     return at
 
 
@@ -632,7 +676,7 @@ def test_oracle(spark, tables, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{tables}/{t}.parquet/*.parquet'")
     cur = con.execute(oracle.SQL[name])
     cols = [c[0] for c in cur.description]
