@@ -19,7 +19,12 @@ from .shared import crc_mod
 
 PIECE, LEVEL = 1024, 6
 DICTIONARY = 110_000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; number forms such as a half or a superscript are none."""
+    return any(c.isalpha() for run in _WORD.finditer(text) for c in run.group())
 
 
 def dictionaries(rows: list, size: int = DICTIONARY) -> dict[str, bytes]:
@@ -71,7 +76,7 @@ def _classifier(model):
             pred, score, narrow = [], [], []
             for text in batch.column(1):
                 text = text.as_py()
-                if not text or not langs or not _LETTER.search(text):
+                if not text or not langs or not has_letter(text):
                     pred.append("und")
                     score.append(0.0)
                     narrow.append(True)
