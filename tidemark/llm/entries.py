@@ -90,6 +90,36 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(_table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, path) of the rules of the query; fixed values.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op11_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import Rule, judge
+
+    out = judge(_table(spark, sf_dir, "pages").select("page_id", "url"), [Rule(*r) for r in URL_RULES])
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_codebook_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import cut
+    from .vector_codes import encode, learn
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    books = learn(vectors)
+    coded = cut(encode(vectors, books).select("row.vec_id", "row.label", "code", "error"), "vector-codes")
+    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "own")
+    out = coded.join(totals, F.col("label").eqNullSafe(F.col("own")))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restore
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,5 +133,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_voronoi_top_k,
         op10_quality_outliers,
+        op11_url_models,
+        op12_codebook_compression,
+        op13_fill_in_middle,
     )
 }
