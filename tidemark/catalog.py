@@ -13,6 +13,8 @@ from tidemark.functions import dates, hashing, names
 from tidemark.operators import collisions, exact, filters, grouping, neardup, stats, tags
 from tidemark.plans.archive import plan_archive
 from tidemark.sources import metadata, state
+from tidemark.sources.band_index import BandIndex
+from tidemark.tables import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,6 +193,39 @@ def hamming_pairs_probed(spark, sf_dir):
     return neardup.hamming_pairs(_family_codes(spark, sf_dir), NEAR_PROBED)
 
 
+_RUNS = f"""WITH RECURSIVE {_CODES}, fam AS (SELECT b.ord, xor(o.h::UBIGINT, (CASE b.ord % 4 WHEN 0 THEN {FLIPS[0]} WHEN 1 THEN {FLIPS[1]} WHEN 2 THEN {FLIPS[2]} ELSE {FLIPS[3]} END)::UBIGINT) AS h
+   FROM codes b JOIN codes o ON o.ord = b.ord - b.ord % 4),
+ seq AS (SELECT ord, h, (ord // 2 % 2)::INT AS run, row_number() OVER (ORDER BY ord // 2 % 2, ord) AS n FROM fam),
+ fold(n, kept) AS (SELECT 0::BIGINT, []::UBIGINT[] UNION ALL
+  SELECT s.n, CASE WHEN len(list_filter(f.kept, lambda k: bit_count(xor(k, s.h)) <= {{near}})) = 0 THEN list_append(f.kept, s.h) ELSE f.kept END FROM fold f JOIN seq s ON s.n = f.n + 1),
+ lead AS (SELECT s.*, len(f.kept) > len(p.kept) AS is_leader FROM seq s JOIN fold f ON f.n = s.n JOIN fold p ON p.n = s.n - 1),
+ best AS (SELECT b.ord, min(bit_count(xor(a.h, b.h))::INT * 1000000000000 + a.ord) AS m FROM lead a JOIN lead b ON a.is_leader AND a.run = 0 AND b.run = 1 AND bit_count(xor(a.h, b.h)) <= {{near}} GROUP BY 1)
+ SELECT l.ord AS vec_id, run, is_leader, m % 1000000000000 AS earlier, (m // 1000000000000)::INT AS distance FROM lead l LEFT JOIN best USING (ord)"""
+
+
+def _across_runs(spark: SparkSession, sf_dir: str, near: int) -> DataFrame:
+    """The second of two runs finds leaders of the first in the index that the first one left."""
+    rows = _family_codes(spark, sf_dir).withColumn("run", (F.floor(F.col("ord") / 2) % 2).cast("int"))
+    index = BandIndex(spark, fresh_folder(spark, "band-index"), near)
+    first = neardup.leaders(rows.where("run = 0"), near)
+    index.append(first.where("is_leader").select("code", F.lpad(F.col("ord").cast("string"), 12, "0").alias("lead")), 0)
+    found = index.near(rows.where("run = 1"), before=1)
+    second = neardup.leaders(rows.where("run = 1"), near, known=found)
+    every = first.union(second).join(found.withColumn("run", F.lit(1)), ["code", "run"], "left")
+    return every.select(F.col("ord").alias("vec_id"), "run", "is_leader", F.col("leader").cast("bigint").alias("earlier"), "distance")
+
+
+@query(_RUNS.format(near=NEAR_BANDS))
+def leaders_across_runs(spark, sf_dir):
+    return _across_runs(spark, sf_dir, NEAR_BANDS)
+
+
+@query(_RUNS.format(near=NEAR_PROBED))
+def leaders_across_runs_probed(spark, sf_dir):
+    """Beyond the bands of one value each: the index is asked for values up to two bits off."""
+    return _across_runs(spark, sf_dir, NEAR_PROBED)
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(a, '[0-9A-Fa-f]{1,16}') AND regexp_full_match(b, '[0-9A-Fa-f]{1,16}')
    THEN bit_count(xor(('0x' || a)::UBIGINT, ('0x' || b)::UBIGINT))::INT ELSE 999 END AS distance FROM (
   SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'none' ELSE upper(to_hex(l_orderkey * 1234567)) END AS a, to_hex(l_partkey * 7654321 + l_linenumber) AS b FROM lineitem)""")

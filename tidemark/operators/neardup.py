@@ -1,9 +1,6 @@
-"""Near-duplicates of 64-bit fingerprints in Hamming space.
+"""Near-duplicates of 64-bit fingerprints in Hamming space, within a batch and against earlier runs.
 
-Pairs within a distance share one of distance + 1 bands, so an equi-join on bands finds them all. Fingerprints that are
-equal are joined once, as one code. Above ``BAND_LIMIT`` such bands are too short to prune. Up to ``PROBE_LIMIT`` one of
-four bands differs in two bits at most, so codes meet in the values that are at most one bit off on either side. Beyond
-that any band is near too many others, and pairs are found by a theta join.
+Fingerprints that are equal are joined once, as one code; ``hamming`` finds the pairs of codes.
 """
 
 from __future__ import annotations
@@ -11,36 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import bands, distance
-from tidemark.tables import materialise
-
-#: Above this distance bands have under 8 bits, and an equi-join on them prunes nothing.
-BAND_LIMIT = 7
-#: Greatest distance at which one of four bands of 16 bits differs in two bits at most.
-PROBE_LIMIT = 11
-
-
-def code_pairs(codes: DataFrame, threshold: int) -> DataFrame:
-    """Distinct codes a < b within the threshold, with their distance; codes has one bigint column ``code``."""
-    if threshold > PROBE_LIMIT:
-        left, right = codes.toDF("a"), codes.toDF("b")
-        pairs = left.join(right, (F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= threshold))
-    else:
-        probed = threshold > BAND_LIMIT
-        parts = codes.select("code", F.explode(bands(F.col("code"), 4 if probed else threshold + 1)).alias("p")).select("code", "p.band", "p.value")
-        if probed:
-            one_off = [F.col("value").bitwiseXOR(F.lit(1 << k).cast("bigint")) for k in range(16)]
-            parts = parts.select("code", "band", F.explode(F.array("value", *one_off)).alias("value"))
-        near = distance(F.col("a"), F.col("b")) <= threshold
-        pairs = parts.withColumnRenamed("code", "a").join(parts.withColumnRenamed("code", "b"), ["band", "value"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.select("a", "b", distance(F.col("a"), F.col("b")).alias("distance"))
+from tidemark.functions.hashing import distance
+from tidemark.operators.hamming import code_pairs
+from tidemark.tables import Scratch, fresh
 
 
 def hamming_pairs(items: DataFrame, threshold: int, code: str = "code", ord_col: str = "ord") -> DataFrame:
     """Pairs of rows (ord_a < ord_b) within the threshold, with their distance."""
+    held = Scratch(items.sparkSession, "pairs")
     items = items.where(F.col(code).isNotNull()).select(F.col(ord_col).alias("o"), F.col(code).alias("c"))
-    distinct = items.select(F.col("c").alias("code")).distinct()
-    pairs = code_pairs(distinct, threshold)
+    distinct = held.keep(items.select(F.col("c").alias("code")).distinct(), "codes")
+    pairs = held.keep(code_pairs(distinct, threshold, held), "pairs")
+    held.drop("homes", "routes")
     every = pairs.union(pairs.select("b", "a", "distance")).union(distinct.select("code", "code", F.lit(0)))
     found = every.join(items.toDF("ord_a", "a"), "a").join(items.toDF("ord_b", "b"), "b")
     return found.where("ord_a < ord_b").select("ord_a", "ord_b", "distance")
@@ -52,43 +31,63 @@ def within(items: DataFrame, query: Column, threshold: int, code: str = "code",
     return items.where(d <= threshold).select(F.col(ord_col), d.alias("distance")).orderBy("distance", ord_col)
 
 
-def leaders(items: DataFrame, threshold: int, code: str = "code", ord_col: str = "ord") -> DataFrame:
+class _Decision:
+    """What a pass in order decides over the distinct codes of items."""
+
+    def __init__(self, items: DataFrame, threshold: int, code: str, ord_col: str, known: DataFrame | None):
+        self.held = held = Scratch(items.sparkSession, "leaders")
+        self.first = held.keep(items.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.min(ord_col).alias("o")), "codes")
+        self.pairs = held.keep(code_pairs(self.first.select("code"), threshold, held), "pairs")
+        held.drop("homes", "routes")
+        # every round adds the codes it drops to one table, of which each part is written once
+        gone = held.keep(known.select(F.col("code")).distinct() if known is not None else self.first.select("code").limit(0), "gone/round=0")
+        at = {e: self.first.toDF(e, f"o{e}") for e in "ab"}
+        ranked = self.pairs.join(at["a"], "a").join(at["b"], "b")
+        before = F.col("oa") < F.col("ob")  # u comes before v
+        links = ranked.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("v"))
+        links, left = held.counted(self._without(links, gone), "links-0")
+        turn = 0
+        while left:
+            kept = links.select("u").distinct().join(links.select(F.col("v").alias("u")).distinct(), "u", "left_anti")  # no earlier neighbour is left
+            turn += 1
+            gone = held.keep(links.join(kept, "u", "left_semi").select(F.col("v").alias("code")).distinct(), f"gone/round={turn}")
+            links, left = held.counted(self._without(links, gone).join(kept, "u", "left_anti"), f"links-{turn % 2}")
+        self.dropped = items.sparkSession.read.schema("code bigint, round int").parquet(f"{held.root}/gone").select("code")
+        self.lead = self.first.join(self.dropped, "code", "left_anti").select("code", F.col("o").alias("leader"))
+        held.drop("links-0", "links-1")
+
+    @staticmethod
+    def _without(links: DataFrame, gone: DataFrame) -> DataFrame:
+        for end in "uv":
+            links = links.join(gone.select(F.col("code").alias(end)), end, "left_anti")
+        return links
+
+
+def leaders(items: DataFrame, threshold: int, code: str = "code", ord_col: str = "ord", known: DataFrame | None = None) -> DataFrame:
     """items with is_leader: exactly what a pass in order decides that drops a row near an earlier kept one.
 
     Equal codes stand or fall with their first row, so rounds run over distinct codes. In each, a code is dropped once an
     earlier neighbour is kept, and kept once no earlier neighbour is undecided or kept. The links between codes that are
-    still undecided shrink with every round; only their number comes to the driver. Rows without a code are kept and
-    lead none.
+    still undecided shrink with every round; only their number comes to the driver. ``known`` are codes that are near a
+    row kept before all of items, as an index of earlier runs finds them: they are dropped. Rows without a code are kept
+    and lead none.
     """
-    first = materialise(items.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.min(ord_col).alias("o")), "codes")
-    pairs = code_pairs(first.select("code"), threshold).select("a", "b")
-    ranked = pairs.join(first.toDF("a", "oa"), "a").join(first.toDF("b", "ob"), "b")
-    # u comes before v
-    links = materialise(ranked.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("u"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("v")), "links")
-    dropped = first.select("code").limit(0)
-    while links.limit(1).count():
-        later = links.select(F.col("v").alias("u")).distinct()
-        kept = links.select("u").distinct().join(later, "u", "left_anti")  # no earlier neighbour is left
-        gone = materialise(links.join(kept, "u", "left_semi").select(F.col("v").alias("code")).distinct(), "gone")
-        dropped = dropped.union(gone)
-        rest = links.join(gone.select(F.col("code").alias("v")), "v", "left_anti").join(gone.select(F.col("code").alias("u")), "u", "left_anti")
-        links = materialise(rest.join(kept, "u", "left_anti"), "links")
-    lead = first.join(dropped, "code", "left_anti").select("code", F.col("o").alias("_lead"))
-    marked = items.join(lead.withColumnRenamed("code", code), code, "left")
-    return marked.withColumn("is_leader", F.col(code).isNull() | F.coalesce(F.col("_lead") == F.col(ord_col), F.lit(False))).select(*items.columns, "is_leader")
+    decided = _Decision(items, threshold, code, ord_col, known)
+    lead = fresh("lead", items)
+    marked = items.join(decided.lead.select(F.col("code").alias(code), F.col("leader").alias(lead)), code, "left")
+    decided.held.drop("pairs")
+    return marked.withColumn("is_leader", F.col(code).isNull() | F.coalesce(F.col(lead) == F.col(ord_col), F.lit(False))).select(*items.columns, "is_leader")
 
 
 def nearest_leader(items: DataFrame, threshold: int, code: str = "code", ord_col: str = "ord") -> DataFrame:
     """For each row that is not a leader: the nearest earlier leader within the threshold, of equal ones the first.
 
-    Distances are taken between distinct codes; rows meet only the leaders near their code.
+    Distances are taken between distinct codes, once for both steps; rows meet only the leaders near their code.
     """
-    marked = materialise(leaders(items, threshold, code, ord_col).select(F.col(ord_col).alias("o"), F.col(code).alias("code"), "is_leader"), "leaders").where("code is not null")
-    lead = marked.where("is_leader").select(F.col("code").alias("a"), F.col("o").alias("leader"))  # one row a code
-    distinct = marked.select("code").distinct()
-    pairs = code_pairs(distinct, threshold)
-    every = pairs.union(pairs.select("b", "a", "distance")).union(distinct.select("code", "code", F.lit(0)))
-    near = every.join(lead, "a").select(F.col("b").alias("code"), "distance", "leader")
-    found = marked.where("not is_leader").join(near, "code").where("leader < o")
-    best = found.groupBy("o").agg(F.min(F.struct("distance", "leader")).alias("x"))
+    decided = _Decision(items, threshold, code, ord_col, None)
+    pairs, lead = decided.pairs, decided.lead
+    every = pairs.union(pairs.select("b", "a", "distance")).union(lead.select("code", "code", F.lit(0)))
+    near = every.join(lead.withColumnRenamed("code", "a"), "a").select(F.col("b").alias("code"), "distance", "leader")
+    rows = items.where(F.col(code).isNotNull()).select(F.col(ord_col).alias("o"), F.col(code).alias("code"))
+    best = rows.join(near, "code").where("leader < o").groupBy("o").agg(F.min(F.struct("distance", "leader")).alias("x"))
     return best.select(F.col("o").alias(ord_col), F.col("x.leader").alias("leader"), F.col("x.distance").alias("distance"))
