@@ -12,6 +12,7 @@ from tidemark.functions.fingerprints import decode, fingerprint
 from tidemark.plans import execute as ex
 from tidemark.plans.archive import plan_archive
 from tidemark.sources import files, metadata, state
+from tidemark.sources.state_log import StateLog, state_rows
 from tidemark.streaming.incremental import dedup_stream
 
 CFG = ArchiveConfig("/t", "/d")
@@ -88,14 +89,14 @@ def test_state_documents(spark, tmp_path, text, seen, known, pending, processed)
     doc = json.load(open(f"{out}/{config.STATE_FILENAME}"))
     assert doc["version"] == 3 and doc["processed_paths"] == sorted(processed)
     assert check(state.load(spark, out)) == (seen, known, pending, processed)
-    folder = str(tmp_path / "snap")
-    state.commit_snapshot(s, folder)
-    assert check(state.current_snapshot(spark, folder)) == (seen, known, pending, processed)
+    kept = StateLog(spark, str(tmp_path / "log"))
+    kept.commit(state_rows(s))
+    assert check(kept.state()) == (seen, known, pending, processed)
 
 
 def test_missing_state_is_empty(spark, tmp_path):
     assert state.load(spark, str(tmp_path)).processed.count() == 0
-    assert state.current_snapshot(spark, str(tmp_path)).seen.count() == 0
+    assert StateLog(spark, str(tmp_path)).state().seen.count() == 0
 
 
 def tree(root, **names):
@@ -111,7 +112,7 @@ def arguments(tmp_path, *more):
 
 
 def found(root):
-    return {str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and p.name != config.STATE_FILENAME}
+    return {str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and p.name != config.STATE_FILENAME and config.WORK_FOLDER not in p.parts}
 
 
 def test_scan(spark, tmp_path):
@@ -288,13 +289,13 @@ def test_an_interrupted_run_keeps_what_it_moved(spark, tmp_path, monkeypatch):
         (source / f"p{k}.jpg").write_bytes(b"x" * (k + 1))
     args = cli.parser().parse_args(["--source", str(source), "--target", str(target), "--duplicates", str(tmp_path / "dup")])
 
-    def half(plan):
+    def half(plan, results):
         rows = plan.orderBy("path").limit(2).collect()
         for r in rows:
             ex.move(r.path, r.destination)
         raise KeyboardInterrupt
 
-    monkeypatch.setattr(cli, "execute", half)
+    monkeypatch.setattr(cli, "carry_out", half)
     with pytest.raises(KeyboardInterrupt):
         cli.run(args, spark)
     assert {r.path for r in state.load(spark, str(target)).processed.collect()} == {str(source / f"p{k}.jpg") for k in (0, 1)}

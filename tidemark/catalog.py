@@ -12,8 +12,9 @@ from tidemark.config import ArchiveConfig
 from tidemark.functions import dates, hashing, names
 from tidemark.operators import collisions, exact, filters, grouping, neardup, stats, tags
 from tidemark.plans.archive import plan_archive
-from tidemark.sources import metadata, state
+from tidemark.sources import metadata
 from tidemark.sources.band_index import BandIndex
+from tidemark.sources.state_log import StateLog, rows_of
 from tidemark.tables import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,11 +419,13 @@ def history_totals(spark, sf_dir):
 
 @query(f"SELECT DISTINCT {_SIZE} AS size, md5(text) AS md5 FROM documents")
 def state_round_trip(spark, sf_dir):
-    """Hashes of a state that went through its JSON document."""
-    docs = _documents(spark, sf_dir).withColumn("md5", hashing.md5_of(F.col("text")))
-    seen = docs.select("size", "md5").distinct()
-    whole = state.State(seen, spark.createDataFrame([], state.PENDING), docs.select(F.col("ord").cast("string").alias("path")), seen.select("size").distinct())
-    return state.parse(state.to_document(whole)).seen
+    """Hashes of a state that two runs committed to its log."""
+    docs = _documents(spark, sf_dir).select("ord", "size", hashing.md5_of(F.col("text")).alias("md5"))
+    kept = StateLog(spark, fresh_folder(spark, "state-log"))
+    for run in (0, 1):
+        own = docs.where(F.col("ord") % 2 == run)
+        kept.commit(rows_of("hash", own, "size", "md5").union(rows_of("path", own, None, "ord")))
+    return kept.state().seen
 
 
 # --- queries over tags ------------------------------------------------------------------------------------------------

@@ -26,6 +26,8 @@ DATE_KEYS = (
 SYSTEM_NAMES = ("thumbs.db", "desktop.ini")
 STATE_FILENAME = ".organizer_state.json"
 STATE_VERSION = 3
+#: Folder in the target that holds the state's log, the plans of runs and the index of fingerprints.
+WORK_FOLDER = ".tidemark"
 STEM_PATTERN = r"(?i)^(IMG_)E(\d)"
 
 

@@ -1,7 +1,7 @@
 """The plan of an archive run: what happens to every file, as a table. Nothing is touched here.
 
 items need path, ord, size, mtime; optional are meta (tag map), content or md5 with hash_status, code (64-bit
-fingerprint), embedded (header time) and stat_error. A row of the plan is a file with its bundle's fate.
+fingerprint), embedded (header time) and stat_error. Columns of other names are ignored. A row of the plan is a file with its bundle's fate.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from tidemark.functions import dates, names
 from tidemark.functions.hashing import md5_of
 from tidemark.operators import exact, filters, grouping, neardup, stats
 from tidemark.operators.collisions import unique_names
+from tidemark.sources.band_index import BandIndex
 from tidemark.sources.state import State, empty
+from tidemark.sources.state_log import rows_of
 from tidemark.tables import fresh, materialise
 
 
@@ -26,6 +28,7 @@ class Plan:
     rows: DataFrame
     counters: DataFrame
     base: State  # what earlier runs left, with hashes that this one filled in
+    refilled: DataFrame  # the same as rows of a log: hashes filled in, and the entries that they were for
 
     def failures(self) -> DataFrame:
         return stats.failures(self.rows)
@@ -41,22 +44,27 @@ def _optional(items: DataFrame, **kinds: str) -> DataFrame:
     return items.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in items.columns})
 
 
-def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None = None, hasher: Callable[[DataFrame], DataFrame] | None = None, existing: DataFrame | None = None, pending_hasher: Callable[[DataFrame], DataFrame] | None = None) -> Plan:
+def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None = None, hasher: Callable[[DataFrame], DataFrame] | None = None, existing: DataFrame | None = None, pending_hasher: Callable[[DataFrame], DataFrame] | None = None, index: BandIndex | None = None, batch: int = 0) -> Plan:
     """Decide every file's fate.
 
     ``hasher`` adds md5 and hash_status to rows with is_candidate; by default it hashes their ``content``. ``existing``
     are (folder, name) pairs that the target already holds. ``pending_hasher`` adds md5 to (size, archived_path) of archived
-    rows that were never hashed; without it they stay so.
+    rows that were never hashed; without it they stay so. ``index`` holds the fingerprints of batches before ``batch``, whose
+    visual duplicates are found too.
     """
     spark = items.sparkSession
     state = state or empty(spark)
     items = _optional(items, meta="map<string,string>", content="binary", code="bigint", embedded="string", stat_error="string")
+    own = ("path", "ord", "size", "mtime", "meta", "content", "md5", "hash_status", "code", "embedded", "stat_error")
+    items = items.select(*(c for c in items.columns if hasher is not None or c in own))
+    version = F.concat_ws("\u0000", "path", F.col("size").cast("string"), F.col("mtime").cast("double").cast("string"))
+    items = items.withColumn("done_key", version if config.resume_key == "version" else F.col("path"))
     if hasher is None:  # the digest is taken in the scan, so that content meets no shuffle
         digest = fresh("digest", items)
         items = items.withColumn(digest, md5_of(F.col("content"))).drop("content")
         hasher = lambda df: exact.with_digest(df, F.col(digest)).drop(digest)
     media = filters.supported(items)
-    todo = filters.not_processed(media, state.processed) if config.resume else media
+    todo = filters.not_processed(media, state.processed.select(F.col("path").alias("done_key")), "done_key").select(media.columns) if config.resume else media
     scanned = items.agg(F.count("*").alias("scanned"), F.count_if(~names.is_supported(names.suffix(names.file_name(F.col("path"))))).alias("skipped"))
     left = todo.agg(F.count("*").alias("_todo"))
     scanned = scanned.join(left).select("scanned", "skipped", (F.col("scanned") - F.col("skipped") - F.col("_todo")).alias("resumed"))
@@ -74,7 +82,8 @@ def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None =
     judged = exact.first_wins(sound, state.seen.union(extra))
     unique = judged.where("not is_duplicate")
     if config.use_fingerprints:
-        unique = neardup.leaders(unique, config.threshold)
+        earlier = index.near(unique.select("code"), batch) if index is not None else None
+        unique = neardup.leaders(unique, config.threshold, known=earlier)
         near = F.when(~F.col("is_leader"), "visual_duplicate")
     else:
         near = F.lit(None).cast("string")
@@ -102,9 +111,10 @@ def plan_archive(items: DataFrame, config: ArchiveConfig, state: State | None =
     moved = unique_names(every.where("action <> 'none'"), "folder", "name", "_turn", existing)
     still = every.where("action = 'none'").withColumns({"final_name": F.lit(None).cast("string"), "folder": F.lit(None).cast("string")}).select(moved.columns)
     plan = moved.union(still).withColumn("destination", F.concat("folder", F.lit("/"), "final_name"))
-    plan = materialise(plan.select("path", "ord", "group_id", "role", "ext", "action", "size", "md5", "hash_status", "time", "time_source", "folder", "name", "final_name", "destination", "error_kind", "error"), "plan")
+    plan = materialise(plan.select("path", "ord", "group_id", "role", "ext", "action", "size", "md5", "hash_status", "time", "time_source", "folder", "name", "final_name", "destination", "error_kind", "error", "code", "done_key"), "plan")
     base = State(state.seen.union(extra).distinct(), rest, state.processed, state.known_sizes)
-    return Plan(plan, stats.summary(plan, scanned), base)
+    used = state.pending.join(rest.distinct(), ["size", "archived_path"], "left_anti")
+    return Plan(plan, stats.summary(plan, scanned), base, rows_of("hash", extra, "size", "md5").union(rows_of("filled", used, "size", "archived_path")))
 
 
 def next_state(plan: DataFrame, base: State) -> State:
@@ -113,10 +123,4 @@ def next_state(plan: DataFrame, base: State) -> State:
     lead = done.where("role = 'primary'")
     seen = base.seen.union(lead.where("md5 is not null").select("size", "md5")).distinct()
     later = lead.where("action = 'archive' and hash_status = 'not_needed'").select("size", F.col("destination").alias("archived_path"))
-    return State(seen, base.pending.union(later), base.processed.union(done.select("path")).distinct(), base.known_sizes.union(lead.select("size")).distinct())
-
-
-def write_partitioned(rows: DataFrame, time: str, path: str) -> None:
-    """The data variant of the archive layout: Parquet under year=YYYY/month=MM."""
-    dated = rows.withColumns({"year": dates.year_folder(F.col(time)), "month": dates.month_folder(F.col(time))})
-    dated.write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    return State(seen, base.pending.union(later), base.processed.union(done.select("done_key")).distinct(), base.known_sizes.union(lead.select("size")).distinct())

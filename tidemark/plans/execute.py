@@ -45,37 +45,15 @@ def move(source: str, target: str) -> None:
         pass  # the copy is in place; the next run meets the source as a duplicate
 
 
-def _moves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        kinds, errors = [], []
-        for source, target in zip(frame["path"], frame["destination"], strict=True):
-            try:
-                move(source, target)
-                kinds.append(None)
-                errors.append(None)
-            except OSError as e:
-                kinds.append("ERROR")
-                errors.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"path": frame["path"], "_kind": kinds, "_error": errors})
-
-
 def carried_out(plan: DataFrame) -> DataFrame:
     """The plan's rows after a run that was broken off: those whose move is done as they are, the others with action 'none'."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [not os.path.exists(s) and os.path.exists(t) for s, t in zip(frame["path"], frame["destination"], strict=True)]
-            yield pd.DataFrame({"path": frame["path"], "_done": done})
-
-    done = plan.where("action <> 'none'").select("path", "destination").mapInPandas(look, "path string, _done boolean").where("_done")
-    return plan.join(done, "path", "left").withColumn("action", F.when(F.col("_done"), F.col("action")).otherwise("none")).drop("_done")
+            there = [not os.path.exists(s) and os.path.exists(t) for s, t in zip(frame["path"], frame["destination"], strict=True)]
+            yield frame.loc[there, ["path"]].assign(is_there=True)
 
-
-def execute(plan: DataFrame) -> DataFrame:
-    """The plan's rows with what became of them: rows that could not be moved have error_kind ERROR.
-
-    Companions are moved even if their primary's move fails no further check; rows without a destination stay as they are.
-    """
-    done = plan.where("action <> 'none'").select("path", "destination").mapInPandas(_moves, "path string, _kind string, _error string")
-    out = plan.join(done, "path", "left")
-    return out.withColumns({"error_kind": F.coalesce("error_kind", "_kind"), "error": F.coalesce("error", "_error")}).drop("_kind", "_error")
+    done = plan.where("action <> 'none'").select("path", "destination").mapInPandas(look, "path string, is_there boolean")
+    found = plan.join(done, "path", "left")
+    action = F.when(F.col("is_there"), F.col("action")).otherwise("none").alias("action")
+    return found.select(*(action if c == "action" else F.col(c) for c in plan.columns))

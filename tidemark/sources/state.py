@@ -1,15 +1,17 @@
 """State between runs: hashes seen per size, archived rows never hashed, and source paths done.
 
-As tables: seen (size, md5), pending (size, archived_path), processed (path). As a document: JSON of versions 1 to 3;
-version 1 has hashes without sizes, which are dropped, and version 2 no pending entries.
+As tables: seen (size, md5), pending (size, archived_path), processed (path); ``state_log`` keeps them. As a document: JSON
+of versions 1 to 3; version 1 has hashes without sizes, which are dropped, and version 2 no pending entries.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,63 +53,52 @@ def parse(documents: DataFrame, column: str = "value") -> State:
 
 
 def load(spark: SparkSession, target: str) -> State:
-    """The state kept in an archive's folder: one document, whose name Spark's readers take for a hidden file."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{config.STATE_FILENAME}")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return empty(spark)
-    stream = store.open(path)
+    """The state in the document of an archive's folder, as versions before the log kept it; read by the driver.
+
+    Its name is one that Spark's readers take for a hidden file's, so a document in a store that only Spark reaches goes
+    to ``parse`` under another name.
+    """
     try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return parse(spark.createDataFrame([(text,)], "value string"))
+        with open(os.path.join(target, config.STATE_FILENAME), encoding="utf-8") as f:
+            return parse(spark.createDataFrame([(f.read(),)], "value string"))
+    except FileNotFoundError:
+        return empty(spark)
 
 
-def to_document(state: State) -> DataFrame:
-    """One row with the state as JSON: hashes and paths sorted, sizes without pending entries left out."""
-    sizes = state.known_sizes.union(state.seen.select("size")).distinct().join(state.seen, "size", "left")
-    hashes = sizes.groupBy("size").agg(F.sort_array(F.collect_set("md5")).alias("m"))
-    pending = state.pending.groupBy("size").agg(F.sort_array(F.collect_list("archived_path")).alias("p"))
-    as_map = lambda df, v: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("size").cast("string").alias("size"), F.col(v))))).alias("x"))
-    one = as_map(hashes, "m").select(F.col("x").alias("size_hashes")).join(as_map(pending, "p").select(F.col("x").alias("size_pending")))
-    one = one.join(state.processed.agg(F.sort_array(F.collect_set("path")).alias("processed_paths")))
-    fields = [F.lit(config.STATE_VERSION).alias("version"), "size_hashes", "size_pending", "processed_paths", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at")]
-    return one.select(F.to_json(F.struct(*fields)).alias("value"))
+def pieces(state: State, now: datetime | None = None) -> Iterator[str]:
+    """The document's text, piece by piece: sizes, hashes and paths sorted, sizes without pending entries left out.
+
+    Rows are sorted by Spark and pass through the driver one partition at a time; nothing holds all of them.
+    """
+
+    def grouped(rows: Iterator) -> Iterator[str]:
+        opened = None
+        for size, value in rows:
+            if size != opened:
+                yield ("" if opened is None else "], ") + json.dumps(str(size)) + ": ["
+                first, opened = True, size
+            if value is not None:
+                yield ("" if first else ", ") + json.dumps(value)
+                first = False
+        if opened is not None:
+            yield "]"
+
+    sizes = state.known_sizes.union(state.seen.select("size")).distinct().join(state.seen.distinct(), "size", "left")
+    in_order = lambda df, *by: df.orderBy(*(F.col(c).cast("string") for c in by)).toLocalIterator()
+    yield f'{{"version": {config.STATE_VERSION}, "size_hashes": {{'
+    yield from grouped(in_order(sizes.select("size", "md5"), "size", "md5"))
+    yield '}, "size_pending": {'
+    yield from grouped(in_order(state.pending.select("size", "archived_path"), "size", "archived_path"))
+    yield '}, "processed_paths": ['
+    for k, row in enumerate(in_order(state.processed.distinct(), "path")):
+        yield (", " if k else "") + json.dumps(row[0])
+    yield f'], "saved_at": {json.dumps((now or datetime.now()).isoformat())}}}'
 
 
 def save(state: State, target: str) -> None:
-    """Write the document beside the archive's folders: a temporary file first, then a rename over the old one."""
+    """Write the document beside the archive's folders, for readers of that form: a temporary file first, then a rename over the old one."""
     os.makedirs(target, exist_ok=True)
     temporary = os.path.join(target, f".{uuid.uuid4().hex}.tmp")
     with open(temporary, "w", encoding="utf-8") as f:
-        f.write(to_document(state).head()[0])
+        f.writelines(pieces(state))
     os.replace(temporary, os.path.join(target, config.STATE_FILENAME))
-
-
-def commit_snapshot(state: State, folder: str) -> str:
-    """Write the state's tables as the next numbered snapshot; a last, empty marker makes it current. Returns its path."""
-    spark = state.seen.sparkSession
-    n = max(_snapshots(spark, folder), default=-1) + 1
-    at = f"{folder.rstrip('/')}/{n:08d}"
-    for name in ("seen", "pending", "processed", "known_sizes"):
-        getattr(state, name).write.mode("overwrite").parquet(f"{at}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/COMMITTED")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
-    return at
-
-
-def _snapshots(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/COMMITTED")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [int(re.search(r"/(\d+)/COMMITTED$", str(s.getPath()))[1]) for s in found or []]
-
-
-def current_snapshot(spark: SparkSession, folder: str) -> State:
-    """The last committed snapshot; without any, an empty state."""
-    found = _snapshots(spark, folder)
-    if not found:
-        return empty(spark)
-    at = f"{folder.rstrip('/')}/{max(found):08d}"
-    kinds = {"seen": SEEN, "pending": PENDING, "processed": PROCESSED, "known_sizes": "size bigint"}
-    return State(*(spark.read.schema(s).parquet(f"{at}/{n}") for n, s in kinds.items()))
