@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidemark import config
+from tidemark.operators.exact import with_digest
 
 
 #: Folders of a level that are enough tasks.
@@ -102,24 +103,23 @@ def ordered(items: DataFrame, path: str = "path") -> DataFrame:
     return items.withColumn("ord", F.col(path))
 
 
+def md5_of_file(path: str) -> str | None:
+    """Digest of a file's content, which is read in blocks; None if it cannot be read."""
+    h = hashlib.md5()
+    try:
+        with open(path, "rb") as f:
+            while block := f.read(1 << 20):
+                h.update(block)
+    except OSError:
+        return None
+    return h.hexdigest()
+
+
 def with_content(items: DataFrame, candidate: str = "is_candidate", path: str = "path") -> DataFrame:
-    """items with md5 and hash_status: contents of candidates alone are read, in blocks, where the rows are."""
-
-    @F.pandas_udf("struct<md5:string,status:string>")
-    def digest(paths: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, w in zip(paths, wanted, strict=True):
-            if not w:
-                out.append((None, "not_needed"))
-                continue
-            h = hashlib.md5()
-            try:
-                with open(p, "rb") as f:
-                    while block := f.read(1 << 20):
-                        h.update(block)
-                out.append((h.hexdigest(), "ok"))
-            except OSError:
-                out.append((None, "failed"))
-        return pd.DataFrame(out, columns=["md5", "status"])
-
-    return items.withColumn("_d", digest(F.col(path), F.col(candidate))).select(*items.columns, "_d.md5", F.col("_d.status").alias("hash_status"))
+    """items with md5 and hash_status: contents of candidates alone are read, where the rows are."""
+
+    @F.pandas_udf("string")
+    def digest(paths: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([md5_of_file(p) if w else None for p, w in zip(paths, wanted, strict=True)], dtype=object)
+
+    return with_digest(items.withColumn("md5", digest(F.col(path), F.col(candidate))), F.col("md5"), candidate)
