@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -338,6 +338,53 @@ def collision_names(spark, sf_dir):
     return collisions.unique_names(rows).select(F.col("ord").alias("p_partkey"), "final_name")
 
 
+_CHAINS = """s AS (SELECT p_partkey AS ord, replace(p_name, ' ', '_') AS stem, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '_1' WHEN 1 THEN '_1_1' ELSE '' END AS own FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, seq AS (SELECT ord, stem, own, row_number() OVER (PARTITION BY stem ORDER BY ord) AS n FROM s),
+ fold(stem, n, ord, given, taken) AS (SELECT DISTINCT stem, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, [stem || '_2.jpg'] FROM s UNION ALL
+  SELECT stem, n, ord, given, list_append(taken, given) FROM (SELECT q.stem, q.n, q.ord, f.taken, list_filter([q.own || '.jpg'] || list_transform(range(1, len(f.taken) + 2), lambda k: q.own || '_' || k || '.jpg'), lambda c: NOT list_contains(f.taken, c))[1] AS given
+   FROM fold f JOIN seq q ON q.stem = f.stem AND q.n = f.n + 1))
+ SELECT ord AS p_partkey, given AS final_name FROM fold WHERE n > 0""")
+def collision_families(spark, sf_dir):
+    """Names that meet the copies of others, and files that are there: families that want several names."""
+    n = F.col("p_partkey")
+    stem = F.replace("p_name", F.lit(" "), F.lit("_"))
+    own = F.concat(stem, F.when(n % 4 == 0, "_1").when(n % 4 == 1, "_1_1").otherwise(""), F.lit(".jpg"))
+    rows = table(spark, sf_dir, "part").select(n.alias("ord"), F.lit("/archive").alias("folder"), own.alias("name"))
+    there = table(spark, sf_dir, "part").select(F.lit("/archive").alias("folder"), F.concat(stem, F.lit("_2.jpg")).alias("name"))
+    return collisions.unique_names(rows, existing=there).select(F.col("ord").alias("p_partkey"), "final_name")
+
+
+def _copies_sql(text: str, taken: str, first: str) -> str:
+    """The m-th number that is missing among the taken ones, by a list of all."""
+    return f"""WITH s AS (SELECT p_partkey, p_size, replace(p_name, ' ', '_') AS stem FROM part),
+ t AS (SELECT stem, list(DISTINCT k) AS taken FROM (SELECT stem, {taken} AS k FROM s WHERE p_partkey % 4 = 0) GROUP BY stem),
+ r AS (SELECT p_partkey, stem, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS m, count(*) OVER (PARTITION BY stem) AS n FROM s),
+ k AS (SELECT p_partkey, r.stem, list_filter(range(0, n + 60), lambda x: NOT list_contains(coalesce(taken, []), x))[m] AS k FROM r LEFT JOIN t USING (stem))
+ SELECT p_partkey, '/out/' || stem || CASE WHEN k = 0 THEN '{first}' ELSE {text} END || '.jpg' AS name FROM k"""
+
+
+def _copy_numbers(spark: SparkSession, sf_dir: str, template: str, taken: Column) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lit("/in/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("path"))
+    _, how = collisions.numbering(template)
+    stem = F.concat(names.stem(names.file_name(F.col("path"))))
+    there = parts.where("p_partkey % 4 = 0").select(F.lit("/out").alias("folder"), F.concat(stem, how.column(taken), F.lit(".jpg")).alias("name"))
+    return tags.unused_names(parts, "/out/" + template, "path", "p_partkey", there).select("p_partkey", "name")
+
+
+@query(_copies_sql("'-' || lpad((k + 1)::VARCHAR, 2, '0')", "p_size % 9", ""))
+def copy_numbers(spark, sf_dir):
+    """Copy numbers with holes: a dash and two digits, from 02 on, where some are taken."""
+    return _copy_numbers(spark, sf_dir, "%f%-2nc.%e", F.col("p_size") % 9)
+
+
+@query(_copies_sql("'_' || CASE WHEN k < 26 THEN '' ELSE chr((64 + k // 26)::INT) END || chr((65 + k % 26)::INT)", "p_size % 50", "_A"))
+def copy_letters(spark, sf_dir):
+    """Copies by capital letters, the first name's too."""
+    return _copy_numbers(spark, sf_dir, "%f%+.uc.%e", F.col("p_size") % 50)
+
+
 # --- whole plan, statistics, state ------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.functions.dates import parse_time
+from tidemark.operators import collisions
 
 #: What counts as a number when values are sorted, and when they are written as JSON; fixed values.
 FLOAT = r"^[+-]?(?=\d|\.\d)\d*(\.\d*)?([Ee]([+-]?\d+))?$"
@@ -138,3 +139,13 @@ def output_name(template: str, path: Column) -> Column:
     folder = F.regexp_extract(names.slashed(path), r"^(.*/)?[^/]*$", 1)
     parts = {"%d": folder, "%f": names.stem(name), "%e": F.ltrim(names.suffix(name), F.lit("."))}
     return F.concat(*(parts.get(m, F.lit("%" if m == "%%" else m)) for m in re.findall(r"%[dfe%]|[^%]+|%", template)), F.lit(""))
+
+
+def unused_names(items: DataFrame, template: str, path: str = "path", ord_col: str = "ord", existing: DataFrame | None = None) -> DataFrame:
+    """items with ``name``: the template's name for each path, with the first copy number that is neither taken by a file of
+    ``existing`` (folder, name) nor by an item before it in order. The template has one ``%c`` (see ``collisions.COPY``)."""
+    plain, how = collisions.numbering(template)
+    whole = output_name(plain, F.col(path))
+    rows = items.select(F.col(ord_col).alias("ord"), names.parent(whole).alias("folder"), names.file_name(whole).alias("name"))
+    given = collisions.unique_names(rows, existing=existing, how=how).select(F.col("ord").alias(ord_col), F.concat("folder", F.lit("/"), "final_name").alias("name"))
+    return items.drop("name").join(given, ord_col)
