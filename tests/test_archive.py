@@ -1,5 +1,6 @@
 import json
 import os
+import subprocess
 import sys
 from datetime import datetime
 
@@ -212,18 +213,25 @@ def test_tag_reader(spark, tmp_path):
     got = {r.path: r.meta for r in metadata.read_tags(df, str(script)).collect()}
     assert got["/none.jpg"] is None and got["C:\\A.jpg"]["EXIF:DateTimeOriginal"] == "2022:03:04 05:06:07" and got["C:\\A.jpg"]["n"] == "5"
     assert {r.meta for r in metadata.read_tags(df, str(tmp_path / "absent")).collect()} == {None}
-    reader = metadata.TagReader(str(script), restarts=1)
-    assert set(reader.ask(["/x.jpg"])) == {"/x.jpg"} and reader.ask([]) == {}
-    for _ in range(2):
-        reader.process.kill()
-        reader.process.wait()
-        if reader.left:
-            assert reader.ask(["/x.jpg"])
-        else:
-            with pytest.raises(metadata.ReaderError):
-                reader.ask(["/x.jpg"])
-    reader.close()
-    reader.close()
+    talk = metadata.conversation(str(script))
+    assert next(talk) == {} and set(talk.send(["/X.jpg"])) == {"/x.jpg"} and talk.send(["/none"]) == {}
+    talk.close()
+    started = []
+
+    def spawn(*a, **k):
+        started.append(subprocess.Popen(*a, **k))
+        return started[-1]
+
+    def killing():
+        for k in range(5):
+            if started:
+                started[-1].kill()
+                started[-1].wait()
+            yield [f"/{k}.jpg"]
+
+    # a process that was killed is found gone when it is asked: the batch has no second try, as it is one file
+    assert [set(r) for r in metadata.answers(str(script), killing(), 1, spawn)] == [{"/0.jpg"}, set(), {"/2.jpg"}, set(), set()]
+    assert len(started) == 2 and all(p.poll() is not None for p in started)
 
 
 def test_files_of_a_failed_batch_are_asked_one_by_one(spark, tmp_path):

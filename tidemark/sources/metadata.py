@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import subprocess
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,110 +16,92 @@ from pyspark.sql.types import StringType
 from tidemark.functions.names import path_key
 
 BATCH, RESTARTS = 100, 3
+#: Seconds that a process has to finish by itself.
+PATIENCE = 10
 #: The reader's protocol: arguments to start it, the date tags that are asked for, and the line that ends an answer.
 START = ("-stay_open", "True", "-@", "-", "-common_args", "-charset", "filename=utf8")
 ASKED = ("-j", "-G", "-DateTimeOriginal", "-CreateDate", "-CreationDate", "-MediaCreateDate", "-TrackCreateDate", "-ContentCreateDate", "-ModifyDate")
 READY = "{ready}"
 
 
-class ReaderError(RuntimeError):
-    """The external reader cannot answer."""
-
-
-class ReaderGone(ReaderError):
-    """The external reader ended too often and is asked no more."""
+def _by_key(answer: str) -> dict[str, dict]:
+    """Records of an answer by path key; an answer that is no JSON holds none."""
+    try:
+        records = json.loads(answer) if answer.strip() else []
+    except json.JSONDecodeError:
+        records = []
+    return {_key(r["SourceFile"]): r for r in records if r.get("SourceFile")}
 
 
-class TagReader:
-    """One external process that answers batches of paths; it is restarted a few times, then given up."""
+def _key(path: str) -> str:
+    return path.replace("\\", "/").lower()
 
-    def __init__(self, program: str, restarts: int = RESTARTS, spawn: Callable = subprocess.Popen):
-        self.program, self.left, self.spawn, self.process = program, restarts, spawn, None
 
-    def _alive(self) -> None:
-        if self.process is not None:
-            if self.process.poll() is None:
-                return
-            if not self.left:
-                raise ReaderGone("the reader ended too often")
-            self.left -= 1
-        self.process = self.spawn([self.program, *START], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, encoding="utf-8", bufsize=1)
+def conversation(program: str, spawn: Callable = subprocess.Popen) -> Generator[dict[str, dict], list[str], None]:
+    """Send lists of paths, get their records: one process, from the first ``next`` until the generator is closed.
 
-    def ask(self, paths: list[str]) -> dict[str, dict]:
-        """Records by path key; files without a record are absent, an answer that is no JSON counts as none."""
-        if not paths:
-            return {}
-        self._alive()
-        try:
-            self.process.stdin.write("\n".join([*ASKED, *paths, "-execute", ""]))
-            self.process.stdin.flush()
-        except OSError as e:
-            raise ReaderError(str(e)) from e
-        answer = []
-        while (line := self.process.stdout.readline()).rstrip("\r\n") != READY:
-            if not line:
-                self.process.kill()
-                self.process.wait()
-                raise ReaderError("the reader ended within an answer")
-            answer.append(line)
-        try:
-            records = json.loads("".join(answer)) if "".join(answer).strip() else []
-        except json.JSONDecodeError:
-            return {}
-        return {r["SourceFile"].replace("\\", "/").lower(): r for r in records if r.get("SourceFile")}
-
-    def close(self) -> None:
-        """End the process, by force if it does not end itself; may be called again."""
-        process, self.process = self.process, None
-        if process is None or process.poll() is not None:
-            return
-        try:
-            process.stdin.write("-stay_open\nFalse\n")
-            process.stdin.flush()
-        except OSError:
-            pass
-        for end in (None, process.terminate, process.kill):
-            if end:
-                end()
-            try:
-                process.wait(timeout=5)
-                return
-            except subprocess.TimeoutExpired:
-                continue
-
-
-def _lookup(source: TagReader, paths: list[str]) -> tuple[dict[str, dict], bool]:
-    """Records of a batch, and whether the reader can still be asked; a batch that fails is asked again file by file."""
-    parts, records = [paths], {}
-    while parts:
-        part = parts.pop()
+    EOFError or OSError tell that the process is gone; files without a record are absent from an answer.
+    """
+    process = spawn([program, *START], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, encoding="utf-8")
+    try:
+        records: dict[str, dict] = {}
+        while True:
+            paths = yield records
+            print(*ASKED, *paths, "-execute", sep="\n", file=process.stdin, flush=True)
+            answer = []
+            for line in process.stdout:
+                if line.strip() == READY:
+                    break
+                answer.append(line)
+            else:
+                raise EOFError(f"{program} ended within an answer")
+            records = _by_key("".join(answer))
+    finally:
         try:
-            records |= source.ask(part)
-        except (ReaderGone, OSError):
-            return records, False
-        except ReaderError:
-            if len(part) > 1:
-                parts += [[p] for p in reversed(part)]
-    return records, True
+            process.communicate("-stay_open\nFalse\n", timeout=PATIENCE)
+        except (OSError, ValueError, subprocess.TimeoutExpired):
+            process.kill()
+            process.wait()
 
 
-def read_tags(items: DataFrame, program: str, path: str = "path", batch: int = BATCH, reader: Callable[[str], TagReader] = TagReader) -> DataFrame:
-    """path and meta (map of texts) from one reader per task. Files that make the reader fail have null maps; a reader that cannot start, or ended too often, ends the asking for its task."""
+def answers(program: str, batches: Iterable[list[str]], restarts: int = RESTARTS, spawn: Callable = subprocess.Popen) -> Iterator[dict[str, dict]]:
+    """The records of each batch. A batch on which the process ends is asked again file by file, in a new process; when that
+    has been started ``restarts`` times, or cannot be started at all, no more is asked and what is left has no records."""
+    talk = None
+    try:
+        for batch in batches:
+            found, waiting = {}, [batch] if batch else []
+            while waiting and restarts >= 0:
+                part = waiting.pop(0)
+                try:
+                    if talk is None:
+                        talk = conversation(program, spawn)
+                        next(talk)
+                    found |= talk.send(part)
+                except (FileNotFoundError, PermissionError):
+                    restarts = -1
+                except (EOFError, OSError):
+                    talk, restarts = None, restarts - 1
+                    waiting = [[p] for p in part if len(part) > 1] + waiting
+            yield found
+    finally:
+        if talk is not None:
+            talk.close()
+
+
+def read_tags(items: DataFrame, program: str, path: str = "path", batch: int = BATCH, ask: Callable[[str, Iterable[list[str]]], Iterator[dict[str, dict]]] = answers) -> DataFrame:
+    """path and meta (map of texts) from one process per task. Files that end it have null maps, as have all that are left when
+    it cannot be started (again)."""
+
+    def text(value) -> str:
+        return str(value).lower() if isinstance(value, bool) else str(value)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, on = reader(program), True
-        try:
-            for frame in frames:
-                found = []
-                for k in range(0, len(frame), batch):
-                    paths = list(frame[path].iloc[k : k + batch])
-                    records, on = _lookup(source, paths) if on else ({}, False)
-                    for p in paths:
-                        r = records.get(p.replace("\\", "/").lower())
-                        found.append(None if r is None else {a: (str(b).lower() if isinstance(b, bool) else str(b)) for a, b in r.items()})
-                yield pd.DataFrame({"path": list(frame[path]), "meta": found})
-        finally:
-            source.close()
+        cuts = (list(frame[path].iloc[k : k + batch]) for frame in frames for k in range(0, len(frame), batch))
+        asked, cuts = itertools.tee(cuts)  # no more than the batch that is being answered is held twice
+        for paths, records in zip(cuts, ask(program, asked), strict=True):
+            maps = [records.get(_key(p)) for p in paths]
+            yield pd.DataFrame({"path": paths, "meta": [None if m is None else {t: text(v) for t, v in m.items()} for m in maps]})
 
     return items.select(path).mapInPandas(run, "path string, meta map<string,string>")
 
