@@ -131,10 +131,28 @@ def test_scan_of_a_deep_tree_is_many_tasks(spark, tmp_path):
         (folder / "x.jpg").write_text("x")
     for at in (tmp_path, tmp_path / "one", tmp_path / "one" / "two" / "3"):
         (at / "y.jpg").write_text("yy")
-    tree = files.scan(spark, str(tmp_path))
-    got = [r.path for r in tree.collect()]
-    assert len(got) == len(set(got)) == 83
-    assert tree.rdd.getNumPartitions() == 1 + 1 + 1 + 8 + 80
+    want = sorted(str(p) for p in tmp_path.rglob("*.jpg"))
+    for share in (1, 7, 1000):  # folders that a task has no share left for go to other tasks
+        got = [r.path for r in files.walk(spark, str(tmp_path), share=share).collect()]
+        assert sorted(got) == want and len(got) == 83
+
+
+def test_what_a_walk_enters(spark, tmp_path, monkeypatch):
+    tree(tmp_path, a_dot_jpg="1", a_dot_txt="2", sub__b_dot_JPG="", sub__deep__c_dot_jpg="3", _dot_hid__d_dot_jpg="4", skip__e_dot_jpg="5", cut__f_dot_jpg="6", else__g_dot_jpg="7")
+    (tmp_path / "sub" / "up").symlink_to(tmp_path)
+    (tmp_path / "link").symlink_to(tmp_path / "else")
+    (tmp_path / "broken.jpg").symlink_to(tmp_path / "nowhere")
+    look = lambda **k: sorted(os.path.relpath(r.path, tmp_path) for r in files.walk(spark, str(tmp_path), share=2, **k).collect())
+    every = [".hid/d.jpg", "a.jpg", "a.txt", "broken.jpg", "cut/f.jpg", "else/g.jpg", "skip/e.jpg", "sub/b.JPG", "sub/deep/c.jpg"]
+    assert look() == every
+    assert look(accept=["jpg"], ignore=["skip"], prune=[str(tmp_path / "cut")], hidden=False) == ["a.jpg", "broken.jpg", "else/g.jpg", "sub/b.JPG", "sub/deep/c.jpg"]
+    assert look(depth=0) == ["a.jpg", "a.txt", "broken.jpg"] and look(depth=1) == [p for p in every if p.count("/") < 2]
+    assert look(follow=True) == sorted([*every, "link/g.jpg"])
+    bad = files.walk(spark, str(tmp_path)).where("path like '%broken%'").head()
+    assert bad.size is None and "NotFound" in bad.stat_error
+    # the driver lists nothing: it cannot
+    monkeypatch.setattr(os, "scandir", None)
+    assert look(accept=["txt"]) == ["a.txt"]
 
 
 def test_two_runs_end_to_end(spark, tmp_path):

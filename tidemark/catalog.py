@@ -50,8 +50,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order, size and digest of the documents: the digest is taken in the scan, so that no text is shuffled."""
-    return _documents(spark, sf_dir).select("ord", "size", hashing.md5_of(F.col("text")).alias("digest"))
+    """Order, size and digest of the documents, from one scan of the texts."""
+    return exact.digest_table(_documents(spark, sf_dir), F.col("text"))
 
 
 @query(f"SELECT {_SIZE} AS size, count(*) AS n FROM documents GROUP BY 1")
@@ -292,13 +292,12 @@ def group_primary(spark, sf_dir):
     return out.select("dir", "stem_key", F.col("primary.path").alias("primary_path"), F.transform("companions", lambda c: c["path"]).alias("companions"), "group_ord", "members")
 
 
-@query("""SELECT host, arg_min(page_id, page_id) AS primary_id, list(page_id ORDER BY page_id)[2:] AS companions, count(*)::INT AS members
- FROM (SELECT page_id, regexp_replace(url, '[^/]*$', '') AS host FROM pages) GROUP BY host""")
+@query("""SELECT page_id, host, min(page_id) OVER (PARTITION BY host) AS primary_id, CASE WHEN page_id = min(page_id) OVER (PARTITION BY host) THEN 'primary' ELSE 'companion' END AS role, count(*) OVER (PARTITION BY host) AS members
+ FROM (SELECT page_id, regexp_replace(url, '[^/]*$', '') AS host FROM pages)""")
 def page_bundles(spark, sf_dir):
     """The bundling operator over other items: pages that share a folder of their address."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[^/]*$", "").alias("host"))
-    out = grouping.elect(pages, ["host"], F.lit(0), "page_id")
-    return out.select("host", F.col("primary.page_id").alias("primary_id"), F.transform("companions", lambda c: c["page_id"]).alias("companions"), "members")
+    return grouping.elected(pages, ["host"], F.lit(0), "page_id").select("page_id", "host", F.col("primary_ord").alias("primary_id"), "role", "members")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month FROM orders")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import md5_of
-from tidemark.tables import fresh
+from tidemark.tables import fresh, materialise
 
 
 def size_histogram(items: DataFrame, size: str = "size") -> DataFrame:
@@ -30,8 +30,10 @@ def hash_candidates(items: DataFrame, history: DataFrame | None = None, size: st
     again = size_histogram(items.where(F.col(size).isNotNull()), size).where("n > 1").select(size)
     if history is not None:
         again = again.union(history.select(F.col(size))).distinct()
-    flag = fresh("again", items)
-    marked = items.join(again.select(F.col(size), F.lit(True).alias(flag)), size, "left")
+    flag, key = fresh("again", items), fresh("key", items)
+    # rows without a size meet nothing, and are dealt to as many tasks as the others
+    spread = F.coalesce(F.col(size).cast("bigint"), -1 - F.monotonically_increasing_id() % 4096)
+    marked = items.withColumn(key, spread).join(again.select(F.col(size).cast("bigint").alias(key), F.lit(True).alias(flag)), key, "left")
     return marked.select(*(F.col(c) for c in items.columns), (F.col(size).isNull() | F.coalesce(flag, F.lit(False))).alias("is_candidate"))
 
 
@@ -46,6 +48,11 @@ def with_digest(items: DataFrame, digest: Column, candidate: str = "is_candidate
     return items.withColumns({"md5": F.when(F.col(candidate), digest), "hash_status": status})
 
 
+def digest_table(items: DataFrame, content: Column, size: str = "size", ord_col: str = "ord") -> DataFrame:
+    """ord, size and digest of rows whose content is a column, written once: what follows reads no content again."""
+    return materialise(items.select(F.col(ord_col).alias("ord"), F.col(size).alias("size"), md5_of(content).alias("digest")), "digests")
+
+
 def first_wins(items: DataFrame, seen: DataFrame | None = None, size: str = "size", ord_col: str = "ord") -> DataFrame:
     """items with is_duplicate: an earlier row of the batch, or the history, has the same size and md5.
 

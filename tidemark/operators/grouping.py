@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
+from tidemark.tables import fresh
 
 
 def elect(items: DataFrame, keys: list[str], rank: Column, ord_col: str = "ord") -> DataFrame:
@@ -21,6 +22,18 @@ def elect(items: DataFrame, keys: list[str], rank: Column, ord_col: str = "ord")
     return df.select(*keys, F.element_at(rows, 1).alias("primary"), F.slice(rows, 2, F.greatest(F.size("_m") - 1, F.lit(0))).alias("companions"), "group_ord", F.size("_m").alias("members"))
 
 
+def elected(items: DataFrame, keys: list[str], rank: Column, ord_col: str = "ord") -> DataFrame:
+    """items, flat, with primary_ord, group_ord, members and role, for bundles of any size: no row and no task holds one.
+
+    The election is a partial aggregate that is joined back; a bundle that holds a third of all rows is split by the join.
+    """
+    own = {k: fresh(f"own_{k}", items) for k in keys}
+    first = items.groupBy(*(F.col(k).alias(own[k]) for k in keys)).agg(F.min(F.struct(rank.alias("r"), F.col(ord_col).alias("o"))).alias("x"), F.min(ord_col).alias("group_ord"), F.count("*").alias("members"))
+    same = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys]
+    role = F.when(F.col("x.o") == F.col(ord_col), "primary").otherwise("companion")
+    return items.join(first, same).select(*items.columns, F.col("x.o").alias("primary_ord"), "group_ord", "members", role.alias("role"))
+
+
 def with_roles(items: DataFrame, path: str = "path", ord_col: str = "ord") -> DataFrame:
     """items with group_id, group_ord and role ('primary' or 'companion'), kept flat: one shuffle on the bundle's key."""
     df = items.withColumn("group_id", F.md5(F.concat_ws("\u0000", *bundle_key(F.col(path)))))
