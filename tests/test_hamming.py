@@ -114,6 +114,7 @@ def test_only_buckets_that_bands_meet_are_read(spark, tmp_path):
     files = lambda df: df.select("_metadata.file_path").distinct().count()
     assert files(index.met(one, 1)[0]) <= 5 < 70 < files(spark.read.parquet(index.at))
     assert index.near(rows.limit(0), 1).count() == 0
+    assert index.size(1) == 300 and index.size(0) == 0 == BandIndex(spark, str(tmp_path / "none"), 4).size(1)
     with pytest.raises(ValueError):
         BandIndex(spark, str(tmp_path), 16)
 

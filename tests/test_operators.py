@@ -174,3 +174,46 @@ def test_tags(spark):
     assert {tuple(r) for r in tags.difference(left, right).collect()} == {("b", "2", "3"), ("c", None, "4")}
     item = spark.range(1).select(tags.list_item(F.array(F.lit(1), F.lit(2)), 0), tags.list_item(F.array(F.lit(1), F.lit(2)), -1), tags.list_item(F.array(F.lit(1)), 5)).head()
     assert tuple(item) == (1, 2, None)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_sections(spark, parts):
+    """Against a plain loop, whatever the ranges are, some of them empty."""
+    rng = random.Random(parts)
+    rows = [(k, {"a": str(rng.choice([1, 1, 1, 2])), **({"b": "x"} if rng.random() < 0.7 else {}), "k": str(k)}) for k in sorted(rng.sample(range(1000), 35))]
+    want, last = [], None
+    for n, (k, m) in enumerate(rows):
+        if not n:
+            want.append((k, f"H{k}"))
+        if last is None or last[0] != m["a"]:
+            want += [(k, f"E{last[1]}")] if last else []
+            want.append((k, f"S{m['a']}"))
+        if "b" in m:
+            want.append((k, f"B{k} x"))
+        last = m["a"], k
+    want += [(last[1], f"E{last[1]}"), (last[1], f"T{last[1]}")]
+    df = spark.createDataFrame(rows, "o int, meta map<string,string>").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = tags.sections(df, "meta", "o", "B$k $b", "H$k", "S$a", ["b"], "E$k", "T$k")
+        assert [(r.o, r.line) for r in got.orderBy("o", "seq").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tags.sections(df.limit(0), "meta", "o", "$k").count() == 0
+    assert [r.line for r in tags.sections(df, "meta", "o", "$k").orderBy("o").collect()] == [str(k) for k, _ in rows]
+
+
+def test_columns_have_a_budget(spark):
+    df = spark.createDataFrame([("a", {f"t{k}": "1" for k in range(20)})], "name string, meta map<string,string>")
+    assert len(tags.spread_all(df, "meta", "name", 20).columns) == 21
+    with pytest.raises(ValueError, match="more than 19"):
+        tags.spread_all(df, "meta", "name", 19)
+
+
+def test_elected_in_bundles_of_any_size(spark):
+    rows = [(k, None if k % 5 == 0 else k % 3, "x", 7) for k in range(60)]
+    got = grouping.elected(spark.createDataFrame(rows, "ord int, key int, role_ string, own_key int"), ["key"], F.col("ord") % 2, "ord").collect()
+    for r in got:
+        mine = [o for o, k, *_ in rows if k == r.key]
+        assert (r.primary_ord, r.group_ord, r.members) == (min(mine, key=lambda o: (o % 2, o)), min(mine), len(mine))
+        assert (r.role == "primary") == (r.ord == r.primary_ord) and r.own_key == 7

@@ -483,6 +483,25 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", meta.alias("meta"))
 
 
+@query("SELECT event_id::VARCHAR AS \"SourceFile\", event_type AS \"Event:Type\", user_id::VARCHAR AS \"Event:User\", coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+def tag_table_union(spark, sf_dir):
+    """A column for every tag that any item has, found first."""
+    return tags.spread_all(_tagged(spark, sf_dir), "meta", "event_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, '== ' || o_orderstatus AS sect, '-- ' || o_orderkey || ' ' || o_orderpriority AS ends, o_orderkey % 3 <> 0 AS shown,
+   lag(o_orderstatus) OVER w AS before, lag(o_orderkey) OVER w AS prev, lag(o_orderpriority) OVER w AS prev_p, lead(o_orderkey) OVER w IS NULL AS final, o_orderstatus AS s FROM orders WINDOW w AS (ORDER BY o_orderkey))
+ SELECT k AS o_orderkey, 0 AS seq, 'from ' || k AS line FROM o WHERE prev IS NULL UNION ALL SELECT k, 1, '-- ' || prev || ' ' || prev_p FROM o WHERE before <> s
+ UNION ALL SELECT k, 2, sect FROM o WHERE prev IS NULL OR before <> s UNION ALL SELECT k, 3, k || ': ' || p FROM o WHERE shown
+ UNION ALL SELECT k, 4, ends FROM o WHERE final UNION ALL SELECT k, 5, 'to ' || k FROM o WHERE final""")
+def tag_sections(spark, sf_dir):
+    """A report with a section on each change of status, across partitions."""
+    key = F.col("o_orderkey").cast("string")
+    meta = F.map_filter(F.create_map(F.lit("Key"), key, F.lit("Priority"), F.col("o_orderpriority"), F.lit("Status"), F.col("o_orderstatus"), F.lit("Shown"), F.when(F.col("o_orderkey") % 3 != 0, "1")), lambda _, v: v.isNotNull())
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", meta.alias("meta"))
+    return tags.sections(rows, "meta", "o_orderkey", "${Key}: $Priority", "from $Key", "== $Status", ["Shown"], "-- $Key $Priority", "to $Key")
+
+
 @query("SELECT event_id, event_type AS type, json_extract_string(props, '$.k') AS k FROM events WHERE coalesce(json_extract_string(props, '$.k')::INT > 50, false) AND event_type <> 'view'")
 def tag_filter(spark, sf_dir):
     rows = filters.holds(_tagged(spark, sf_dir), "try_cast(meta['k'] AS INT) > 50", "meta['Event:Type'] <> 'view'")

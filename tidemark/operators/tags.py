@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.functions.dates import parse_time
 from tidemark.operators import collisions
+from tidemark.tables import Scratch
 
 #: What counts as a number when values are sorted, and when they are written as JSON; fixed values.
 FLOAT = r"^[+-]?(?=\d|\.\d)\d*(\.\d*)?([Ee]([+-]?\d+))?$"
@@ -62,9 +63,51 @@ def spread(items: DataFrame, meta: str, name: str, tags: list[str]) -> DataFrame
     return items.select(F.col(name).cast("string").alias("SourceFile"), *(F.coalesce(F.col(meta)[t], F.lit("")).alias(t) for t in tags))
 
 
-def all_tags(items: DataFrame, meta: str) -> list[str]:
-    """The sorted union of tag names: a partial aggregate of distinct names, few whatever the rows."""
-    return [r[0] for r in items.select(F.explode(F.map_keys(meta)).alias("k")).distinct().orderBy("k").collect()]
+def all_tags(items: DataFrame, meta: str, most: int = 2000) -> list[str]:
+    """The sorted union of tag names, by a partial aggregate of distinct names; an error if there are more than ``most``,
+    which bounds what the driver gets and the columns of a table."""
+    names_ = items.select(F.explode(F.map_keys(meta)).alias("k")).distinct()
+    found = sorted(r[0] for r in names_.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} different tags; name the ones that are wanted")
+    return found
+
+
+def spread_all(items: DataFrame, meta: str, name: str, most: int = 2000) -> DataFrame:
+    """``spread`` with a column for every tag that any row has: one pass for the names, one projection."""
+    return spread(items, meta, name, all_tags(items, meta, most))
+
+
+def sections(items: DataFrame, meta: str, order: str, body: str, head: str | None = None, sect: str | None = None, only: list[str] | None = None, ends: str | None = None, tail: str | None = None) -> DataFrame:
+    """A report as rows: order, seq and line, to be read in their order.
+
+    Templates are those of ``print_format``. ``head`` is written before the first item and ``tail`` after the last, with their
+    values. ``sect`` is written where it differs from that of the item before, after the ``ends`` of that item, which is also
+    written at the end. ``body`` is written for items that have all tags of ``only``.
+
+    Items are cut in ranges of their order and written. What an item has to know of the one before it comes from the same
+    range or, for the first of a range, from a table of one row per range; no task sees more than its range. Orders are
+    unique; an empty table gives no line.
+    """
+    held = Scratch(items.sparkSession, "sections")
+    show = lambda t: print_format(t, F.col("m")) if t is not None else F.lit(None).cast("string")
+    met = F.lit(True)
+    for t in only or []:
+        met = met & F.col("m")[t].isNotNull()
+    rows = items.select(F.col(order).alias("o"), F.col(meta).alias("m"))
+    rows = rows.select("o", *(show(t).alias(n) for n, t in (("sect", sect), ("ends", ends), ("head", head), ("tail", tail))), F.when(F.coalesce(met, F.lit(False)), show(body)).alias("body"))
+    cut = held.keep(rows.repartitionByRange("o").withColumn("part", F.spark_partition_id()), "ranges")
+    last = cut.groupBy("part").agg(F.max_by(F.struct("o", "sect", "ends"), "o").alias("end"))
+    before = Window.orderBy("part")  # a row per range
+    joints = last.select("part", F.lag("end").over(before).alias("other"), F.lead("part").over(before).isNull().alias("closing"))
+    own = Window.partitionBy("part").orderBy("o")
+    placed = cut.withColumns({"prev": F.lag(F.struct("o", "sect", "ends")).over(own), "next": F.lead("o").over(own)}).join(F.broadcast(joints), "part")
+    placed = placed.withColumn("prev", F.coalesce("prev", "other"))
+    first, change = F.col("prev").isNull(), ~F.col("prev.sect").eqNullSafe(F.col("sect"))
+    final = F.col("closing") & F.col("next").isNull()
+    lines = F.array(F.when(first, F.col("head")), F.when(~first & change, F.col("prev.ends")), F.when(first | change, F.col("sect")), F.col("body"), F.when(final, F.col("ends")), F.when(final, F.col("tail")))
+    told = placed.select(F.col("o").alias(order), F.posexplode(lines).alias("seq", "line"))
+    return told.where("line is not null")
 
 
 def attach(items: DataFrame, values: DataFrame, name: str, source: str = "SourceFile") -> DataFrame:

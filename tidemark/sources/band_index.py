@@ -49,6 +49,11 @@ class BandIndex:
                 raise
             return None
 
+    def size(self, before: int) -> int:
+        """How many leaders the index holds of batches before this one."""
+        held = self.rows(before)
+        return 0 if held is None else held.where("band = 0").count()
+
     def met(self, codes: DataFrame, before: int) -> tuple[DataFrame, DataFrame] | None:
         """The index's rows in the buckets that the codes' bands fall in, and the values that are asked for."""
         held = self.rows(before)
