@@ -102,7 +102,7 @@ def numbering(template: str) -> tuple[str, Numbering]:
     found = COPY.search(template)
     if found is None or COPY.search(template, found.end()):
         raise ValueError("a template needs one copy number")
-    if not re.fullmatch(r"(\.[^./]+|\.?%e)?", template[found.end() :]):
+    if not re.match(r"(\.[^./]+|\.?%e)?\Z", template[found.end() :]):
         raise ValueError("a copy number stands at the end or before the extension")
     sign, width, dot, more, kind = found.groups()
     letters = {"l": "lower", "u": "upper"}.get(kind, "")
@@ -169,10 +169,10 @@ def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", o
     """
     held = Scratch(moves.sparkSession, "names")
     parts = lambda n: (names.stem(F.col(n)).alias("stem"), names.suffix(F.col(n)).alias("suffix"))
-    rows = held.keep(moves.select(F.col(ord_col).alias("o"), F.col(folder).alias("dir"), F.col(name).alias("name")).select("o", "dir", *parts("name")), "rows")
+    rows = moves.select(F.col(ord_col).alias("o"), F.col(folder).alias("dir"), F.col(name).alias("name")).select("o", "dir", *parts("name"))
     asked = rows.where("dir is not null and stem is not null")
     if existing is None:
-        there = asked.select("dir", "stem", "suffix").limit(0)
+        there = moves.sparkSession.createDataFrame([], "dir string, stem string, suffix string")
     else:
         there = existing.select(F.col(folder).alias("dir"), F.col(name).alias("name")).select("dir", *parts("name")).distinct()
     keys = ["dir", "stem", "suffix"]
@@ -180,20 +180,27 @@ def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", o
     kind = F.when(F.col("many") > 1, "several").when((F.col("rows") > 1) | (F.col("holes") > 0) | F.lit(how.always), "numbered").otherwise("alone")
     of = known.where("n > 0").select(*keys, "family", kind.alias("kind"))
     rows = held.keep(asked.join(of, keys), "dealt")
-    alone = rows.where("kind = 'alone'").select("o", F.concat("stem", "suffix").alias("final_name"))
-
-    group = ["dir", "family", "suffix"]
-    holes = known.where("taken and many = 1").select(*group, how.copy_of(F.expr("substr(stem, length(family) + 1)")).alias("v")).where("v is not null")
-    holes = running(holes, group, ["v"], F.lit(1), held, "holes").select(*group, (F.col("v") - F.col("before")).alias("v"), F.lit(0).alias("is_row"), F.lit(None).cast(rows.schema["o"].dataType).alias("o"))
-    placed = running(rows.where("kind = 'numbered'").select(*group, "o"), group, ["o"], F.lit(1), held, "places").select(*group, F.col("before").alias("v"), F.lit(1).alias("is_row"), "o")
-    # numbers missing below the i-th taken one: that number less i; a place comes after the taken ones with no more of them
-    met = running(placed.union(holes), group, ["v", "is_row", "o"], F.col("is_row") == 0, held, "met").where("is_row = 1")
-    numbered = met.select("o", F.concat("family", how.column(F.col("v") + F.col("before")), "suffix").alias("final_name"))
-
-    several = known.where("many > 1").select(*group).distinct()
-    takes = known.where("taken and many > 1").select(F.lit(None).cast(rows.schema["o"].dataType).alias("o"), *keys, "family", F.lit(True).alias("taken"))
-    stream = rows.where("kind = 'several'").select("o", *keys, "family", F.lit(False).alias("taken")).union(takes.join(several, group, "left_semi").select("o", *keys, "family", "taken"))
-    stream = stream.withColumn("family", F.concat_ws("\u0000", *group)).repartition("family").sortWithinPartitions("family", F.desc("taken"), "o")
-    given = stream.mapInPandas(_allocator(how), f"o {rows.schema['o'].dataType.simpleString()}, final_name string")
-    every = alone.union(numbered).union(given)
+    every = rows.where("kind = 'alone'").select("o", F.concat("stem", "suffix").alias("final_name"))
+    # branches that nothing takes are left out of the plan
+    met = known.agg(*(F.count_if(c) for c in (kind == "numbered", (F.col("many") == 1) & F.col("taken"), F.col("many") > 1))).head()
+    group, order_type = ["dir", "family", "suffix"], rows.schema["o"].dataType
+
+    if met[0]:
+        placed = running(rows.where("kind = 'numbered'").select(*group, "o"), group, ["o"], F.lit(1), held, "places").withColumnRenamed("before", "v")
+        copy = F.col("v")
+        if met[1]:
+            holes = known.where("taken and many = 1").select(*group, how.copy_of(F.expr("substr(stem, length(family) + 1)")).alias("v")).where("v is not null")
+            # as many numbers are missing below the i-th taken one as it says, less i; a place comes after those with no more
+            holes = running(holes, group, ["v"], F.lit(1), held, "holes").select(*group, (F.col("v") - F.col("before")).alias("v"), F.lit(0).alias("is_row"), F.lit(None).cast(order_type).alias("o"))
+            both = placed.select(*group, "v", F.lit(1).alias("is_row"), "o").union(holes)
+            placed = running(both, group, ["v", "is_row", "o"], F.col("is_row") == 0, held, "met").where("is_row = 1")
+            copy = F.col("v") + F.col("before")
+        every = every.union(placed.select("o", F.concat("family", how.column(copy), "suffix").alias("final_name")))
+
+    if met[2]:
+        takes = known.where("taken and many > 1").select(F.lit(None).cast(order_type).alias("o"), *keys, "family", F.lit(True).alias("taken"))
+        stream = rows.where("kind = 'several'").select("o", *keys, "family", F.lit(False).alias("taken")).union(takes)
+        stream = stream.withColumn("family", F.concat_ws("\u0000", *group)).repartition("family").sortWithinPartitions("family", F.desc("taken"), "o")
+        given = stream.mapInPandas(_allocator(how), f"o {order_type.simpleString()}, final_name string")
+        every = every.union(given)
     return moves.join(every.withColumnRenamed("o", ord_col), ord_col, "left")

@@ -139,7 +139,12 @@ def _cells(codes: DataFrame, threshold: int, held: Scratch, pivots: int | None,
     for r in home.groupBy("home").agg(F.count("*"), F.min("d"), F.max("d")).collect():  # a row per pivot
         groups.size[r[0]], groups.low[r[0]], groups.high[r[0]] = r[1:]
     shared = spark.sparkContext.broadcast(groups)
-    routed = held.keep(home.select("code", "home").mapInArrow(_routing(shared, threshold), "code bigint, home int, groups array<int>"), "routes")
+    routed = home.select("code", "home").mapInArrow(_routing(shared, threshold), "code bigint, home int, groups array<int>")
+    if count <= block:  # every group, and all that is sent to it, is one block
+        whole = (F.lit(0).alias("b"), F.lit(0).alias("c"), "code")
+        left = routed.select("code", "home", F.explode("groups").alias("h")).select("h", *whole, (F.col("home") == F.col("h")).alias("own"))
+        return left, home.select(F.col("home").alias("h"), *whole)
+    routed = held.keep(routed, "routes")
     sent = {r[0]: r[1] for r in routed.select(F.explode("groups").alias("h")).groupBy("h").count().collect()}  # a row per pivot
     deal = F.broadcast(spark.createDataFrame([(h, math.ceil(int(groups.size[h]) / block), math.ceil(n / block)) for h, n in sent.items()], "h int, parts int, turns int"))
     of = lambda seed, n: F.pmod(F.xxhash64("code", F.lit(seed)), F.col(n)).cast("int")
