@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.config import ArchiveConfig
 from tidemark.functions import dates, hashing, names
-from tidemark.operators import collisions, exact, filters, grouping, neardup, stats, tags
+from tidemark.operators import collisions, exact, filters, grouping, neardup, stats, tag_output, tags
 from tidemark.plans.archive import plan_archive
 from tidemark.sources import metadata
 from tidemark.sources.band_index import BandIndex
@@ -603,3 +603,25 @@ def tag_exit_status(spark, sf_dir):
     """Of each priority: orders beyond a price count as errors, and no order meets the condition."""
     counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 500000).alias("errors"), F.count_if(F.col("o_orderstatus") == "X").alias("passed"), F.count_if(F.col("o_orderstatus") != "X").alias("failed"))
     return tags.exit_status(counts, "o_orderpriority")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand AS b, p_name AS n, p_size::VARCHAR AS s, p_type AS t, string_split(p_name, ' ') AS w FROM part)
+ SELECT p_partkey, '{"Brand":' || to_json(b)::VARCHAR || ',"Item":{".":' || to_json(n)::VARCHAR || ',"Size":' || s || ',"Type":' || to_json(t)::VARCHAR || ',"Word":[' || array_to_string(list_transform(w, lambda x: to_json(x)::VARCHAR), ',') || ']}}' AS json,
+   'Array("Brand" => "' || b || '","Item" => Array("." => "' || n || '","Size" => ' || s || ',"Type" => "' || t || '","Word" => Array("' || array_to_string(w, '","') || '")))' AS php,
+   '<rdf:Description rdf:about=''part/' || p_partkey || '''><Brand>' || b || '</Brand><Item rdf:parseType=''Resource''><_.>' || n || '</_.><Size>' || s || '</Size><Type>' || t || '</Type><Word><rdf:Bag><rdf:li>' || array_to_string(w, '</rdf:li><rdf:li>') || '</rdf:li></rdf:Bag></Word></Item></rdf:Description>' AS xml FROM p""")
+def tag_struct(spark, sf_dir):
+    """Flat tag paths as trees: members, a list, and a value that has members beside it."""
+    words = F.split("p_name", " ")
+    plain = F.create_map(F.lit("Item.Type"), F.col("p_type"), F.lit("Brand"), F.col("p_brand"), F.lit("Item"), F.col("p_name"), F.lit("Item.Size"), F.col("p_size").cast("string"))
+    listed = F.map_from_entries(F.transform(words, lambda w, i: F.struct(F.concat(F.lit("Item.Word["), i.cast("string"), F.lit("]")), w)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.map_concat(listed, plain).alias("meta"))
+    about = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
+    return rows.select("p_partkey", tag_output.nested(F.col("meta")).alias("json"), tag_output.nested(F.col("meta"), tag_output.PHP).alias("php"), tag_output.description(F.col("meta"), about).alias("xml"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS t, user_id::VARCHAR AS u, json_extract_string(props, '$.k') AS k FROM events)
+ SELECT event_id, '<table><tr><td>Event:Type</td><td>' || t || '</td></tr><tr><td>Event:User</td><td>' || u || '</td></tr>' || coalesce('<tr><td>k</td><td>' || k || '</td></tr>', '') || '</table>' AS html,
+   'Event:Type' || chr(9) || t || chr(10) || 'Event:User' || chr(9) || u || coalesce(chr(10) || 'k' || chr(9) || k, '') AS tabs FROM e""")
+def tag_tables_as_text(spark, sf_dir):
+    kept = tags.project(F.col("meta"), keep=["Event:Type", "Event:User", "k"])
+    return _tagged(spark, sf_dir).select("event_id", tag_output.html_table(kept).alias("html"), tag_output.tab_table(kept).alias("tabs"))
