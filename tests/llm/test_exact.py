@@ -104,9 +104,14 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert got == near_truth(rows, 3, 85)
 
 
-@pytest.mark.parametrize("block", [1024, 50])
-def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch, block):
-    """Planted pairs just above the threshold among texts just below it, which share the tables of all the others."""
+@pytest.mark.parametrize("block, few, changes, kept", [(1024, 8, 7, 2), (50, 0, 7, 2), (None, 8, 14, 12)])
+def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch, block, few, changes, kept):
+    """Planted pairs above the threshold among texts below it, which share the tables of all the others.
+
+    Texts just below the threshold are compared in blocks; those further off meet by rare shingles alone."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    if block is None:
+        monkeypatch.setattr(neardup, "_in_blocks", None)
     monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
     rng = random.Random(6)
     base = prose(rng, 400).split()
@@ -119,11 +124,11 @@ def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch, blo
         rows.append((len(rows), " ".join(w)))
 
     for k in range(300):
-        own = {at: f"n{k}x{at}" for at in rng.sample(range(2, 398, 4), 7)}
+        own = {at: f"n{k}x{at}" for at in rng.sample(range(2, 398, 4), changes)}
         add(own)
         if k < 40:
-            kept = dict(list(own.items())[:2])
-            add(kept | {at: f"m{k}x{at}" for at in rng.sample([x for x in range(2, 398, 4) if x not in own], 5)})
+            same = dict(list(own.items())[:kept])
+            add(same | {at: f"m{k}x{at}" for at in rng.sample([x for x in range(2, 398, 4) if x not in own], changes - kept)})
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), shingle=3, percent=85).collect()}
     want = near_truth(rows, 3, 85)
     assert sum(not kept for _, _, kept in want.values()) >= 40

@@ -21,11 +21,13 @@ Plan, each step over all rows and none with an unbounded group in a task:
    sets, which a second scan writes once, for the classes of stars and pairs.
    Links are closed into components by label propagation with pointer jumping.
    All of it stays on the executors.
-5. Stars that then still hold several components are compared in full: their
-   members form families (stars with a common member are one family), and every
-   pair of a family's blocks counts the common shingles of all its pairs of
-   different components. This is quadratic in the members of a family that are
-   not yet connected, in blocks of bounded size.
+5. Within stars that then still hold several components, members meet where they
+   share one of their rarest shingles, as many of them as a linked pair must have
+   in common, and those pairs are verified. A shingle that many begin with is no
+   such place: its members form families (stars with a common member are one
+   family), and every pair of a family's blocks counts the common shingles of all
+   its pairs of different components. That is quadratic in those members alone,
+   in blocks of bounded size.
 
 So a pair that shares a table is compared, or its texts are in one component
 already: nothing depends on how large a bucket is.
@@ -46,6 +48,8 @@ from .shared import Scratch
 
 #: Largest bucket that gives all its pairs.
 SMALL = 8
+#: Most sets that begin with a rare shingle and give their pairs at once.
+FEW = 8
 #: Pairs of one pivot that meet its set in a task.
 FAN = 512
 #: About the most classes, and shingles of all of them, in a block of a family.
@@ -280,11 +284,37 @@ def _block_links(percent: int):
     return compare
 
 
-def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, held: Scratch) -> DataFrame | None:
-    """Links that join all components that pairs within stars link; None if no star holds several.
+def _by_prefixes(rows: DataFrame, percent: int, held: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (pivot, rep) of different components among rows (u, rep, component, s), and the reps (rep) that
+    also have to be compared in blocks.
 
-    A family's largest component needs no comparison with itself: its members lie in blocks of their own (0, 2, ...).
+    The shingles of a set are put in order, rare ones first. Of two linked sets, the larger one's first n - ceil(p n) + 1
+    and the smaller one's first m - ceil(2 p m / (1 + p)) + 1 have one in common, so they meet where they share one of
+    those. A shingle that up to ``FEW`` smaller sets begin with gives its pairs, at most ``FEW`` for each set that
+    meets it there; the sets of any other are left to the blocks. The order of shingles changes nothing but the speed.
     """
+    tokens = rows.select("u", "rep", "component", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counts = held.keep(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "token-counts")
+    share = (counts.agg(F.sum("c")).head()[0] or 0) >> 14
+    often = tokens.join(F.broadcast(counts.where(F.col("c") > share)), "t", "left")  # fewer than 2^14 shingles have that share
+    seldom = often.where("c is null").drop("c").join(counts.where(F.col("c") <= share), "t", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    placed = often.where("c is not null").unionByName(seldom)
+    order = placed.groupBy("u", "rep").agg(*(F.first(c).alias(c) for c in ("component", "n")), F.array_sort(F.collect_set(F.struct("c", "t"))).alias("o"))
+    longer, shorter = F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    first = F.transform(F.slice("o", F.lit(1), longer.cast("int")), lambda x, i: F.struct(x["c"].alias("c"), x["t"].alias("t"), (i < shorter).alias("own")))
+    begin = order.select("rep", "component", "n", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x")).select("rep", "component", "n", "x.t", "x.own")
+    begin = held.keep(begin, "prefixes")
+    groups = begin.groupBy("t").agg(F.count_if("own").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("k > 0 and lo <> hi")
+    met = held.keep(begin.join(groups.select("t", (F.col("k") > FEW).alias("many")), "t"), "prefix-hits")
+    few = met.where("not many")
+    x, y = few.select("t", *(F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n"))), few.where("own").select("t", *(F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n")))
+    pairs = x.join(y, "t").where(f"component_x <> component_y and n_y <= n_x and 100 * n_y >= {percent} * n_x")
+    pairs = held.keep(pairs.select(F.least("rep_x", "rep_y").alias("pivot"), F.greatest("rep_x", "rep_y").alias("rep")).distinct(), "prefix-pairs")
+    return pairs, met.where("many").select("rep").distinct()
+
+
+def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, held: Scratch) -> DataFrame | None:
+    """Links that join all components that pairs within stars link; None if no star holds several."""
     named = labels.toDF("rep", "component")
     at_pivot = labels.toDF("pivot", "c")
     known = stars.join(named, "rep", "left").join(at_pivot, "pivot", "left").withColumns({"component": F.coalesce("component", "rep"), "c": F.coalesce("c", "pivot")})
@@ -293,14 +323,28 @@ def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, he
     if not large.limit(1).count():
         held.drop("mixed")
         return None
-    family = components(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), held, "families").toDF("rep", "family")
-    members = large.select("rep", "component").union(large.select("pivot", "c")).distinct().join(family, "rep")
-    members = held.keep(members, "members")
-    main = members.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    members = members.join(main, "family").withColumn("rest", (F.col("component") != F.col("main")).cast("int")).drop("main")
-
+    members = large.select("rep", "component").union(large.select("pivot", "c")).distinct()
     # repeated ids have a row for each of their texts
-    rows = held.keep(members.join(sets.toDF("rep", "s"), "rep"), "family-sets")
+    rows = held.keep(members.join(sets.toDF("rep", "s"), "rep").withColumn("u", F.xxhash64("rep", "s")), "member-sets")
+    pairs, many = _by_prefixes(rows, percent, held)
+    many = held.keep(many, "many")
+    out = _verified(pairs, rows.select("rep", "s"), percent)
+    if many.limit(1).count():
+        out = out.union(_in_blocks(large.join(many, "rep", "left_semi"), rows.join(many, "rep", "left_semi"), percent, held))
+    out = held.keep(out.distinct(), "rest")
+    held.drop("mixed", "member-sets", "token-counts", "prefixes", "prefix-hits", "prefix-pairs", "many", "families", "family-sets")
+    return out
+
+
+def _in_blocks(large: DataFrame, rows: DataFrame, percent: int, held: Scratch) -> DataFrame:
+    """Links between the sets of rows that the stars of large bring together in families.
+
+    A family's largest component needs no comparison with itself: its members lie in blocks of their own (0, 2, ...).
+    """
+    family = components(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), held, "families").toDF("rep", "family")
+    rows = held.keep(rows.select("rep", "component", "s").join(family, "rep"), "family-sets")
+    main = rows.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = rows.join(main, "family").withColumn("rest", (F.col("component") != F.col("main")).cast("int")).drop("main")
     sizes = rows.groupBy("family", "rest").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("s")) / BLOCK_SHINGLES)).cast("int").alias("k"))
     deal = sizes.groupBy("family").agg(*(F.coalesce(F.max(F.when(F.col("rest") == r, F.col("k"))), F.lit(0)).alias(f"k{r}") for r in (0, 1)))
     rows = rows.join(deal, "family")
@@ -309,6 +353,4 @@ def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, he
     others = F.when(F.col("rest") == 1, F.concat(blocks(0), blocks(1))).otherwise(blocks(1))
     pairs = rows.withColumn("side", side).withColumn("other", F.explode(others))
     pairs = pairs.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "component", "s")
-    out = held.keep(pairs.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct(), "rest")
-    held.drop("mixed", "members", "family-sets")
-    return out
+    return pairs.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
