@@ -28,7 +28,7 @@ def in_order(template, rows, taken):
             text = ""
             if copy or dot:
                 width = max(int(w or 0), int(w2 or 0))
-                text = {"-": "-", "+": "_"}.get(sign, "") + ((letters.upper() if kind == "u" else letters) if kind in ("l", "u") else str(copy + (kind == "n")).zfill(width))
+                text = {"-": "-", "+": "_"}.get(sign, "") + ((letters.upper() if kind == "u" else letters).rjust(width, "A" if kind == "u" else "a") if kind in ("l", "u") else str(copy + (kind == "n")).zfill(width))
             name = (template[: m.start()] + text + template[m.end() :]).replace("%f", f).replace("%e", e)
             if (folder, name) not in taken:
                 break
@@ -38,7 +38,7 @@ def in_order(template, rows, taken):
     return out
 
 
-TEMPLATES = ["%f%+c.%e", "%f%-c.%e", "%f%c.%e", "%f%nc.%e", "%f%+3.c.%e", "%f%-.2nc.%e", "%f%-lc.%e", "%f%+.uc.%e", "%f%lc.%e", "x%c.txt", "%f%-3nc"]
+TEMPLATES = ["%f%+c.%e", "%f%-c.%e", "%f%c.%e", "%f%nc.%e", "%f%+3.c.%e", "%f%-.2nc.%e", "%f%-lc.%e", "%f%+.uc.%e", "%f%lc.%e", "x%c.txt", "%f%-3nc", "%f%-3lc.%e", "%f%.2uc.%e", "x%-2lc.%e", "x%2uc", "%f%-cZ.%e", "x%-:2cZ.y.txt", "%c.txt", "%c%f.x".replace("%f", "1"), "%f%+2lc Z"]
 
 
 @pytest.mark.parametrize("template", TEMPLATES)
@@ -46,7 +46,7 @@ def test_unused_names_equal_a_pass_in_order(spark, template):
     rng = random.Random(template)
     stems = ["a", "a_1", "a-1", "a1", "a2", "a_001", "a-b", "ab", "a_B", "a10", "a_1_1", "IMG_0001", "IMG_0002", "z", "1"]
     rows = [(rng.choice("pq"), rng.choice(stems[: rng.choice([3, 15])]), rng.choice(["x", "y"])) for _ in range(160)]
-    taken = {(rng.choice("pq"), rng.choice(stems) + rng.choice(["", "_1", "-2", "3", "-c", "_A", "_002", "-02", "b"]) + rng.choice([".x", ".y", ""])) for _ in range(60)}
+    taken = {(rng.choice("pq"), rng.choice(stems) + rng.choice(["", "_1", "-2", "3", "-c", "_A", "_002", "-02", "b", "-aab", "-1Z", "Z", "-ab"]) + rng.choice([".x", ".y", "", ".txt", "Z.y.txt", " Z"])) for _ in range(60)}
     df = spark.createDataFrame([(k, f"/{d}/{f}.{e}") for k, (d, f, e) in enumerate(rows)], "ord bigint, path string")
     there = spark.createDataFrame([(f"/{d}", n) for d, n in taken], "folder string, name string")
     got = [r.name for r in tags.unused_names(df, "%d" + template, "path", "ord", there).orderBy("ord").collect()]
@@ -54,7 +54,7 @@ def test_unused_names_equal_a_pass_in_order(spark, template):
 
 
 def test_numbers_and_letters(spark):
-    for how in (Numbering(), Numbering("-", 3, 1, True), Numbering("", letters="lower"), Numbering("_", always=True, letters="upper")):
+    for how in (Numbering(), Numbering("-", 3, 1, True), Numbering("", letters="lower"), Numbering("_", always=True, letters="upper"), Numbering("-", 3, letters="lower"), Numbering("", 2, always=True, letters="upper")):
         df = spark.range(0, 2000, 7).withColumn("t", how.column(F.col("id"))).withColumn("back", how.copy_of(F.col("t")))
         for r in df.collect():
             assert r.t == how.text(r.id) and r.back == r.id
@@ -63,11 +63,47 @@ def test_numbers_and_letters(spark):
     for _ in range(800):
         want.append(after(want[-1]))
     assert letters == want[1:] and letters[25:28] == ["z", *(string.ascii_lowercase[0] + c for c in "ab")]
-    for bad in ("%f.%e", "%f%c%c.%e", "%c%f.%e", "%f%2lc.%e"):
+    for bad in ("%f.%e", "%f%c%c.%e", "%c%f.%e", "%f%8lc.%e", "%f%c%e", "%f%c/x"):
         with pytest.raises(ValueError):
             numbering(bad)
 
 
+def test_names_by_place_equal_a_pass_in_order(spark):
+    rng = random.Random(5)
+    rows = [(k * 3, None if k % 50 == 9 else f"/{rng.choice('ppppq')}/{rng.choice('ab')}.x") for k in range(300)]
+    df = spark.createDataFrame(rows, "ord bigint, path string").withColumns({"part": F.lit(1), "before": F.lit(2), "name": F.lit("n")}).repartition(5)
+    got = tags.sequence_names(df, "%d%f_%2C_%-7.3C_%-.2uC_%-.2nC%%.%e")
+    assert {r.ord: r.name for r in got.collect()} == by_place(rows)
+    assert got.columns == ["ord", "path", "part", "before", "name"] and tags.sequence_names(df.limit(0), "%C").count() == 0
+    # with a copy number after it: names of the same place in two folders
+    flat = {r.ord: r.name for r in tags.unused_names(df, "/o/%-.3C%-c.%e").collect()}
+    met, want = {}, {}
+    for o, p in rows:
+        if p:
+            at = sum(1 for o2, p2 in rows if o2 < o and p2 and p2[:3] == p[:3])
+            n = met[at] = met.get(at, -1) + 1
+            want[o] = f"/o/{at:03d}{'-' + str(n) if n else ''}.x"
+    assert {o: n for o, n in flat.items() if n} == want
+    for bad in ("%:C", "%-3:2C"):
+        with pytest.raises(ValueError):
+            tags.sequence_names(df, bad)
+    with pytest.raises(ValueError):
+        tags.output_name("%C", F.col("path"))
+
+
+def by_place(rows):
+    of_all, of_folder, out = 0, {}, {}
+    for o, p in rows:
+        folder = p[:3] if p else None
+        k = of_folder.get(folder, 0)
+        letters = ""
+        for _ in range(k + 1):
+            letters = after(letters)
+        out[o] = f"{p[:-2]}_{of_all + 2}_{k + 7:03d}_{letters.upper().rjust(2, 'A')}_{k + 1:02d}%.x" if p else None
+        of_all, of_folder[folder] = of_all + 1, k + 1
+    return out
+
+
 def test_camera_names_are_no_family(spark):
     rows = spark.range(1000).select(F.lit("d").alias("dir"), F.format_string("IMG_%04d", "id").alias("stem"), F.lit(".HEIC").alias("suffix"))
     got = families(rows, rows.limit(0), Numbering())

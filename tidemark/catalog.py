@@ -355,20 +355,20 @@ def collision_families(spark, sf_dir):
     return collisions.unique_names(rows, existing=there).select(F.col("ord").alias("p_partkey"), "final_name")
 
 
-def _copies_sql(text: str, taken: str, first: str) -> str:
+def _copies_sql(text: str, taken: str, first: str, end: str = ".jpg") -> str:
     """The m-th number that is missing among the taken ones, by a list of all."""
     return f"""WITH s AS (SELECT p_partkey, p_size, replace(p_name, ' ', '_') AS stem FROM part),
  t AS (SELECT stem, list(DISTINCT k) AS taken FROM (SELECT stem, {taken} AS k FROM s WHERE p_partkey % 4 = 0) GROUP BY stem),
  r AS (SELECT p_partkey, stem, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS m, count(*) OVER (PARTITION BY stem) AS n FROM s),
  k AS (SELECT p_partkey, r.stem, list_filter(range(0, n + 60), lambda x: NOT list_contains(coalesce(taken, []), x))[m] AS k FROM r LEFT JOIN t USING (stem))
- SELECT p_partkey, '/out/' || stem || CASE WHEN k = 0 THEN '{first}' ELSE {text} END || '.jpg' AS name FROM k"""
+ SELECT p_partkey, '/out/' || stem || CASE WHEN k = 0 THEN '{first}' ELSE {text} END || '{end}' AS name FROM k"""
 
 
-def _copy_numbers(spark: SparkSession, sf_dir: str, template: str, taken: Column) -> DataFrame:
+def _copy_numbers(spark: SparkSession, sf_dir: str, template: str, taken: Column, end: str = ".jpg") -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lit("/in/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("path"))
-    _, how = collisions.numbering(template)
+    _, how, _ = collisions.numbering(template)
     stem = F.concat(names.stem(names.file_name(F.col("path"))))
-    there = parts.where("p_partkey % 4 = 0").select(F.lit("/out").alias("folder"), F.concat(stem, how.column(taken), F.lit(".jpg")).alias("name"))
+    there = parts.where("p_partkey % 4 = 0").select(F.lit("/out").alias("folder"), F.concat(stem, how.column(taken), F.lit(end)).alias("name"))
     return tags.unused_names(parts, "/out/" + template, "path", "p_partkey", there).select("p_partkey", "name")
 
 
@@ -384,6 +384,20 @@ def copy_letters(spark, sf_dir):
     return _copy_numbers(spark, sf_dir, "%f%+.uc.%e", F.col("p_size") % 50)
 
 
+@query(_copies_sql("'-' || chr((65 + i // 676)::INT) || chr((65 + i // 26 % 26)::INT) || chr((65 + i % 26)::INT)", "p_size % 50", "", " copy.jpg").replace("m] AS k FROM r", "m] AS k, CASE WHEN k = 26 THEN 0 WHEN k < 26 THEN k ELSE k - 1 END AS i FROM r"))
+def copy_letters_filled(spark, sf_dir):
+    """Copies by three letters within a name, the first name without any."""
+    return _copy_numbers(spark, sf_dir, "%f%-3uc copy.%e", F.col("p_size") % 50, " copy.jpg")
+
+
+@query("""SELECT p_partkey, '/out/' || printf('%06d', 99 + row_number() OVER (ORDER BY p_partkey)) || '-' || printf('%03d', row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) || '_' || replace(p_name, ' ', '_') || '.jpg' AS name FROM part""")
+def sequence_names(spark, sf_dir):
+    """Names by place: among all files from 100 on, and within the folder from 1 on."""
+    path = F.concat(F.lit("/in/"), F.col("p_brand"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return tags.sequence_names(parts, "/out/%100.6C-%-.3nC_%f.%e", "path", "p_partkey").select("p_partkey", "name")
+
+
 # --- whole plan, statistics, state ------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ IMG_0002.jpg do not meet, while a.jpg, wanted twice, and a_1.jpg do: they are a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,7 +34,9 @@ LETTERS = 7
 class Numbering:
     """How the copies of a name are told apart. Copy 0 is the name itself, unless it too has a number (``always``).
 
-    Numbers are the copy's plus ``shift``, filled with zeros up to ``width``; letters run a ... z, aa ... from copy 0 on.
+    Numbers are the copy's plus ``shift``, filled with zeros up to ``width``; letters run a ... z, aa ... from copy 0 on, filled
+    with a up to ``width``: aaa, aab ... zzz, aaaa. Where copy 0 has none, copies begin with b, and the text of a's alone, which
+    aa filled up gives again, comes 26th.
     """
 
     separator: str = "_"
@@ -43,13 +45,19 @@ class Numbering:
     always: bool = False
     letters: str = ""  # "", "lower" or "upper"
 
+    @property
+    def _first(self) -> int:
+        """The place of the first text of letters among a, b ... z, aa ..., from 1 on."""
+        return sum(26**i for i in range(max(self.width, 1)))
+
     def text(self, copy: int) -> str:
         """What stands between stem and suffix."""
         if not copy and not self.always:
             return ""
         if not self.letters:
             return f"{self.separator}{copy + self.shift:0{self.width}d}"
-        n, out = copy + 1, ""
+        late = self.width > 1 and not self.always
+        n, out = self._first + (copy if not late or copy < 26 else 0 if copy == 26 else copy - 1), ""
         while n:
             n, digit = divmod(n - 1, 26)
             out = chr(97 + digit) + out
@@ -60,7 +68,8 @@ class Numbering:
         if self.letters:
             digit = lambda n: F.char(F.lit(97) + (n - 1) % 26)
             step = lambda a, _: F.when(a["n"] > 0, F.struct((F.floor((a["n"] - 1) / 26)).cast("bigint").alias("n"), F.concat(digit(a["n"]), a["s"]).alias("s"))).otherwise(a)
-            body = F.aggregate(F.sequence(F.lit(1), F.lit(LETTERS)), F.struct((copy + 1).cast("bigint").alias("n"), F.lit("").alias("s")), step, lambda a: a["s"])
+            place = F.when(copy < 26, copy).when(copy == 26, 0).otherwise(copy - 1) if self.width > 1 and not self.always else copy
+            body = F.aggregate(F.sequence(F.lit(1), F.lit(LETTERS)), F.struct((place + self._first).cast("bigint").alias("n"), F.lit("").alias("s")), step, lambda a: a["s"])
             body = F.upper(body) if self.letters == "upper" else body
         else:
             body = (copy + self.shift).cast("string")
@@ -73,7 +82,9 @@ class Numbering:
         after = F.substr(middle, F.lit(len(self.separator) + 1))
         if self.letters:
             chars = F.split(F.lower(after), "")
-            value = F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, c: a * 26 + F.ascii(c) - 96) - 1
+            value = F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, c: a * 26 + F.ascii(c) - 96) - self._first
+            if self.width > 1 and not self.always:
+                value = F.when(value == 0, 26).when(value < 26, value).otherwise(value + 1)
             fits = after.rlike(f"^[a-zA-Z]{{1,{LETTERS}}}$")
         else:
             value, fits = after.try_cast("bigint") - self.shift, after.rlike(r"^\d{1,18}$")
@@ -94,21 +105,39 @@ class Numbering:
 
 #: ``%[-+][width][.][width][lun]c``: a dash or an underline before the copy, digits to fill up to, a dot if the first name has
 #: one too, letters in lower or upper case, or numbers from 1 on (from 2 on if the first name has none).
-COPY = re.compile(r"%([-+]?)(\d*)(\.?)(\d*)([lun]?)c")
+COPY = re.compile(r"%([-+]?)(\d*)([.:]?)(\d*)([lun]?)c")
+
+#: How a name is taken apart: what comes before a copy number, and what comes after it.
+Split = Callable[[Column], tuple[Column, Column]]
+
+
+def by_suffix(name: Column) -> tuple[Column, Column]:
+    return names.stem(name), names.suffix(name)
 
 
-def numbering(template: str) -> tuple[str, Numbering]:
-    """A name's template without its copy number, and what that says."""
+def numbering(template: str) -> tuple[str, Numbering, Split]:
+    """A name's template without its copy number, what that says, and how names are cut where it stands.
+
+    After the copy number come fixed characters and perhaps ``.%e``: then every name can be cut in one way only.
+    """
     found = COPY.search(template)
     if found is None or COPY.search(template, found.end()):
         raise ValueError("a template needs one copy number")
-    if not re.match(r"(\.[^./]+|\.?%e)?\Z", template[found.end() :]):
-        raise ValueError("a copy number stands at the end or before the extension")
+    rest = template[found.end() :]
+    if not re.fullmatch(r"[^%/]*(\.%e)?", rest):
+        raise ValueError("after a copy number come fixed characters, then .%e if it is wanted")
+    ending = re.escape(rest.removesuffix("%e")) + ("[^./]*" if rest.endswith("%e") else "")
+
+    def cut(name: Column) -> tuple[Column, Column]:
+        end = F.regexp_extract(name, f"(?s)({ending})\\z", 1)
+        return F.substr(name, F.lit(1), F.length(name) - F.length(end)), end
+
     sign, width, dot, more, kind = found.groups()
     letters = {"l": "lower", "u": "upper"}.get(kind, "")
-    if letters and max(int(width or 0), int(more or 0)) > 1:
-        raise ValueError("copies by letters are not filled up")
-    return template[: found.start()] + template[found.end() :], Numbering({"-": "-", "+": "_"}.get(sign, ""), max(int(width or 0), int(more or 0)), int(kind == "n"), bool(dot), letters)
+    places = max(int(width or 0), int(more or 0))
+    if letters and places > LETTERS:
+        raise ValueError(f"copies have {LETTERS} letters at most")
+    return template[: found.start()] + rest, Numbering({"-": "-", "+": "_"}.get(sign, ""), places, int(kind == "n"), bool(dot), letters), cut
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], flag: Column, held: Scratch, name: str) -> DataFrame:
@@ -162,13 +191,14 @@ def families(wanted: DataFrame, there: DataFrame, how: Numbering) -> DataFrame:
     return named.join(sizes.where("rows > 0"), ["dir", "family", "suffix"])
 
 
-def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", ord_col: str = "ord", existing: DataFrame | None = None, how: Numbering = Numbering()) -> DataFrame:  # noqa: B008
-    """moves with final_name; ``existing`` has the (folder, name) pairs that are already there.
+def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", ord_col: str = "ord", existing: DataFrame | None = None, how: Numbering = Numbering(), split: Split = by_suffix) -> DataFrame:  # noqa: B008
+    """moves with final_name; ``existing`` has the (folder, name) pairs that are already there. Copies are told apart where
+    ``split`` cuts a name.
 
     Orders are unique. Rows without a folder or a name get none.
     """
     held = Scratch(moves.sparkSession, "names")
-    parts = lambda n: (names.stem(F.col(n)).alias("stem"), names.suffix(F.col(n)).alias("suffix"))
+    parts = lambda n: [c.alias(a) for c, a in zip(split(F.col(n)), ("stem", "suffix"), strict=True)]
     rows = moves.select(F.col(ord_col).alias("o"), F.col(folder).alias("dir"), F.col(name).alias("name")).select("o", "dir", *parts("name"))
     asked = rows.where("dir is not null and stem is not null")
     if existing is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,8 +142,6 @@ def from_json_object(text: Column) -> Column:
 
 def print_format(template: str, meta: Column) -> Column:
     """The template with each $Tag or ${Tag} replaced by the tag's value, '-' where it is missing; $$ is a dollar."""
-    import re
-
     parts = []
     for m in re.finditer(r"\$\$|\$\{([\w:-]+)\}|\$([\w:]+)|[^$]+|\$", template):
         tag = m[1] or m[2]
@@ -174,21 +174,67 @@ def sorted_lines(meta: Column, separator: str = "\t") -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["v"]), separator, "")
 
 
-def output_name(template: str, path: Column) -> Column:
-    """The template with %d, %f and %e replaced by folder (with its slash), stem and extension of the path; %% is a per cent."""
-    import re
+#: ``%[-][start][.width][lun]C``: the place of an item among all in their order, or with a dash among those of its folder,
+#: counted from ``start`` (0 if there is none, with n one more), by numbers filled with zeros or letters filled with a.
+SEQUENCE = re.compile(r"%([-+]?)(\d*)(\.?)(\d*)([lun]?)C")
+_CODES = re.compile(rf"(?P<place>{SEQUENCE.pattern})|%[dfe%]|[^%]+|%")
+
+
+def _place_text(code: re.Match, before: Column) -> Column:
+    _, start, _, width, kind = SEQUENCE.fullmatch(code["place"]).groups()
+    place = before + int(start or 0)
+    if kind in ("l", "u"):
+        body, fill = collisions.Numbering("", always=True, letters="upper" if kind == "u" else "lower").column(place), "A" if kind == "u" else "a"
+    else:
+        body, fill = (place + int(kind == "n")).cast("string"), "0"
+    return F.lpad(body, F.greatest(F.length(body), F.lit(int(width or 0))), F.lit(fill))
+
 
+def output_name(template: str, path: Column, places: dict[str, Column] | None = None) -> Column:
+    """The template with %d, %f and %e replaced by folder (with its slash), stem and extension of the path; %% is a per cent.
+
+    Places in an order (``SEQUENCE``) need a look at all items: ``sequence_names`` and ``unused_names`` give them.
+    """
     name = names.file_name(path)
     folder = F.regexp_extract(names.slashed(path), r"^(.*/)?[^/]*$", 1)
-    parts = {"%d": folder, "%f": names.stem(name), "%e": F.ltrim(names.suffix(name), F.lit("."))}
-    return F.concat(*(parts.get(m, F.lit("%" if m == "%%" else m)) for m in re.findall(r"%[dfe%]|[^%]+|%", template)), F.lit(""))
+    parts = {"%d": folder, "%f": names.stem(name), "%e": F.ltrim(names.suffix(name), F.lit(".")), "%%": F.lit("%")}
+    out = [F.lit("")]
+    for code in _CODES.finditer(template):
+        if code["place"] and places is None:
+            raise ValueError("places in an order are given by sequence_names or unused_names")
+        out.append(_place_text(code, places["-" if code["place"][1] == "-" else ""]) if code["place"] else parts.get(code[0], F.lit(code[0])))
+    return F.concat(*out)
+
+
+def _named(items: DataFrame, template: str, path: str, ord_col: str) -> DataFrame:
+    """ord and the template's name of each path. Places are running counts over ranges of the order, so neither all items nor
+    those of one folder meet in a task."""
+    if re.search(r"%[-+]?\d*:\d*[lun]?C", template):
+        raise ValueError("a place in an order does not move on where a name is taken; add a copy number")
+    kinds = {"-" if m[1] == "-" else "" for m in SEQUENCE.finditer(template)}
+    rows, held = items.select(F.col(ord_col).alias("ord"), F.col(path).alias("path")), Scratch(items.sparkSession, "sequence")
+    if "" in kinds:
+        rows = collisions.running(rows, [], ["ord"], F.lit(1), held, "all").withColumnRenamed("before", "of_all")
+    if "-" in kinds:
+        rows = rows.withColumn("folder", F.coalesce(names.parent(F.col("path")), F.lit("")))
+        rows = collisions.running(rows, ["folder"], ["ord"], F.lit(1), held, "folders").withColumnRenamed("before", "of_folder")
+    return rows.select("ord", output_name(template, F.col("path"), {"": F.col("of_all"), "-": F.col("of_folder")}).alias("whole"))
+
+
+def sequence_names(items: DataFrame, template: str, path: str = "path", ord_col: str = "ord") -> DataFrame:
+    """items with ``name``: the template's name for each path, with its place in the order (see ``SEQUENCE``).
+
+    Orders are unique. Items without a path take a place and get no name.
+    """
+    given = _named(items, template, path, ord_col).select(F.col("ord").alias(ord_col), F.col("whole").alias("name"))
+    return items.drop("name").join(given, ord_col)
 
 
 def unused_names(items: DataFrame, template: str, path: str = "path", ord_col: str = "ord", existing: DataFrame | None = None) -> DataFrame:
     """items with ``name``: the template's name for each path, with the first copy number that is neither taken by a file of
-    ``existing`` (folder, name) nor by an item before it in order. The template has one ``%c`` (see ``collisions.COPY``)."""
-    plain, how = collisions.numbering(template)
-    whole = output_name(plain, F.col(path))
-    rows = items.select(F.col(ord_col).alias("ord"), names.parent(whole).alias("folder"), names.file_name(whole).alias("name"))
-    given = collisions.unique_names(rows, existing=existing, how=how).select(F.col("ord").alias(ord_col), F.concat("folder", F.lit("/"), "final_name").alias("name"))
+    ``existing`` (folder, name) nor by an item before it in order. The template has one ``%c`` (see ``collisions.COPY``), and
+    before it any number of places in the order."""
+    plain, how, split = collisions.numbering(template)
+    rows = _named(items, plain, path, ord_col).select("ord", names.parent(F.col("whole")).alias("folder"), names.file_name(F.col("whole")).alias("name"))
+    given = collisions.unique_names(rows, existing=existing, how=how, split=split).select(F.col("ord").alias(ord_col), F.concat("folder", F.lit("/"), "final_name").alias("name"))
     return items.drop("name").join(given, ord_col)
