@@ -338,3 +338,28 @@ def test_embedded_times_are_used(spark, tmp_path):
     (source / "a.jpg").write_bytes(b"\xff\xd8\xff\xe1\x00\x40Exif\x00\x00" + tiff)
     assert cli.run(cli.parser().parse_args(["--source", str(source), "--target", str(target), "--duplicates", str(tmp_path / "dup")]), spark) == 0
     assert (target / "2011" / "03" / "a.jpg").exists()
+
+
+def test_images_that_cannot_be_decoded_are_refused_or_told(spark, tmp_path, monkeypatch, caplog):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.jpg").write_bytes(b"no image")
+    (tmp_path / "s" / "b.mov").write_bytes(b"no image either")
+    (tmp_path / "s" / ".c.jpg").write_bytes(b"hidden")
+    monkeypatch.setattr(cli.importlib.util, "find_spec", lambda _: None)
+    with pytest.raises(config.ConfigError, match="1 images"):
+        cli.run(arguments(tmp_path, "--phash"), spark)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == [".c.jpg", "a.jpg", "b.mov"]
+    monkeypatch.setattr(cli.importlib.util, "find_spec", lambda _: object())
+    with caplog.at_level("WARNING"):
+        assert cli.run(arguments(tmp_path, "--phash", "--dry-run"), spark) == 0
+    assert "1 images cannot be decoded" in caplog.text
+
+
+def test_the_tag_program_is_looked_for_on_the_search_path(tmp_path, monkeypatch):
+    monkeypatch.setenv("PATH", str(tmp_path))
+    assert arguments(tmp_path).exiftool is None
+    program = tmp_path / cli.READER
+    program.write_text("#!/bin/sh\n")
+    program.chmod(0o755)
+    assert arguments(tmp_path).exiftool == str(program)
+    assert arguments(tmp_path, "--exiftool", "other").exiftool == "other"

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import logging
 import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.fingerprints import fingerprint_of
 from tidemark.functions.hashing import from_hex
-from tidemark.operators import stats
+from tidemark.functions.names import class_rank, file_name, suffix
+from tidemark.operators import filters, stats
 from tidemark.plans.archive import plan_archive
 from tidemark.plans.steps import STEP, recover, run_in_steps
 from tidemark.sources import files, metadata, state
@@ -26,14 +28,18 @@ from tidemark.tables import materialise
 log = logging.getLogger("tidemark")
 
 
+#: The name of the tag program where none is given: it is looked for on the search path.
+READER = "exiftool"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Archive files by capture time, without duplicates, keeping bundles together.")
     p.add_argument("--source", required=True)
     p.add_argument("--target", required=True)
     p.add_argument("--duplicates", required=True)
-    p.add_argument("--exiftool", help="program that reads tags")
+    p.add_argument("--exiftool", default=shutil.which(READER), help="program that reads tags (default: the one on the search path)")
     p.add_argument("--dry-run", action="store_true")
-    p.add_argument("--phash", action="store_true", help="also find visual duplicates")
+    p.add_argument("--phash", action="store_true", help="also find visual duplicates; images other than portable grey maps need an image library")
     p.add_argument("--phash-threshold", type=int, default=4)
     p.add_argument("--workers", type=int, default=4, help="local executor threads")
     p.add_argument("--no-resume", action="store_true")
@@ -57,6 +63,15 @@ def _open(kept: StateLog, index: BandIndex | None, target: str, dry_run: bool) -
     return kept.state()
 
 
+def _check_fingerprints(items: DataFrame) -> None:
+    """Refuse a search for visual duplicates whose images cannot be decoded here, before anything is moved."""
+    blind = filters.visible(items).where((class_rank(suffix(file_name(F.col("path")))) == 0) & F.col("code").isNull()).count()
+    if blind and importlib.util.find_spec("PIL") is None:
+        raise config.ConfigError(f"visual duplicates were asked for, but {blind} images need an image library, which is missing")
+    if blind:
+        log.warning("%d images cannot be decoded; they are no one's visual duplicates", blind)
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     """Exit code: 0 all went well, 1 files without a time, 2 errors."""
     if not os.path.isdir(args.source):
@@ -82,7 +97,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         taken = more if taken is None else taken.union(more)
     existing = None if taken is None else materialise(taken.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name")), "existing")
     refill = lambda df: files.with_content(df.withColumn("is_candidate", F.lit(True)), path="archived_path")
-    plan = plan_archive(materialise(items, "items"), cfg, known, files.with_content, existing, refill, index, kept.next_number() if kept else 0)
+    items = materialise(items, "items")
+    if args.phash:
+        _check_fingerprints(items)
+    plan = plan_archive(items, cfg, known, files.with_content, existing, refill, index, kept.next_number() if kept else 0)
     if cfg.dry_run:
         rows = plan.rows
     elif kept is None:
