@@ -124,7 +124,7 @@ def numbering(template: str) -> tuple[str, Numbering, Split]:
     if found is None or COPY.search(template, found.end()):
         raise ValueError("a template needs one copy number")
     rest = template[found.end() :]
-    if not re.fullmatch(r"[^%/]*(\.%e)?", rest):
+    if not re.match(r"[^%/]*(\.%e)?\Z", rest):
         raise ValueError("after a copy number come fixed characters, then .%e if it is wanted")
     ending = re.escape(rest.removesuffix("%e")) + ("[^./]*" if rest.endswith("%e") else "")
 

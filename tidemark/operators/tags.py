@@ -181,7 +181,7 @@ _CODES = re.compile(rf"(?P<place>{SEQUENCE.pattern})|%[dfe%]|[^%]+|%")
 
 
 def _place_text(code: re.Match, before: Column) -> Column:
-    _, start, _, width, kind = SEQUENCE.fullmatch(code["place"]).groups()
+    _, start, _, width, kind = SEQUENCE.match(code["place"]).groups()
     place = before + int(start or 0)
     if kind in ("l", "u"):
         body, fill = collisions.Numbering("", always=True, letters="upper" if kind == "u" else "lower").column(place), "A" if kind == "u" else "a"
