@@ -135,3 +135,12 @@ def test_rows_without_a_name_get_none(spark):
     df = spark.createDataFrame([(1, "d", None, "x"), (2, None, "a", "y"), (3, "d", "a", "z")], "ord bigint, folder string, name string, stem string")
     got = {r.ord: (r.final_name, r.stem) for r in collisions.unique_names(df).collect()}
     assert got == {1: (None, "x"), 2: (None, "y"), 3: ("a", "z")}
+
+
+def test_copies_go_on_beyond_their_width(spark):
+    """Numbers of two digits go on with 100, letters with AAA after ZZ, and no name is given twice."""
+    rows = spark.range(760).select(F.col("id").alias("ord"), F.lit("/in/a.jpg").alias("path"))
+    there = spark.createDataFrame([], "folder string, name string")
+    for template, at, want in (("/out/%f%-2nc.%e", 99, "/out/a-100.jpg"), ("/out/%f%+.uc.%e", 702, "/out/a_AAA.jpg")):
+        got = {r.ord: r.name for r in tags.unused_names(rows, template, "path", "ord", there).collect()}
+        assert got[at] == want and len(set(got.values())) == 760
