@@ -374,3 +374,17 @@ def test_language_equals_plain_compression(spark):
                 data = data[end:]
             sizes[lang] = size
         assert sizes[pred] == min(sizes.values())
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of a label than a sample once took, equal to a plain version over all of them."""
+    rng = random.Random(31)
+    rows = [(k, prose(rng, rng.randint(1, 6)) + "!" * rng.randint(0, 3 if k % 4 else 9)) for k in range(9000)]
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(9000)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in quality.rank_quality(frame(spark, rows), labels).collect()}
+    x = np.concatenate([quality.features(w) for w in words.slices(pa.array([t for _, t in rows]))])
+    learned = np.array([crc(k) % 3 != 1 for k in range(9000)])
+    y = (np.arange(9000) % 4 > 0).astype(int)[learned]
+    model = quality.learn(x[learned], y, (y == 0).mean())
+    assert sum(model["n"].values()) == learned.sum() and model["n"][1] > 4000
+    assert np.allclose([got[k] for k in range(9000)], quality.probability(model, x), rtol=0, atol=1e-9)
