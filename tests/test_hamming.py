@@ -125,3 +125,21 @@ def test_scratch_tables_are_emptied(spark):
     assert (df.count(), n) == (5, 5)
     held.drop("five", "none")
     assert spark.read.parquet(f"{held.root}/five").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 2, 5, 7, 10, 11])
+def test_band_pairs_equal_brute_force_and_come_once(spark, threshold):
+    reach = hamming.reaches(threshold, min(hamming.BANDS, threshold + 1))
+    assert sum(r + 1 for r in reach) == threshold + 1
+    values = clusters(40 + threshold, 6, 8, 7)
+    got = [tuple(r) for r in hamming.code_pairs(codes(spark, values), threshold).select("a", "b").collect()]
+    want = {tuple(sorted((signed(a), signed(b)))) for k, a in enumerate(values) for b in values[:k] if near(a, b) <= threshold}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_band_joins_are_cut_by_comparisons(spark):
+    """More tasks with more codes, and few of the codes are met: one in some 960 at 7 bits, where 8 bands had one in 32."""
+    reach = hamming.reaches(7, 4)
+    assert reach == [1, 1, 1, 1] and hamming.reaches(10, 4) == [2, 2, 2, 1]
+    assert hamming.tasks(spark, 4_000_000, 4_000_000, reach) > 4 * hamming.tasks(spark, 1_000_000, 1_000_000, reach) / 1.01
+    assert hamming.masks(16, 2)[0] == 0 and len(set(hamming.masks(16, 2))) == 137

@@ -1,10 +1,10 @@
 """Pairs of 64-bit fingerprints within any Hamming distance.
 
-Three ways, by threshold t:
+Two ways, by threshold t:
 
-* up to ``BAND_LIMIT`` bits: pairs share one of t + 1 bands, an equi-join;
-* up to ``PROBE_LIMIT``: one of four bands of 16 bits differs in two bits at most, so codes meet in the values that are
-  one bit off on either side;
+* up to ``PROBE_LIMIT`` bits: in one of four bands of 16 bits (fewer and wider ones below 3 bits) a pair differs in two bits
+  at most, so an equi-join finds it where one side has all values up to as many bits off. The bits are dealt over the bands
+  (10 bits: 2, 2, 2 and 1), and the join is cut in tasks by the comparisons it is to make;
 * beyond: pivots. Codes go to the nearest of a bounded number of pivots. A code is sent to another group only if that may
   hold one within t: by the triangle inequality against the least and largest distance of the group's codes to its
   pivot, and by the hyperplane between the two pivots (a code near its own pivot, and nearer by more than 2t than to the
@@ -18,22 +18,25 @@ every other: quadratic, as any exact method is there, but in blocks, without a C
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import bands, distance
 from tidemark.tables import Scratch
 
-#: Above this distance bands have under 8 bits, and an equi-join on them prunes nothing.
+#: Above this distance the bands of an index, one more than the distance, have under 8 bits and prune nothing.
 BAND_LIMIT = 7
 #: Greatest distance at which one of four bands of 16 bits differs in two bits at most.
 PROBE_LIMIT = 11
+#: Most bands of a join; rows and comparisons of a task.
+BANDS, ROWS, MET = 4, 1 << 20, 1 << 24
 #: Most pivots, whose groups' summaries are what tasks are given, and codes of a block.
 PIVOTS, BLOCK = 1024, 4096
 
@@ -173,26 +176,64 @@ def compared(codes: DataFrame, threshold: int, pivots: int | None = None, block:
     return left.join(right, ["h", "b", "c"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).head()[0]
 
 
-def band_rows(codes: DataFrame, count: int, reach: int = 0) -> DataFrame:
-    """code, band, value: the ``count`` bands of each code, and all values up to ``reach`` bits off."""
+def reaches(threshold: int, count: int) -> list[int]:
+    """Bits that each of ``count`` bands may differ in, so that two patterns within the threshold agree so far in one of
+    them at least: with r of a band, the sum of r + 1 is the threshold plus 1. -1: the band is not needed."""
+    return [(threshold + 1) // count + (k < (threshold + 1) % count) - 1 for k in range(count)]
+
+
+def edges(count: int) -> list[int]:
+    """Where the bands of ``bands`` begin and end."""
+    return [64 * k // count for k in range(count + 1)]
+
+
+def masks(width: int, reach: int) -> list[int]:
+    """All patterns of up to ``reach`` bits."""
+    return [sum(1 << b for b in bits) for n in range(reach + 1) for bits in itertools.combinations(range(width), n)]
+
+
+def band_masks(reach: list[int]) -> Column:
+    """array<array<bigint>>: by band, what a value is off by; empty for bands that are not needed."""
+    at = edges(len(reach))
+    lists = [masks(at[k + 1] - at[k], r) for k, r in enumerate(reach)]
+    return F.from_json(F.lit(str(lists)), "array<array<bigint>>")
+
+
+def band_rows(codes: DataFrame, count: int, reach: list[int] | None = None) -> DataFrame:
+    """code, band, value: the ``count`` bands of each code, and all values up to as many bits off as ``reach`` says by band."""
     parts = codes.select("*", F.explode(bands(F.col("code"), count)).alias("p")).select("*", "p.band", "p.value").drop("p")
-    for _ in range(reach):  # values that are reached twice are taken once
-        width = 64 // count if 64 % count == 0 else 64 // count + 1
-        off = [F.col("value").bitwiseXOR(F.lit(1 << k).cast("bigint")) for k in range(width)]
-        parts = parts.withColumn("value", F.explode(F.array("value", *off))).distinct()
+    if reach and any(reach):
+        off = F.explode(F.get(band_masks(reach), F.col("band")))
+        parts = parts.select("*", off.alias("off")).withColumn("value", F.col("value").bitwiseXOR(F.col("off"))).drop("off")
     return parts
 
 
+def tasks(spark: SparkSession, asking: int, asked: int, reach: list[int]) -> int:
+    """Tasks of a join by bands, so that each has a bounded number of rows to sort and, of codes that are drawn evenly, to
+    compare. Spark alone would go by bytes, which are few beside the comparisons."""
+    at = edges(len(reach))
+    values = [(math.comb(at[k + 1] - at[k], n), at[k + 1] - at[k]) for k, r in enumerate(reach) for n in range(r + 1)]
+    rows = asking * sum(n for n, _ in values) + asked * len(reach)
+    met = asking * asked * sum(n / 2.0**w for n, w in values)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS), math.ceil(met / MET))
+
+
+def _band_pairs(codes: DataFrame, threshold: int) -> DataFrame:
+    """Distinct codes a < b within the threshold, by bands: one side is probed, and a pair is told by its first band."""
+    reach = reaches(threshold, min(BANDS, threshold + 1))
+    at, n = edges(len(reach)), codes.count()
+    parts = tasks(codes.sparkSession, n, n, reach)
+    a, b = (band_rows(codes, len(reach), r).withColumnRenamed("code", side).repartition(parts, "band", "value") for side, r in (("a", reach), ("b", None)))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    part = lambda k: F.bit_count(F.shiftrightunsigned(x, at[k]).bitwiseAND(F.lit((1 << (at[k + 1] - at[k])) - 1)))
+    sooner = F.lit(False)
+    for k, r in enumerate(reach[:-1]):
+        sooner = sooner | ((F.col("band") > k) & (part(k) <= r))
+    met = a.join(b.hint("merge"), ["band", "value"])
+    return met.where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= threshold) & ~sooner).select("a", "b")
+
+
 def code_pairs(codes: DataFrame, threshold: int, held: Scratch | None = None) -> DataFrame:
     """Distinct codes a < b within the threshold, with their distance; codes has one bigint column ``code``."""
-    if threshold > PROBE_LIMIT:
-        pairs = pivot_pairs(codes, threshold, held)
-    else:
-        probed = threshold > BAND_LIMIT
-        parts = band_rows(codes, 4 if probed else threshold + 1)
-        if probed:
-            one_off = [F.col("value").bitwiseXOR(F.lit(1 << k).cast("bigint")) for k in range(16)]
-            parts = parts.select("code", "band", F.explode(F.array("value", *one_off)).alias("value"))
-        near = distance(F.col("a"), F.col("b")) <= threshold
-        pairs = parts.withColumnRenamed("code", "a").join(parts.withColumnRenamed("code", "b"), ["band", "value"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = pivot_pairs(codes, threshold, held) if threshold > PROBE_LIMIT else _band_pairs(codes, threshold)
     return pairs.select("a", "b", distance(F.col("a"), F.col("b")).alias("distance"))

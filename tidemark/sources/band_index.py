@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import distance
-from tidemark.operators.hamming import BAND_LIMIT, band_rows
+from tidemark.operators.hamming import BAND_LIMIT, band_masks, band_rows, reaches, tasks
 
 #: Buckets of a band, a power of two: with the bands it bounds the folders of a batch.
 BUCKETS = 16
@@ -31,7 +31,7 @@ class BandIndex:
             raise ValueError(f"an index serves thresholds of 0 to {MOST} bits")
         self.spark, self.threshold = spark, threshold
         self.bands = threshold + 1 if threshold <= BAND_LIMIT else 4
-        self.reach = threshold // self.bands  # one band differs in no more bits
+        self.reach = reaches(threshold, self.bands)  # one band differs in no more bits
         self.at = f"{folder.rstrip('/')}/bands={self.bands}"
 
     def append(self, leaders: DataFrame, batch: int) -> None:
@@ -59,10 +59,13 @@ class BandIndex:
         held = self.rows(before)
         if held is None:
             return None
-        asked = band_rows(codes.where("code is not null").select("code").distinct(), self.bands, self.reach).withColumnRenamed("code", "own")
-        bucket = F.col("value").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        codes = codes.where("code is not null").select("code").distinct()
+        asked = band_rows(codes, self.bands, self.reach).withColumnRenamed("code", "own")
+        low = F.col("value").bitwiseAND(F.lit(BUCKETS - 1))
+        own = band_rows(codes, self.bands).select("band", low.alias("low")).distinct()
+        bucket = F.explode(F.transform(F.get(band_masks(self.reach), F.col("band")), lambda off: off.bitwiseXOR(F.col("low")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
         wanted: dict[int, list[int]] = {}
-        for r in asked.select("band", bucket.alias("bucket")).distinct().collect():  # bands * BUCKETS rows at most
+        for r in own.select("band", bucket.alias("bucket")).distinct().collect():  # bands * BUCKETS rows at most
             wanted.setdefault(r.band, []).append(r.bucket)
         if not wanted:
             held = held.limit(0)
@@ -76,6 +79,10 @@ class BandIndex:
         both = self.met(codes, before)
         if both is None:
             return codes.select("code", F.lit(None).cast("string").alias("leader"), F.lit(None).cast("int").alias("distance")).limit(0)
-        met = both[0].join(both[1], ["band", "value"]).select("own", "lead", distance(F.col("code"), F.col("own")).alias("distance"))
+        # rows of the index, and those that are asked for, are sorted in tasks of bounded size
+        held, asked = both
+        n = tasks(self.spark, codes.select("code").distinct().count(), self.size(before), self.reach)
+        held, asked = (side.repartition(n, "band", "value") for side in (held, asked))
+        met = held.join(asked.hint("merge"), ["band", "value"]).select("own", "lead", distance(F.col("code"), F.col("own")).alias("distance"))
         best = met.where(F.col("distance") <= self.threshold).groupBy("own").agg(F.min(F.struct("distance", "lead")).alias("x"))
         return best.select(F.col("own").alias("code"), F.col("x.lead").alias("leader"), F.col("x.distance").alias("distance"))
