@@ -3,6 +3,7 @@ import random
 import xml.etree.ElementTree as ET
 
 
+from tidemark import tables
 from tidemark.operators import tag_output
 from pyspark.sql import functions as F
 
@@ -118,3 +119,12 @@ def test_trees_take_no_shuffle_and_no_python(spark, capsys):
     rows.select(tag_output.nested(F.col("meta"))).explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_of_one_tree_equal_those_of_the_map_in_many_tasks(spark):
+    rows = tables.spread(spark.range(1, 41, numPartitions=1).select("id", F.create_map(F.lit("A.B[0]"), F.col("id").cast("string"), F.lit("A"), F.lit("x")).alias("m")), 10)
+    assert rows.rdd.getNumPartitions() == 4
+    rows = rows.withColumn("tree", tag_output.entries(F.col("m")))
+    for style in (tag_output.JSON, tag_output.PHP, tag_output.XML):
+        assert rows.where(tag_output.written(F.col("tree"), style) == tag_output.nested(F.col("m"), style)).count() == 40
+    assert rows.select(tag_output.written(tag_output.entries(F.lit(None).cast("map<string,string>")))).head()[0] is None

@@ -15,7 +15,7 @@ from tidemark.plans.archive import plan_archive
 from tidemark.sources import metadata
 from tidemark.sources.band_index import BandIndex
 from tidemark.sources.state_log import StateLog, rows_of
-from tidemark.tables import fresh_folder
+from tidemark.tables import fresh_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -628,9 +628,9 @@ def tag_struct(spark, sf_dir):
     words = F.split("p_name", " ")
     plain = F.create_map(F.lit("Item.Type"), F.col("p_type"), F.lit("Brand"), F.col("p_brand"), F.lit("Item"), F.col("p_name"), F.lit("Item.Size"), F.col("p_size").cast("string"))
     listed = F.map_from_entries(F.transform(words, lambda w, i: F.struct(F.concat(F.lit("Item.Word["), i.cast("string"), F.lit("]")), w)))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.map_concat(listed, plain).alias("meta"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", tag_output.entries(F.map_concat(listed, plain)).alias("tree"))
     about = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
-    return rows.select("p_partkey", tag_output.nested(F.col("meta")).alias("json"), tag_output.nested(F.col("meta"), tag_output.PHP).alias("php"), tag_output.description(F.col("meta"), about).alias("xml"))
+    return rows.select("p_partkey", tag_output.written(F.col("tree")).alias("json"), tag_output.written(F.col("tree"), tag_output.PHP).alias("php"), tag_output.described(tag_output.written(F.col("tree"), tag_output.XML), about).alias("xml"))
 
 
 @query("""WITH e AS (SELECT event_id, event_type AS t, user_id::VARCHAR AS u, json_extract_string(props, '$.k') AS k FROM events)

@@ -109,8 +109,11 @@ def _parts(path: Column, separator: str) -> Column:
     return F.flatten(F.transform(pieces, cut))
 
 
-def _entries(meta: Column, separator: str) -> Column:
-    """The row's values in the order of their paths: steps, f (all beginnings of the path), v."""
+def entries(meta: Column, separator: str = ".") -> Column:
+    """The row's values in the order of their paths: steps, f (all beginnings of the path), v.
+
+    Where several texts are made of one map, this is a column of its own, so that it is found once for all of them.
+    """
 
     def apart(rows: Column) -> Column:
         """A value that has members beside it becomes the member of the separator's name, which no part can have."""
@@ -157,6 +160,11 @@ def nested(meta: Column, style: Style = JSON, separator: str = ".") -> Column:
     like the separator. So every value stays. Null values are written as null (in XML: empty), a null map gives null, an empty
     one an empty tree.
     """
+    return F.when(meta.isNotNull(), written(entries(meta, separator), style))
+
+
+def written(tree: Column, style: Style = JSON) -> Column:
+    """``nested`` of the map whose ``entries`` these are; null for null."""
 
     def closed(e: Column, shared: Column) -> Column:
         still = F.slice(e["steps"], shared + 1, F.size(e["steps"]) - 1 - shared)
@@ -176,12 +184,17 @@ def nested(meta: Column, style: Style = JSON, separator: str = ".") -> Column:
         text = F.array_join(F.transform(rows, line), "")
         return F.concat(F.lit(style.ends[0]), text, F.when(F.size(rows) > 0, closed(F.get(rows, F.size(rows) - 1), F.lit(0))).otherwise(F.lit("")), F.lit(style.ends[1]))
 
-    return F.when(meta.isNotNull(), _let(_entries(meta, separator), write))
+    return F.when(tree.isNotNull(), _let(tree, write))
 
 
 def description(meta: Column, about: Column, separator: str = ".") -> Column:
     """An item as an XML description, its tags as nested elements; keys as 'Group:Tag' give prefixed names."""
-    return F.concat(F.lit("<rdf:Description rdf:about='"), F.coalesce(escaped(about), F.lit("")), F.lit("'>"), nested(meta, XML, separator), F.lit("</rdf:Description>"))
+    return described(nested(meta, XML, separator), about)
+
+
+def described(elements: Column, about: Column) -> Column:
+    """``description`` of an item whose elements are written."""
+    return F.concat(F.lit("<rdf:Description rdf:about='"), F.coalesce(escaped(about), F.lit("")), F.lit("'>"), elements, F.lit("</rdf:Description>"))
 
 
 def html_table(meta: Column) -> Column:

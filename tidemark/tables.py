@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -32,6 +33,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df in tasks of so many rows, for work that costs much a row: files, and Spark's own joining of partitions, go by bytes."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that later steps start from files that survive an executor."""
     path = fresh_folder(df.sparkSession, name)
