@@ -143,3 +143,16 @@ def test_band_joins_are_cut_by_comparisons(spark):
     assert reach == [1, 1, 1, 1] and hamming.reaches(10, 4) == [2, 2, 2, 1]
     assert hamming.tasks(spark, 4_000_000, 4_000_000, reach) > 4 * hamming.tasks(spark, 1_000_000, 1_000_000, reach) / 1.01
     assert hamming.masks(16, 2)[0] == 0 and len(set(hamming.masks(16, 2))) == 137
+
+
+def test_index_is_asked_for_each_value_once(spark, tmp_path):
+    """At 10 bits 3 bands of 137 values and one of 17 a code, and every leader within 10 bits is found."""
+    rng = random.Random(77)
+    kept = [rng.getrandbits(64) for _ in range(40)]
+    new = sorted({flipped(rng, v, 12) for v in kept for _ in range(3)})
+    index = BandIndex(spark, str(tmp_path), 10)
+    index.append(codes(spark, kept).withColumn("lead", F.col("code").cast("string")), 0)
+    assert index.met(codes(spark, new), 1)[1].count() == (3 * 137 + 17) * len(new)
+    got = {r.code: r.distance for r in index.near(codes(spark, new), 1).collect()}
+    best = {signed(v): min(near(v, k) for k in kept) for v in new}
+    assert got == {v: d for v, d in best.items() if d <= 10}
