@@ -144,3 +144,22 @@ def test_copies_go_on_beyond_their_width(spark):
     for template, at, want in (("/out/%f%-2nc.%e", 99, "/out/a-100.jpg"), ("/out/%f%+.uc.%e", 702, "/out/a_AAA.jpg")):
         got = {r.ord: r.name for r in tags.unused_names(rows, template, "path", "ord", there).collect()}
         assert got[at] == want and len(set(got.values())) == 760
+
+
+def test_names_are_worked_out_once(spark):
+    """However often names are asked for, what they are made of is worked out once for all rows, and once for those taken."""
+    met, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counter(acc):
+        def seen(n):
+            acc.add(1)
+            return f"a{n % 7}.jpg"
+
+        return F.udf(seen, "string")
+
+    rows = spark.range(300).select(F.col("id").alias("ord"), F.lit("d").alias("folder"), counter(asked)("id").alias("name"))
+    there = spark.range(100).select(F.lit("d").alias("folder"), counter(met)("id").alias("name"))
+    out = collisions.unique_names(rows, existing=there)
+    got = {r.ord: r.final_name for r in out.select("ord", "final_name").collect()}
+    assert [got[k] for k in (0, 7, 14)] == ["a0_1.jpg", "a0_2.jpg", "a0_3.jpg"] and len(set(got.values())) == 300
+    assert (asked.value, met.value) == (300, 100)

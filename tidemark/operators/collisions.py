@@ -176,12 +176,15 @@ def _allocator(how: Numbering):
     return allocate
 
 
-def families(wanted: DataFrame, there: DataFrame, how: Numbering) -> DataFrame:
+def families(wanted: DataFrame, there: DataFrame, how: Numbering, held: Scratch | None = None) -> DataFrame:
     """dir, stem, suffix of each distinct name that is wanted or taken, with family (the shortest stem that generates it, or
-    its own), n (rows that want it), taken, and of its family: many (names wanted), rows and holes (names taken)."""
+    its own), n (rows that want it), taken, and of its family: many (names wanted), rows and holes (names taken).
+
+    The distinct names are read several times over: they are put in ``held``, where one is given."""
     keys = ["dir", "stem", "suffix"]
     n = wanted.groupBy(*keys).agg(F.count("*").alias("n")).join(there.withColumn("taken", F.lit(True)), keys, "full")
     n = n.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("taken", F.lit(False)).alias("taken"))
+    n = held.keep(n, "distinct") if held else n
     generating = (F.col("n") > 0) if how.always else (F.col("n") > 1) | ((F.col("n") > 0) & F.col("taken"))
     roots = n.where(generating).select("dir", F.col("stem").alias("root"), "suffix")
     reached = n.select(*keys, F.explode(how.shorter(F.col("stem"))).alias("root")).join(roots, ["dir", "root", "suffix"])
@@ -200,13 +203,14 @@ def unique_names(moves: DataFrame, folder: str = "folder", name: str = "name", o
     held = Scratch(moves.sparkSession, "names")
     parts = lambda n: [c.alias(a) for c, a in zip(split(F.col(n)), ("stem", "suffix"), strict=True)]
     rows = moves.select(F.col(ord_col).alias("o"), F.col(folder).alias("dir"), F.col(name).alias("name")).select("o", "dir", *parts("name"))
-    asked = rows.where("dir is not null and stem is not null")
+    # written before they are asked for: a condition on a name works it out anew, as often as the name occurs in it
+    asked = held.keep(rows, "asked").where("dir is not null and stem is not null")
     if existing is None:
         there = moves.sparkSession.createDataFrame([], "dir string, stem string, suffix string")
     else:
         there = existing.select(F.col(folder).alias("dir"), F.col(name).alias("name")).select("dir", *parts("name")).distinct()
     keys = ["dir", "stem", "suffix"]
-    known = held.keep(families(asked, there, how), "families")
+    known = held.keep(families(asked, there, how, held), "families")
     kind = F.when(F.col("many") > 1, "several").when((F.col("rows") > 1) | (F.col("holes") > 0) | F.lit(how.always), "numbered").otherwise("alone")
     of = known.where("n > 0").select(*keys, "family", kind.alias("kind"))
     rows = held.keep(asked.join(of, keys), "dealt")
