@@ -6,6 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import collisions, tags
 from tidemark.operators.collisions import Numbering, families, numbering
 
@@ -146,6 +147,21 @@ def test_copies_go_on_beyond_their_width(spark):
         assert got[at] == want and len(set(got.values())) == 760
 
 
+@pytest.mark.parametrize(("name", "template", "numbers", "writes"), [("copy_letters", "%f%+.uc.%e", 50, 702)])
+def test_copies_equal_their_sql_as_far_as_that_can_write_them(spark, tmp_path, name, template, numbers, writes):
+    """The SQL can write so many copies of a name; those after them are named in order too, each once."""
+    duckdb, how = pytest.importorskip("duckdb"), numbering(template)[1]
+    spark.range(760).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.name for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    taken = {("/out", f"red_bolt{how.text((k % 50 + 1) % numbers)}.jpg") for k in range(0, 760, 4)}
+    assert [got[k] for k in range(760)] == [f"/out/{n}" for n in in_order(template, [("/out", "red_bolt", "jpg")] * 760, taken)]
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    sql, able = dict(con.execute(catalog.SQL[name]).fetchall()), {f"/out/red_bolt{how.text(k)}.jpg" for k in range(writes)}
+    assert {k: n for k, n in got.items() if n in able} == {k: n for k, n in sql.items() if got[k] in able}
+    assert sorted(sql) == list(range(760)) and len(set(got.values())) == 760 and not set(got.values()) <= able
+
+
 def test_names_are_worked_out_once(spark):
     """However often names are asked for, what they are made of is worked out once for all rows, and once for those taken."""
     met, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)

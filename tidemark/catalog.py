@@ -380,7 +380,7 @@ def copy_numbers(spark, sf_dir):
 
 @query(_copies_sql("'_' || CASE WHEN k < 26 THEN '' ELSE chr((64 + k // 26)::INT) END || chr((65 + k % 26)::INT)", "p_size % 50", "_A"))
 def copy_letters(spark, sf_dir):
-    """Copies by capital letters, the first name's too."""
+    """Copies by capital letters, the first name's too. The SQL has two letters: it says the same up to copy 701, ZZ."""
     return _copy_numbers(spark, sf_dir, "%f%+.uc.%e", F.col("p_size") % 50)
 
 
