@@ -147,7 +147,7 @@ def test_copies_go_on_beyond_their_width(spark):
         assert got[at] == want and len(set(got.values())) == 760
 
 
-@pytest.mark.parametrize(("name", "template", "numbers", "writes"), [("copy_letters", "%f%+.uc.%e", 50, 702)])
+@pytest.mark.parametrize(("name", "template", "numbers", "writes"), [("copy_letters", "%f%+.uc.%e", 50, 702), ("copy_numbers", "%f%-2nc.%e", 9, 99)])
 def test_copies_equal_their_sql_as_far_as_that_can_write_them(spark, tmp_path, name, template, numbers, writes):
     """The SQL can write so many copies of a name; those after them are named in order too, each once."""
     duckdb, how = pytest.importorskip("duckdb"), numbering(template)[1]

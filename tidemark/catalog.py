@@ -374,7 +374,7 @@ def _copy_numbers(spark: SparkSession, sf_dir: str, template: str, taken: Column
 
 @query(_copies_sql("'-' || lpad((k + 1)::VARCHAR, 2, '0')", "p_size % 9", ""))
 def copy_numbers(spark, sf_dir):
-    """Copy numbers with holes: a dash and two digits, from 02 on, where some are taken."""
+    """Copy numbers with holes: a dash and two digits, from 02 on, where some are taken. The SQL says the same up to 99; it cuts 100 to 10."""
     return _copy_numbers(spark, sf_dir, "%f%-2nc.%e", F.col("p_size") % 9)
 
 
